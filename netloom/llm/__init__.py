@@ -5,9 +5,9 @@
 
 from __future__ import annotations
 
-from netloom.llm import embeddings, mixing, packing, quality, secrets, simhash
+from netloom.llm import embeddings, lm, mixing, packing, quality, secrets, simhash
 
-_MODULES = (simhash, packing, secrets, mixing, embeddings, quality)
+_MODULES = (lm, simhash, packing, secrets, mixing, embeddings, quality)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
