@@ -5,9 +5,9 @@
 
 from __future__ import annotations
 
-from netloom.llm import embeddings, lm, mixing, packing, quality, secrets, simhash, substrings
+from netloom.llm import embeddings, licenses, lm, mixing, ordinal, packing, quality, secrets, simhash, substrings
 
-_MODULES = (lm, simhash, packing, substrings, secrets, mixing, embeddings, quality)
+_MODULES = (lm, simhash, packing, substrings, secrets, mixing, embeddings, quality, ordinal, licenses)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
