@@ -67,14 +67,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row of ``docs``."""
+    """doc_id, mark (a hash of id and text) and fp, the fingerprint as a signed long, for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def family_masks(blocks: int = BLOCKS) -> list[int]:
@@ -151,13 +151,8 @@ def near_edges(fps: DataFrame, blocks: int = BLOCKS, max_distance: int = MAX_DIS
     return met.select("key", "low", "high", "fp").mapInPandas(link, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for every row.
-
-    Null and empty texts have fingerprint zero and link like any other; repeated
-    rows give a row each; rows whose doc_id is null take part but never name a
-    component; an empty table gives no rows; other columns are ignored.
-    """
+def _components(docs: DataFrame, shingle: int, blocks: int, max_distance: int) -> DataFrame:
+    """doc_id, mark, fp and component_id of every row; component is a fingerprint that names it."""
     if blocks <= max_distance:
         raise ValueError("more families than differing bits are needed")
     prints = checkpoint(with_fingerprints(docs, shingle))
@@ -166,8 +161,29 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCK
     roots = connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp"})
     linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    fps = linked.join(named, "root").select("fp", "component_id")
-    return prints.join(fps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = linked.join(named, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return prints.join(fps, "fp")
+
+
+def simhash_components(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for every row.
+
+    Null and empty texts have fingerprint zero and link like any other; repeated
+    rows give a row each; rows whose doc_id is null take part but never name a
+    component; an empty table gives no rows; other columns are ignored.
+    """
+    found = _components(docs, shingle, blocks, max_distance)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each component, the one with the smallest doc_id (a null id only if the
+    component has no other; among rows of one id the text with the smallest hash)."""
+    found = _components(docs, shingle, blocks, max_distance)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("row")).select(F.col("row.doc_id").alias("stay_id"), F.col("row.mark").alias("stay_mark"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), F.struct(*docs.columns).alias("row"))
+    stay = packed.join(first, (F.col("mark") == F.col("stay_mark")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+    return stay.groupBy("mark", "id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
