@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Column expressions: addresses, object identifiers, capabilities, vendors, risk."""

@@ -6,9 +6,9 @@ high to low. Every piece is a whole sequence of its bucket, so no sequence
 crosses documents and none needs padding; a training step takes sequences of
 one bucket.
 
-Tokenising is per word: the tokenizer drops white space before it merges, so
-the ids of a text are the ids of its words one after another, and a worker
-keeps the ids of words it has met (a plain cache, emptied when it is full).
+The tokenizer drops white space and merges only within a word's letters or marks,
+so the ids of a text are the ids of such parts one after another, and a worker
+keeps the ids of parts it has met (a plain cache, emptied when it is full).
 
 Defined results: null and empty texts hold only the end id and give one piece
 of length 1; repeated rows give the same pieces each; an empty table gives no
@@ -17,6 +17,9 @@ rows; other columns are ignored; a null doc_id is carried as null.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,42 +29,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.session import table
-from netloom.llm.text import encode
+from netloom.llm.text import WORD
 
 END_ID = 2
 MAX_LEN = 4096
-#: Words whose ids one Python worker keeps, about 150 MB.
-CACHED_WORDS = 600_000
+#: Parts of texts whose ids one Python worker keeps: about 160 MB.
+CACHED_PARTS = 800_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Texts of these characters only are lower-cased and split here as the tokenizer's file says
+#: (contractions, letters, single digits, runs of other marks); NFC leaves them as they are.
+#: Words of other texts go to the tokenizer whole.
+_PLAIN = re.compile(r"[\t\n\r -~ªµºÀ-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_BLANK = re.compile(WORD)
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizers file, by way of their words."""
+    """Ids of whole texts from a tokenizers file, by way of the parts that it never merges across."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_parts: int = CACHED_PARTS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already keep all cores busy
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._limit = cached_words
-        self._ids: dict[bytes, bytes] = {}
+        self._limit = cached_parts
+        self._ids: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        text = text or ""
+        return _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else _BLANK.findall(text)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [encode(t).split() for t in texts]
-        for first in range(0, len(split), 256):
-            part = split[first : first + 256]
-            new = list({w for words in part for w in words if w not in self._ids})
+        for first in range(0, len(texts), 256):
+            split = [self.parts(t) for t in texts[first : first + 256]]
+            parts = set().union(*split)
+            new = parts.difference(self._ids)
             if len(self._ids) + len(new) > self._limit:
                 self._ids.clear()
-                new = list({w for words in part for w in words})
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                found = self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                self._ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
-            for words in part:
-                yield b"".join(map(self._ids.__getitem__, words))
+                new = parts
+            some = list(new)
+            for at in range(0, len(some), 4096):
+                found = self._tokenizer.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)
+                self._ids.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(some[at : at + 4096], found))
+            known = self._ids.__getitem__
+            for doc in split:
+                yield b"".join(map(known, doc))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

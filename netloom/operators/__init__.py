@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Operators from DataFrames to DataFrames: endpoints, MAC tables, the ladder, graphs, walks, devices, crawls."""

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Schemas, readers and writers of landed data, and the scenario that stands in for it."""
