@@ -7,7 +7,8 @@ crosses documents and none needs padding; a training step takes sequences of
 one bucket.
 
 The tokenizer drops white space and merges only within a word's letters or marks,
-so the ids of a text are the ids of such parts one after another, and a worker
+so the ids of a text are the ids of such parts one after another. A batch's
+parts are told apart by Arrow, Python sees each distinct part once, and a worker
 keeps the ids of parts it has met (a plain cache, emptied when it is full).
 
 Defined results: null and empty texts hold only the end id and give one piece
@@ -18,33 +19,33 @@ rows; other columns are ignored; a null doc_id is carried as null.
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.session import table
-from netloom.llm.text import WORD
 
 END_ID = 2
 MAX_LEN = 4096
 #: Parts of texts whose ids one Python worker keeps: about 160 MB.
 CACHED_PARTS = 800_000
+#: Text whose parts are told apart at once.
+SLICE_BYTES = 8 << 20
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-#: Texts of these characters only are lower-cased and split here as the tokenizer's file says
+#: Texts without these characters are lower-cased and split here as the tokenizer's file says
 #: (contractions, letters, single digits, runs of other marks); NFC leaves them as they are.
 #: Words of other texts go to the tokenizer whole.
-_PLAIN = re.compile(r"[\t\n\r -~ªµºÀ-ÖØ-öø-ÿ]*")
-_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_BLANK = re.compile(WORD)
+_OTHER = r"[^\t\n\x0B\f\r -~ªµºÀ-ÖØ-öø-ÿ]"
+_EDGES = r"('(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9])"
 
 
 class WordTokenizer:
@@ -59,32 +60,50 @@ class WordTokenizer:
         self._limit = cached_parts
         self._ids: dict[str, bytes] = {}
 
-    @staticmethod
-    def parts(text: str | None) -> list[str]:
-        text = text or ""
-        return _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else _BLANK.findall(text)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for first in range(0, len(texts), 256):
-            split = [self.parts(t) for t in texts[first : first + 256]]
-            parts = set().union(*split)
-            new = parts.difference(self._ids)
-            if len(self._ids) + len(new) > self._limit:
-                self._ids.clear()
-                new = parts
-            some = list(new)
-            for at in range(0, len(some), 4096):
-                found = self._tokenizer.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)
-                self._ids.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(some[at : at + 4096], found))
-            known = self._ids.__getitem__
-            for doc in split:
-                yield b"".join(map(known, doc))
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of distinct parts."""
+        found = list(map(self._ids.get, parts))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if len(self._ids) + len(new) > self._limit:
+            self._ids.clear()
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for k, e in zip(some, self._tokenizer.encode_batch_fast([parts[k] for k in some], add_special_tokens=False)):
+                found[k] = self._ids[parts[k]] = array("I", e.ids).tobytes()
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.replace_substring_regex(pc.utf8_lower(texts), _EDGES, r" \1 ")
+        texts = pc.if_else(pc.match_substring_regex(texts, _OTHER), texts, split)
+        words = pc.ascii_split_whitespace(texts)
+        distinct = words.flatten().dictionary_encode()
+        blobs = self._of_parts(distinct.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ids = np.frombuffer(b"".join(blobs), np.uint32)
+        of_word = distinct.indices.to_numpy()
+        counts = lengths[of_word]
+        ends = np.cumsum(counts)
+        shift = (np.cumsum(lengths) - lengths)[of_word] - (ends - counts)
+        whole = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, counts)]
+        upto = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return whole, np.diff(upto)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about so many bytes in a text column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    slot = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def power_of_two_lengths(n: int, max_len: int) -> list[int]:
     """Lengths, longest first, of the pieces of n tokens."""
     whole, rest = divmod(n, max_len)
@@ -104,16 +123,18 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(docs_), 1024):
+            for some in slices(batch, 1, SLICE_BYTES):
+                ids, counts = tokenizer.encode(some.column(1))
+                raw, at = ids.astype("<u4").tobytes(), 0
                 rows: list[tuple] = []
                 pieces: list[bytes] = []
-                for doc_id, ids in zip(docs_[at : at + 1024], tokenizer.encode(texts[at : at + 1024])):
-                    ids += end
-                    total, start = len(ids) // 4, 0
-                    for n in power_of_two_lengths(total, max_len):
-                        piece = ids[4 * start : 4 * (start + n)]
-                        rows.append((doc_id, start, n, zlib.crc32(piece), total))
+                for doc_id, n_ids in zip(some.column(0).to_pylist(), counts.tolist()):
+                    own = raw[at : at + 4 * n_ids] + end
+                    at += 4 * n_ids
+                    start = 0
+                    for n in power_of_two_lengths(n_ids + 1, max_len):
+                        piece = own[4 * start : 4 * (start + n)]
+                        rows.append((doc_id, start, n, zlib.crc32(piece), n_ids + 1))
                         if with_ids:
                             pieces.append(piece)
                         start += n
