@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Whole plans made of operators: the graph document, and the registered queries with their SQL."""
