@@ -13,14 +13,15 @@ probability of its bytes and its end; the model is trained beforehand and stays
 fixed while it scores.
 
 Since the model is fixed, the code length of a byte depends on the last
-``order`` bytes and itself only, that is on one n-gram. So neither texts nor
-tries travel: documents are dealt into blocks of bounded size, and each block
-sends its distinct n-grams (with training counts) to shards by the last three
-context bytes. A shard then holds everything of its contexts of three bytes and
-more; contexts of up to two bytes are one table of at most 2**24 counts, which is
-broadcast. The shard answers every block with the code lengths in the order in
-which the block asked, and the block sums them up for its documents. Words and
-their training counts take the same way.
+``order`` bytes and itself only, that is on one n-gram. So tries don't travel to
+texts: documents are dealt into blocks of bounded size, and each block sends its
+distinct n-grams (with training counts) to shards by the last three context
+bytes. A shard then holds everything of its contexts of three bytes and more;
+contexts of up to two bytes are one table of at most 2**24 counts, which a first
+pass gathers and which is broadcast. The shard answers every block with the code
+lengths in the order in which the block asked, and the block sums them up for its
+documents. Words and their training counts take the same way. Blocks are dealt
+once: asking and summing up read the same shuffle.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from math import ceil, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.session import checkpoint, table
-from netloom.llm.text import LOWER_ASCII, encode
+from netloom.llm.packing import slices
+from netloom.llm.session import table
 
 ORDER = 5
 #: Bytes of text in a block; a shard's number follows the root of all bytes.
@@ -46,11 +47,12 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 #: Contexts of so many bytes at most are in the broadcast table.
 LOW = 2
-_END = b"\n"
 _CHUNK = 1 << 21
 
-_PARTS = "kind int, shard int, block int, a binary, b binary, keys array<int>, counts array<long>, n long, m long"
+_PARTS = "kind int, shard int, block int, a binary, b binary"
 _REPLIES = "block int, shard int, a binary, b binary, n long"
+#: Keys of the first pass that are no contexts.
+_TOKENS, _DOCS, _BYTES = -1, -2, -3
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -139,29 +141,91 @@ def log10_probabilities(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def normalised(text: str | None) -> list[bytes]:
-    return encode(text).translate(LOWER_ASCII).split()
-
-
-def joined(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all documents, each after ``order`` end marks and before one, and their lengths."""
-    parts = [_END * order + b" ".join(words) + _END for words in docs]
-    return np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
-
-
-def gram_chunks(raw: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """n-grams that end in a predicted byte, and the document of each, some at a time."""
-    ends = np.cumsum(lengths)
-    for at in range(0, max(0, len(raw) - order), _CHUNK):
-        piece = raw[at : at + _CHUNK + order].astype(np.uint64)
-        n = len(piece) - order
-        grams = piece[:n].copy()
-        for j in range(1, order + 1):
-            grams = grams << np.uint64(8) | piece[j : n + j]
-        place = np.arange(at + order, at + order + n)
-        doc = np.searchsorted(ends, place, side="right")
-        predicted = place - (ends - lengths)[doc] >= order
-        yield grams[predicted], doc[predicted]
+class Texts:
+    """Texts as the model reads them: their words, numbered, and their bytes with end marks."""
+
+    def __init__(self, texts: pa.Array, order: int):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        flat = words.flatten()
+        # white space at the start or end of a text leaves an empty word there
+        full = pc.not_equal(pc.binary_length(flat), 0)
+        counts = pc.list_value_length(words).to_numpy().astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(counts)])]
+        self.n_words = np.diff(upto)
+        flat = flat.filter(full)
+        coded = flat.dictionary_encode()
+        self.words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.of_word = coded.indices.to_numpy()
+        self.of_doc = np.repeat(np.arange(len(counts)), self.n_words)
+        spans = pc.binary_length(flat).to_numpy().astype(np.int64) + 1  # each word and the mark after it
+        ends = np.concatenate([[0], np.cumsum(spans)])
+        self.lengths = order + np.maximum(1, ends[upto[1:]] - ends[upto[:-1]])
+        starts = np.cumsum(self.lengths) - self.lengths
+        marks = ends[1:] - 1 + np.repeat(starts + order - ends[upto[:-1]], self.n_words)
+        self.raw = np.zeros(int(self.lengths.sum()), np.uint8)
+        self.raw[marks] = 32
+        for k in range(order):
+            self.raw[starts + k] = 10
+        self.raw[starts + self.lengths - 1] = 10
+        data = flat.cast(pa.large_binary())
+        at, upto_byte = (np.frombuffer(data.buffers()[1], np.int64)[data.offset + k] for k in (0, len(data))) if len(data) else (0, 0)
+        if upto_byte > at:
+            self.raw[self.raw == 0] = np.frombuffer(data.buffers()[2], np.uint8)[at:upto_byte]
+        self.order = order
+
+    def chunks(self, order: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """n-grams of the order that end in a predicted byte, and the document of each, some at a time."""
+        order = self.order if order is None else order
+        doc_of = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        predicted = np.ones(len(self.raw), bool)
+        starts = np.cumsum(self.lengths) - self.lengths
+        for k in range(self.order):
+            predicted[starts + k] = False
+        for at in range(0, max(0, len(self.raw) - order), _CHUNK):
+            piece = self.raw[at : at + _CHUNK + order].astype(np.uint64)
+            n = len(piece) - order
+            grams = piece[:n].copy()
+            for j in range(1, order + 1):
+                grams <<= np.uint64(8)
+                grams |= piece[j : n + j]
+            here = slice(at + order, at + order + n)
+            yield grams[predicted[here]], doc_of[here][predicted[here]]
+
+    def distinct_grams(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams in order, how often they occur, and how often in documents to learn from."""
+        keys, counts = [], []
+        for grams, doc in self.chunks():
+            some, n = np.unique(grams << np.uint64(1) | learn[doc], return_counts=True)
+            keys.append(some)
+            counts.append(n)
+        if not keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = counted(np.concatenate(keys), np.concatenate(counts))
+        taught = keys & np.uint64(1) == 1
+        grams, all_ = counted(keys >> np.uint64(1), counts)
+        of_taught = np.zeros(len(grams), np.int64)
+        of_taught[np.searchsorted(grams, keys[taught] >> np.uint64(1))] = counts[taught]
+        return grams, all_, of_taught
+
+
+class Lookup:
+    """Positions of keys in a sorted array: a table by hash, where frequent keys win a slot, then search."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, 3 + len(keys).bit_length()))
+        self.table = np.zeros(1 << 64 - int(self.shift), np.int32)
+        order = np.argsort(counts, kind="stable")
+        self.table[self._slot(keys[order])] = order
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(wanted)]
+        missed = np.flatnonzero(self.keys[at] != wanted)
+        at[missed] = np.searchsorted(self.keys, wanted[missed])
+        return at
 
 
 def gram_shards(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -170,19 +234,6 @@ def gram_shards(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def distinct_grams(raw: np.ndarray, lengths: np.ndarray, order: int, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams in order, and how often they occur in the documents to learn from."""
-    keys, counts = [], []
-    for grams, doc in gram_chunks(raw, lengths, order):
-        taught, n = np.unique(grams[learn[doc]], return_counts=True)
-        rest = np.unique(grams[~learn[doc]])
-        keys += [taught, rest]
-        counts += [n, np.zeros(len(rest), np.int64)]
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return counted(np.concatenate(keys), np.concatenate(counts))
-
-
 def by_shard(shard: np.ndarray, shards: int) -> list[np.ndarray]:
     """Positions of each shard's elements, in their order."""
     order = np.argsort(shard, kind="stable")
@@ -198,35 +249,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
 
 
+def _first_pass(order: int):
+    """Counts of the n-grams of the low contexts, and of tokens and documents, to learn from; all bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 0, 8 << 20):
+                learn = ~some.column(1).to_numpy(zero_copy_only=False)
+                texts = Texts(some.column(0), order)
+                keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for grams, doc in texts.chunks(LOW):
+                    distinct, n = np.unique(grams[learn[doc]].astype(np.uint32), return_counts=True)
+                    keys.append(distinct.astype(np.int64))
+                    counts.append(n)
+                keys, counts = counted(np.concatenate(keys), np.concatenate(counts))
+                extra = [int(texts.n_words[learn].sum()), int(learn.sum()), int(texts.lengths.sum())]
+                keys, counts = np.append(keys, [_TOKENS, _DOCS, _BYTES]), np.append(counts, extra)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    return run
+
+
 def _ask(order: int, shards: int):
-    """A block's n-grams and words with training counts, one row of each for every shard, and its sums."""
+    """A block's n-grams and words with training counts, one row of each for every shard."""
 
     def run(block: pa.Table) -> pa.Table:
         number = block.column("block")[0].as_py()
-        docs = [normalised(t) for t in block.column("text").to_pylist()]
+        texts = Texts(block.column("text").combine_chunks(), order)
         learn = ~block.column("held_out").to_numpy()
-        raw, lengths = joined(docs, order)
-        grams, counts = distinct_grams(raw, lengths, order, learn)
+        grams, _, counts = texts.distinct_grams(learn)
         rows = []
         for shard, at in enumerate(by_shard(gram_shards(grams, shards), shards)):
-            if len(at):
-                rows.append((0, shard, number, pack_sorted(grams[at]), pack(counts[at].astype("<u4")), None, None, None, None))
-        taught = Counter(chain.from_iterable(d for d, t in zip(docs, learn) if t))
-        words = sorted(set(chain.from_iterable(docs)))
-        for shard, at in enumerate(by_shard(word_shards(words, shards), shards)):
-            if len(at):
-                some = [words[k] for k in at]
-                rows.append((1, shard, number, zstandard.compress(b" ".join(some), 1), pack(np.array([taught[w] for w in some], "<u4")), None, None, None, None))
-        used = counts > 0
-        low, n = counted(grams[used] & np.uint64((1 << 8 * (LOW + 1)) - 1), counts[used])
-        rows.append((2, None, number, None, None, low.astype(np.int32), n, None, None))
-        rows.append((3, None, number, None, None, None, None, sum(map(len, (d for d, t in zip(docs, learn) if t))), int(learn.sum())))
+            rows.append((0, shard, number, pack_sorted(grams[at]), pack(counts[at].astype("<u4"))))
+        said = np.bincount(texts.of_word[learn[texts.of_doc]], minlength=len(texts.words))
+        for shard, at in enumerate(by_shard(word_shards(texts.words, shards), shards)):
+            rows.append((1, shard, number, zstandard.compress(b" ".join(texts.words[k] for k in at), 1), pack(said[at].astype("<u4"))))
         return _table(rows, _PARTS)
 
     return run
 
 
-_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -250,50 +313,48 @@ def _answer(order: int, low: tuple[bytes, bytes]):
             known = log10_probabilities(grams, levels_of(grams[used], counts[used], order, LOW + 1, below))
             lengths = {block: pack(known[np.searchsorted(grams, g)].astype("<f4")) for block, g, _ in asked}
         words: Counter[bytes] = Counter()
-        spoken = [(block, zstandard.decompress(a).split(b" "), unpack(b, "<u4").tolist()) for kind, block, a, b in rows if kind == 1]
+        spoken = [(block, zstandard.decompress(a).split(), unpack(b, "<u4").tolist()) for kind, block, a, b in rows if kind == 1]
         for _, some, counts in spoken:
             for word, n in zip(some, counts):
                 words[word] += n
         said = {block: pack(np.array([words[w] for w in some], "<u8")) for block, some, _ in spoken}
-        out = [(block, number, lengths.get(block), said.get(block), None) for block in sorted({*lengths, *said})]
-        return _table([*out, (None, number, None, None, sum(n > 0 for n in words.values()))], _REPLIES)
+        distinct = sum(n > 0 for n in words.values())
+        return _table([(block, number, lengths[block], said[block], distinct) for block in sorted(said)], _REPLIES)
 
     return run
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _sum_up(order: int, shards: int, taught_docs: int):
+def _sum_up(order: int, shards: int, tokens: int, taught: int):
     """Scores of a block's documents from the answers of the shards."""
 
     def run(block: pa.Table, replies: pa.Table) -> pa.Table:
         if not block.num_rows:
             return _table([], _SCORES)
-        docs = [normalised(t) for t in block.column("text").to_pylist()]
-        raw, lengths = joined(docs, order)
+        texts = Texts(block.column("text").combine_chunks(), order)
+        n_docs = block.num_rows
         answer = {s: (a, b) for s, a, b in zip(*(replies.column(c).to_pylist() for c in ("shard", "a", "b")))}
-        grams, _ = distinct_grams(raw, lengths, order, np.zeros(len(docs), bool))
+        grams, times, _ = texts.distinct_grams(np.zeros(n_docs, bool))
         known = np.zeros(len(grams))
         for shard, at in enumerate(by_shard(gram_shards(grams, shards), shards)):
-            if len(at):
-                known[at] = unpack(answer[shard][0], "<f4")
-        scores = np.zeros(len(docs))
-        for some, doc in gram_chunks(raw, lengths, order):
-            scores += np.bincount(doc, known[np.searchsorted(grams, some)], len(docs))
-        words = sorted(set(chain.from_iterable(docs)))
-        counts = np.zeros(len(words), np.int64)
-        for shard, at in enumerate(by_shard(word_shards(words, shards), shards)):
-            if len(at):
-                counts[at] = unpack(answer[shard][1], "<u8")
-        weight = dict(zip(words, np.log10(counts + 0.5).tolist()))
-        new = {w for w, n in zip(words, counts.tolist()) if not n}
-        end, end_known = log10(taught_docs + 0.5), int(taught_docs > 0)
-        rows = []
-        for doc_id, held, doc, score in zip(block.column("doc_id").to_pylist(), block.column("held_out").to_pylist(), docs, scores.tolist()):
-            known_words = len(doc) - sum(map(new.__contains__, doc))
-            rows.append((doc_id, held, len(doc) + 1, known_words + end_known, sum(map(weight.__getitem__, doc)) + end, score))
-        return _table(rows, _SCORES)
+            known[at] = unpack(answer[shard][0], "<f4")
+        scores = np.zeros(n_docs)
+        if len(grams):
+            lookup = Lookup(grams, times)
+            for some, doc in texts.chunks():
+                scores += np.bincount(doc, known[lookup(some)], n_docs)
+        counts = np.zeros(len(texts.words), np.int64)
+        for shard, at in enumerate(by_shard(word_shards(texts.words, shards), shards)):
+            counts[at] = unpack(answer[shard][1], "<u8")
+        distinct = sum(replies.column("n").to_pylist()) + (taught > 0)
+        n_tokens = texts.n_words + 1
+        sums = np.bincount(texts.of_doc, np.log10(counts + 0.5)[texts.of_word], n_docs) + log10(taught + 0.5)
+        base = sums - n_tokens * log10(tokens + taught + 0.5 * (distinct + 1))
+        n_known = np.bincount(texts.of_doc, (counts > 0)[texts.of_word], n_docs).astype(np.int64) + (taught > 0)
+        columns = [block.column("doc_id"), block.column("held_out"), *map(pa.array, (n_tokens, n_known, base, scores))]
+        return pa.table(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return run
 
@@ -308,22 +369,18 @@ def ppm_scores(docs: DataFrame, held: Column, *, order: int = ORDER, block_bytes
     """
     if not LOW < order <= 7:
         raise ValueError("order is 3 to 7")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
+    first = texts.select("text", "held_out").mapInArrow(_first_pass(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2**24 + 3 rows
+    keys, sums = counted(first.column(0).to_numpy(), first.column(1).to_numpy())
+    extra = dict(zip(keys[keys < 0].tolist(), sums[keys < 0].tolist()))
+    tokens, taught, size = (extra.get(k, 0) for k in (_TOKENS, _DOCS, _BYTES))
     blocks, shards = ceil(size / block_bytes) or 1, ceil(sqrt(size / shard_bytes)) or 1
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    parts = checkpoint(dealt.groupBy("block").applyInArrow(_ask(order, shards), _PARTS))
-    tokens, taught = parts.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    pairs = parts.filter("kind = 2").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
-    low = pairs.groupBy("x.keys").agg(F.sum("x.counts").alias("n")).toArrow()  # at most 2**24 rows
-    keys, sums = counted(low.column(0).to_numpy().astype(np.uint64), low.column(1).to_numpy().astype(np.int64))
-    asked = parts.filter("kind < 2").select("kind", "shard", "block", "a", "b")
-    replies = checkpoint(asked.groupBy("shard").applyInArrow(_answer(order, (keys.astype("<u8").tobytes(), sums.astype("<i8").tobytes())), _REPLIES))
-    distinct = (replies.agg(F.sum("n")).first()[0] or 0) + (taught > 0)
-    answers = replies.filter("block IS NOT NULL").select("block", "shard", "a", "b")
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sum_up(order, shards, taught), _SCORES)
-    whole = tokens + taught
-    base = F.col("base_sum") - F.col("n_tokens") * log10(whole + 0.5 * (distinct + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    low = keys[keys >= 0].astype("<u8").tobytes(), sums[keys >= 0].astype("<i8").tobytes()
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    asked = dealt.groupBy("block").applyInArrow(_ask(order, shards), _PARTS)
+    answers = asked.groupBy("shard").applyInArrow(_answer(order, low), _REPLIES)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sum_up(order, shards, tokens, taught), _SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens + taught).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
