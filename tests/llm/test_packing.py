@@ -29,6 +29,13 @@ def test_ids_of_words_are_the_ids_of_the_text(spark, tiny):
             assert some.tolist() == whole().encode(text or "", add_special_tokens=False).ids
 
 
+def test_slices_of_a_batch_are_read_like_the_batch():
+    docs = pa.array([f"Some Words {k} é" * (k % 5) for k in range(50)])
+    own = WordTokenizer(PATH)
+    apart = np.concatenate([own.encode(docs.slice(k, 10))[0] for k in range(0, 50, 10)])
+    assert (apart == own.encode(docs)[0]).all()
+
+
 def test_lengths_are_powers_of_two():
     assert power_of_two_lengths(4096 * 2 + 13, 4096) == [4096, 4096, 8, 4, 1]
     assert power_of_two_lengths(4096, 4096) == [4096]
