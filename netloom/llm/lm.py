@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.packing import slices
+from netloom.llm.packing import slices, unsliced
 from netloom.llm.session import table
 
 ORDER = 5
@@ -145,7 +145,7 @@ class Texts:
     """Texts as the model reads them: their words, numbered, and their bytes with end marks."""
 
     def __init__(self, texts: pa.Array, order: int):
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
         flat = words.flatten()
         # white space at the start or end of a text leaves an empty word there
         full = pc.not_equal(pc.binary_length(flat), 0)
@@ -367,8 +367,8 @@ def ppm_scores(docs: DataFrame, held: Column, *, order: int = ORDER, block_bytes
     occur and scored alike; without a row to learn from every byte has probability
     1/256; an empty table gives no rows; other columns are ignored.
     """
-    if not LOW < order <= 7:
-        raise ValueError("order is 3 to 7")
+    if not LOW < order <= 6:
+        raise ValueError("order is 3 to 6")
     texts = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
     first = texts.select("text", "held_out").mapInArrow(_first_pass(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2**24 + 3 rows
     keys, sums = counted(first.column(0).to_numpy(), first.column(1).to_numpy())
