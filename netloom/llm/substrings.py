@@ -74,11 +74,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def splitting_grams(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive suffixes with the same splitting gram: text, hash, place of the gram,
-    first and last suffix (places are words of the text)."""
+    """Runs of consecutive suffixes with equal splitting grams: text, hash, first and last suffix
+    (words of the text)."""
     words, counts = word_hashes(texts)
     n = len(words)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
     if n < window:
         return none
     grams = np.zeros(n - gram + 1, np.uint64)
@@ -98,15 +98,16 @@ def splitting_grams(texts: list[bytes], window: int, gram: int) -> tuple[np.ndar
     suffix, best = suffix[whole], best[: n - window + 1][whole]
     if not len(suffix):
         return none
-    new = np.concatenate([[True], (best[1:] != best[:-1]) | (text[suffix[1:]] != text[suffix[:-1]])])
+    key = grams[best]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[suffix[1:]] != text[suffix[:-1]])])
     begin = new.nonzero()[0]
     last = np.append(begin[1:], len(suffix)) - 1
     of = text[suffix[begin]]
-    return of, grams[best[begin]].view(np.int64), best[begin] - first[of], suffix[begin] - first[of], suffix[last] - first[of]
+    return of, key[begin].view(np.int64), suffix[begin] - first[of], suffix[last] - first[of]
 
 
-_RUNS = "gram long, doc_id long, mark long, place int, low int, high int"
-_STRETCHES = "gram long, part int, parts int, doc_id long, mark long, low int, lead int, words binary"
+_RUNS = "gram long, doc_id long, mark long, low int, high int"
+_STRETCHES = "gram long, part int, parts int, doc_id long, mark long, low int, words binary"
 _FOUND = "doc_id long, mark long, low int, high int, node binary, least long, docs array<long>, marks array<long>, places array<int>"
 
 
@@ -121,9 +122,9 @@ def _runs(window: int, gram: int):
                 while end < len(texts) and (size == 0 or size + len(texts[end]) <= _PIECE_BYTES):
                     size += len(texts[end]) + 1
                     end += 1
-                of, key, place, low, high = splitting_grams(texts[at:end], window, gram)
-                columns = [pa.array(key), pa.array(ids[at:end][of]), pa.array(marks[at:end][of]), *(pa.array(x.astype(np.int32)) for x in (place, low, high))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "mark", "place", "low", "high"])
+                of, key, low, high = splitting_grams(texts[at:end], window, gram)
+                columns = [pa.array(key), pa.array(ids[at:end][of]), pa.array(marks[at:end][of]), *(pa.array(x.astype(np.int32)) for x in (low, high))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "mark", "low", "high"])
                 at = end
 
     return run
@@ -139,9 +140,9 @@ def _stretches(window: int):
                 for doc_id, mark, text, runs in zip(*(some.column(k).to_pylist() for k in range(4))):
                     words = encode(text).split()
                     for r in runs:
-                        rows.append((r["gram"], r["part"], r["parts"], doc_id, mark, r["low"], r["place"] - r["low"], b" ".join(words[r["low"] : r["high"] + window])))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["gram", "part", "parts", "doc_id", "mark", "low", "lead", "words"])
+                        rows.append((r["gram"], r["part"], r["parts"], doc_id, mark, r["low"], b" ".join(words[r["low"] : r["high"] + window])))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["gram", "part", "parts", "doc_id", "mark", "low", "words"])
 
     return run
 
@@ -222,7 +223,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -
     known = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("shared"))
     shared = known.filter("shared").select("gram", F.ceil(F.col("n") / GROUP_STRETCHES).cast("int").alias("parts"))
     wanted = runs.join(shared, "gram").withColumn("part", F.pmod(F.hash("doc_id", "mark", "low"), F.col("parts")))
-    of_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("gram", "part", "parts", "place", "low", "high")).alias("runs"))
+    of_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("gram", "part", "parts", "low", "high")).alias("runs"))
     texts = docs.join(of_doc, ["doc_id", "mark"]).select("doc_id", "mark", "text", "runs")
     stretches = by_group(texts.mapInArrow(_stretches(window), _STRETCHES), ["gram", "part"])
     found = checkpoint(stretches.mapInArrow(_trees(window), _FOUND))
