@@ -16,7 +16,7 @@ def canonical_mac(value: Column) -> Column:
 
 def canonical_mac_bytes(value: Column) -> Column:
     """The key of a MAC in six raw bytes; other lengths are read as text."""
-    return F.when(F.length(value) == 6, F.lower(F.hex(value))).otherwise(canonical_mac(F.decode(value, "UTF-8")))
+    return F.when(F.length(value) == 6, F.lower(F.hex(value))).otherwise(canonical_mac(value.cast("string")))
 
 
 def colon_form(key: Column) -> Column:

@@ -13,32 +13,36 @@ LLDP_EDGE, ENDPOINT_EDGE = "lldp", "endpoint_link"
 LLDP, RESOLVED, TIEBREAK, SUBNET, FDB = "lldp", "resolved", "tiebreak", "subnet_fallback", "fdb"
 NO_MAC, ABSENT, OFFLINE = "no_endpoint_mac", "mac_absent_from_all_fdb", "host_offline_no_l2_evidence"
 
-CVE = T.StructType.fromDDL("cve string, cvss double, cvss_version string, severity string, package string, version string, description string")
-NODE = T.StructType.fromDDL(
-    "node_id string, kind string, ip string, hostname string, vendor string, model string, firmware string, serial string, mac string, discovery_method string, status string, role string, "
-    "risk_score double, discovery_order int, parent_id string, agent_id string, "
-    "top_cves array<struct<cve:string,cvss:double,cvss_version:string,severity:string,package:string,version:string,description:string>>, "
-    "chassis_id string, pollable boolean, neighbor_ports array<string>, uplink_ports array<string>, port_status map<string,string>"
-)
-EDGE = T.StructType.fromDDL("source string, source_name string, target string, target_name string, type string, local_port string, remote_port string, confidence string")
-DEVICE_ROW = T.StructType.fromDDL(
-    "ip string, hostname string, vendor string, model string, firmware string, serial string, mac string, chassis_id string, discovery_method string, status string, pollable boolean, "
-    "neighbor_ports array<string>, uplink_ports array<string>, port_status map<string,string>, lldp_cap_enabled string, risk_score double, "
-    "fdb array<struct<mac:string,port:string,vlan:int>>, arp map<string,string>, own_macs array<string>"
-)
-LINK_ROW = T.StructType.fromDDL("source_chassis_id string, target_chassis_id string, local_port string, remote_port string")
-NETWORK_DOCUMENT = T.StructType([T.StructField("scan_time", T.StringType()), T.StructField("seed", T.StringType()), T.StructField("nodes", T.ArrayType(DEVICE_ROW)), T.StructField("edges", T.ArrayType(LINK_ROW))])
-GRAPH_DOCUMENT = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("edges", T.ArrayType(EDGE))])
-WALK = T.StructType.fromDDL("device_ip string, context string, base_oid string, seq long, oid string, value string")
-AGENT = T.StructType.fromDDL("id string, name string, ip string, status string, os struct<platform:string,name:string,version:string>")
-NETIFACE = T.StructType.fromDDL("agent_id string, pos int, name string, mac string, state string")
-NETADDR = T.StructType.fromDDL("agent_id string, pos int, iface string, proto string, address string")
-HARDWARE = T.StructType.fromDDL("agent_id string, pos int, board_serial string")
-VULNERABILITY = T.StructType.fromDDL("agent_id string, _source struct<vulnerability:struct<id:string,severity:string,description:string,score:struct<base:double,version:string>>,package:struct<name:string,version:string>>")
-SCORED_ENDPOINT = T.StructType.fromDDL(
-    "agent_id string, hostname string, ip string, mac string, vendor string, model string, firmware string, serial string, status string, discovery_method string, risk_score double, "
-    "top_cves array<struct<cve:string,cvss:double,cvss_version:string,severity:string,package:string,version:string,description:string>>"
-)
+def _struct(*fields: tuple[str, T.DataType] | str) -> T.StructType:
+    """A struct of strings, or of given types; importing this needs no session."""
+    return T.StructType([T.StructField(f, _TEXT) if isinstance(f, str) else T.StructField(*f) for f in fields])
+
+
+_TEXT, _LONG, _INT, _DOUBLE, _BOOL = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_TEXTS, _BY_PORT = T.ArrayType(_TEXT), T.MapType(_TEXT, _TEXT)
+
+CVE = _struct("cve", ("cvss", _DOUBLE), "cvss_version", "severity", "package", "version", "description")
+_SHARED = ("ip", "hostname", "vendor", "model", "firmware", "serial", "mac")
+NODE = _struct(
+    "node_id", "kind", *_SHARED, "discovery_method", "status", "role", ("risk_score", _DOUBLE), ("discovery_order", _INT), "parent_id", "agent_id", ("top_cves", T.ArrayType(CVE)),
+    "chassis_id", ("pollable", _BOOL), ("neighbor_ports", _TEXTS), ("uplink_ports", _TEXTS), ("port_status", _BY_PORT),
+)
+EDGE = _struct("source", "source_name", "target", "target_name", "type", "local_port", "remote_port", "confidence")
+DEVICE_ROW = _struct(
+    *_SHARED, "chassis_id", "discovery_method", "status", ("pollable", _BOOL), ("neighbor_ports", _TEXTS), ("uplink_ports", _TEXTS), ("port_status", _BY_PORT), "lldp_cap_enabled", ("risk_score", _DOUBLE),
+    ("fdb", T.ArrayType(_struct("mac", "port", ("vlan", _INT)))), ("arp", _BY_PORT), ("own_macs", _TEXTS),
+)
+LINK_ROW = _struct("source_chassis_id", "target_chassis_id", "local_port", "remote_port")
+NETWORK_DOCUMENT = _struct("scan_time", "seed", ("nodes", T.ArrayType(DEVICE_ROW)), ("edges", T.ArrayType(LINK_ROW)))
+GRAPH_DOCUMENT = _struct(("nodes", T.ArrayType(NODE)), ("edges", T.ArrayType(EDGE)))
+WALK = _struct("device_ip", "context", "base_oid", ("seq", _LONG), "oid", "value")
+AGENT = _struct("id", "name", "ip", "status", ("os", _struct("platform", "name", "version")))
+NETIFACE = _struct("agent_id", ("pos", _INT), "name", "mac", "state")
+NETADDR = _struct("agent_id", ("pos", _INT), "iface", "proto", "address")
+HARDWARE = _struct("agent_id", ("pos", _INT), "board_serial")
+_SCORE = _struct(("base", _DOUBLE), "version")
+VULNERABILITY = _struct("agent_id", ("_source", _struct(("vulnerability", _struct("id", "severity", "description", ("score", _SCORE))), ("package", _struct("name", "version")))))
+SCORED_ENDPOINT = _struct("agent_id", *_SHARED, "status", "discovery_method", ("risk_score", _DOUBLE), ("top_cves", T.ArrayType(CVE)))
 
 
 def endpoint_id(agent_id: Column) -> Column:
