@@ -34,27 +34,36 @@ def unwrap_items(payloads: DataFrame, items: str = "data.affected_items") -> Dat
     return payloads.select(F.posexplode_outer(items).alias("pos", "item")).filter("item IS NOT NULL").select("pos", "item.*")
 
 
-def _numbered(documents: DataFrame, items: str, place: str) -> DataFrame:
+def numbered_items(documents: DataFrame, items: str, place: str) -> DataFrame:
     return documents.select(F.posexplode(items).alias(place, "item")).select(F.col(place).cast("long").alias(place), "item.*")
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Devices with pos and links with seq, of one network document."""
     document = spark.read.schema(S.NETWORK_DOCUMENT).option("multiLine", True).json(path)
-    return _numbered(document, "nodes", "pos"), _numbered(document, "edges", "seq")
+    return numbered_items(document, "nodes", "pos"), numbered_items(document, "edges", "seq")
+
+
+def device_tables(devices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forwarding and address rows of devices that carry them: fdb (pos, chassis_id, seq, mac, port, vlan)
+    and arp (pos, seq, mac, ip)."""
+    seen = devices.select("pos", "chassis_id", F.posexplode("fdb").alias("seq", "x"))
+    fdb = seen.select("pos", "chassis_id", F.col("seq").cast("long").alias("seq"), "x.*")
+    known = devices.select("pos", F.posexplode(F.map_entries("arp")).alias("seq", "x"))
+    return fdb, known.select("pos", F.col("seq").cast("long").alias("seq"), F.col("x.key").alias("mac"), F.col("x.value").alias("ip"))
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """Endpoints with pos, of one JSON list."""
     whole = spark.read.option("wholetext", True).text(path)
     parsed = whole.select(F.from_json("value", T.ArrayType(S.SCORED_ENDPOINT)).alias("items"))
-    return _numbered(parsed, "items", "pos")
+    return numbered_items(parsed, "items", "pos")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph document, in its order."""
     document = spark.read.schema(S.GRAPH_DOCUMENT).option("multiLine", True).json(path)
-    return _numbered(document, "nodes", "pos"), _numbered(document, "edges", "seq")
+    return numbered_items(document, "nodes", "pos"), numbered_items(document, "edges", "seq")
 
 
 def addresses_in_text(lines: DataFrame, column: str = "value") -> DataFrame:
