@@ -18,8 +18,11 @@ def read_walks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def walk_range(walks: DataFrame, base: str, context: str | None = None) -> DataFrame:
-    """The rows below a base, those of one context if given; both prune partitions."""
-    rows = walks.filter(F.startswith(F.col("oid"), F.lit(base.rstrip(".") + ".")))
+    """The rows below a base, those of one context if given. Walks that were made from elsewhere in the
+    tree are left out by their own base, which prunes partitions; so does the context."""
+    base = base.rstrip(".")
+    made_above = F.startswith(F.lit(base), F.col("base_oid")) | F.col("base_oid").isNull()
+    rows = walks.filter(made_above & F.startswith(F.col("oid"), F.lit(base + ".")))
     return rows if context is None else rows.filter(F.col("context") == context)
 
 
