@@ -91,7 +91,7 @@ class WordTokenizer:
         return whole, np.diff(upto)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
 def unsliced(texts: pa.Array) -> pa.Array:
@@ -115,20 +115,22 @@ def power_of_two_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True, cached_parts: int = CACHED_PARTS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket
     (log2 of the length) and, with_ids, token_ids.
 
-    ``max_len`` must be a power of two. A sequence is one piece, so offset is 0.
+    ``max_len`` must be a power of two. A sequence is one piece, so offset is 0. A larger
+    cache and larger slices cost memory and save time; they never change a result.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
+        key = tokenizer_path, cached_parts
+        tokenizer = _tokenizers.get(key) or _tokenizers.setdefault(key, WordTokenizer(*key))
         for batch in batches:
-            for some in slices(batch, 1, SLICE_BYTES):
+            for some in slices(batch, 1, slice_bytes):
                 ids, counts = tokenizer.encode(some.column(1))
                 raw, at = ids.astype("<u4").tobytes(), 0
                 rows: list[tuple] = []
@@ -164,7 +166,7 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cached_parts=1_000_000, slice_bytes=32 << 20)
 
 
 QUERIES = {"op3_packing": op3_packing}
