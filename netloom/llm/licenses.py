@@ -1,7 +1,10 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
 A paragraph is a line of the text. Lines with a cue (a word or phrase that every
-template has and prose rarely does) are classified by multinomial logistic
+template has and prose rarely does) are read through overlapping windows: of
+``PIECE_WORDS`` words all along the line, as a wrapped notice shows it, and of
+``NAME_WORDS`` words around each cue, for a notice inside prose. A line's length
+therefore does not matter. Windows are classified by multinomial logistic
 regression on the presence of word 1-grams and 2-grams. The vocabulary is that of
 the templates and the counter-examples, so the table of weights has a fixed size
 and is broadcast; everything else is splitting, an equality join and sums.
@@ -9,9 +12,11 @@ and is broadcast; everything else is splitting, an equality join and sums.
 Training examples are the templates, whole and in pieces, and counter-examples
 that have cues without granting anything. One class is "unknown". Half of the
 counter-examples are not fitted: the cut for the probability of a family is the
-highest that any of them gets, and 1/2 at least. A paragraph that passes the cut
-is confirmed if at least ``MIN_SIMILARITY`` of its n-grams are in one template of
-the predicted family; otherwise it stays unknown.
+highest that any of them gets, and 1/2 at least. A window that passes the cut
+is confirmed if at least ``MIN_SIMILARITY`` of its n-grams are in the templates of
+the predicted family taken together, and at least ``MIN_OWN`` 2-gram without common
+words in no other family's. A line takes the family whose confirmed windows have the largest sum of
+probabilities; without one it stays unknown.
 
 Only DataFrame operations and Spark's own estimators are used.
 """
@@ -25,11 +30,14 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.llm.secrets import let
 from netloom.llm.session import table
 
 UNKNOWN = "unknown"
 MIN_SIMILARITY = 0.5
 PIECE_WORDS = 12
+NAME_WORDS = 5
+MIN_OWN = 1
 
 # Public licence notices, by family.
 TEMPLATES = {
@@ -104,6 +112,9 @@ COUNTER_EXAMPLES = [
 #: Every template has one of these.
 CUES = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public\x20domain|creative\x20commons"
 
+#: 2-grams with such a word name no family.
+COMMON = r"\b(?:a|an|and|at|for|from|in|is|of|on|or|that|the|this|to|was|with)\b"
+
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -114,6 +125,19 @@ def ngrams(line: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(words, pairs)))
 
 
+def windows(line: Column) -> Column:
+    """Distinct overlapping runs of a line's words: long ones all along it, short ones that have a cue."""
+
+    def runs(words: Column, size: int, step: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size + step - 1), F.lit(step))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k + 1, size), " "))
+
+    def both(words: Column) -> Column:
+        return F.concat(runs(words, PIECE_WORDS, PIECE_WORDS // 2), F.filter(runs(words, NAME_WORDS, 1), lambda w: w.rlike(CUES)))
+
+    return F.filter(F.array_distinct(let(F.regexp_extract_all(line, F.lit(f"(?i){_TOKEN}"), F.lit(0)), both)), lambda w: w != "")
+
+
 def pieces(text: str) -> list[str]:
     """A template whole, and in overlapping pieces with a cue, as a wrapped notice shows it."""
     words = text.split()
@@ -121,63 +145,63 @@ def pieces(text: str) -> list[str]:
     return list(dict.fromkeys([text, *(c for c in cut if len(words) > PIECE_WORDS and re.search(CUES, c))]))
 
 
-def fit_families(spark: SparkSession, *, regularisation: float = 0.005) -> tuple[DataFrame, list[str], list[tuple[str, float]], float]:
-    """The weights (gram, weights: one for each class, in_template: 0 or 1 for each template), the
-    classes with their intercepts in that order, the templates' families, and the cut."""
+def fit_families(spark: SparkSession, *, regularisation: float = 0.005) -> tuple[DataFrame, list[tuple[str, float]], float]:
+    """The weights (gram, weights: one for each class; of_family and own: 0 or 1 for each class, whether its
+    templates have the gram, and they alone have the 2-gram), the classes with their intercepts in that order, and the cut."""
     classes = [UNKNOWN, *sorted(TEMPLATES)]
     fitted = [(float(k), text) for k, name in enumerate(classes) for t in TEMPLATES.get(name, []) for text in pieces(t)]
     fitted += [(0.0, text) for text in COUNTER_EXAMPLES[::2]]
     examples = spark.createDataFrame(fitted, "label double, line string").coalesce(1).withColumn("grams", ngrams(F.col("line")))
     vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0).fit(examples)
     model = LogisticRegression(family="multinomial", regParam=regularisation, maxIter=100).fit(vectorizer.transform(examples))
-    templates = [(name, t) for name in classes for t in TEMPLATES.get(name, [])]
-    of_template = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, line string").select("k", F.explode(ngrams(F.col("line"))).alias("gram")).groupBy("gram").agg(F.collect_set("k").alias("ks"))
+    templates = [(k, t) for k, name in enumerate(classes) for t in TEMPLATES.get(name, [])]
+    of_template = spark.createDataFrame(templates, "k int, line string").select("k", F.explode(ngrams(F.col("line"))).alias("gram")).groupBy("gram").agg(F.collect_set("k").alias("ks"))
     matrix = model.coefficientMatrix.toArray()
     rows = [(gram, [float(x) for x in matrix[:, j]]) for j, gram in enumerate(vectorizer.vocabulary)]
     weights = spark.createDataFrame(rows, "gram string, weights array<double>").join(of_template, "gram", "left")
-    member = F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda k: F.coalesce(F.array_contains("ks", k), F.lit(False)).cast("int"))
-    weights = weights.select("gram", "weights", member.alias("in_template"))
+    member = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda k: F.coalesce(F.array_contains("ks", k), F.lit(False)).cast("int"))
+    weights = weights.select("gram", "weights", member.alias("of_family"), F.when((F.size("ks") == 1) & F.contains("gram", F.lit(" ")) & ~F.col("gram").rlike(COMMON), member).alias("own"))
     intercepts = list(zip(classes, model.interceptVector.toArray().tolist()))
-    held = spark.createDataFrame([(text,) for text in COUNTER_EXAMPLES[1::2]], "line string").withColumn("id", F.monotonically_increasing_id())
-    worst = _class_sums(held, weights, intercepts, ["id"], len(templates)).agg(F.max("probability")).first()[0]
-    return weights, [name for name, _ in templates], intercepts, max(0.5, worst)
+    held = spark.createDataFrame([(text,) for text in COUNTER_EXAMPLES[1::2]], "text string").select(F.explode(windows(F.col("text"))).alias("line")).withColumn("id", F.monotonically_increasing_id())
+    worst = _class_sums(held, weights, intercepts, ["id"]).agg(F.max("probability")).first()[0]
+    return weights, intercepts, max(0.5, worst)
 
 
-def _class_sums(lines: DataFrame, weights: DataFrame, intercepts: list[tuple[str, float]], keys: list[str], n_templates: int) -> DataFrame:
-    """keys, family (the likeliest that is not unknown), probability and shared (n-grams shared with each
-    template) and n (distinct n-grams) of every line."""
+def _class_sums(lines: DataFrame, weights: DataFrame, intercepts: list[tuple[str, float]], keys: list[str]) -> DataFrame:
+    """keys, family (the likeliest that is not unknown), probability, similarity (the share of the distinct
+    n-grams that the family's templates have) and own (how many 2-grams no other family's have) of every line."""
     grams = lines.select(*keys, F.explode(ngrams(F.col("line"))).alias("gram"))
     met = grams.join(F.broadcast(weights), "gram", "left")  # as many rows as the templates have n-grams
     sums = [(F.lit(b) + F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0))).alias(f"s{k}") for k, (_, b) in enumerate(intercepts)]
-    shared = [F.coalesce(F.sum(F.get("in_template", F.lit(k))), F.lit(0)).alias(f"t{k}") for k in range(n_templates)]
-    summed = met.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *shared)
+    counts = [F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(0)).alias(f"{name}{k}") for k in range(len(intercepts)) if k for name in ("of_family", "own")]
+    summed = met.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *counts)
     top = F.greatest(*(F.col(f"s{k}") for k in range(len(intercepts))))
     total = sum((F.exp(F.col(f"s{k}") - top) for k in range(1, len(intercepts))), F.exp(F.col("s0") - top))
-    best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("s"), F.lit(name).alias("family")) for k, (name, _) in enumerate(intercepts) if k)))
+    best = F.array_max(F.array(*(F.struct(F.col(f"s{k}").alias("s"), F.lit(name).alias("family"), F.col(f"of_family{k}").alias("shared"), F.col(f"own{k}").alias("own")) for k, (name, _) in enumerate(intercepts) if k)))
     picked = summed.withColumn("best", best)
-    return picked.select(*keys, "best.family", (F.exp(F.col("best.s") - top) / total).alias("probability"), F.array(*(F.col(f"t{k}") for k in range(n_templates))).alias("shared"), "n")
+    return picked.select(*keys, "best.family", (F.exp(F.col("best.s") - top) / total).alias("probability"), (F.col("best.shared") / F.col("n")).alias("similarity"), "best.own")
 
 
 def scan_licenses(docs: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """One row for each line with a cue: doc_id, line (its number from 0), family, probability,
-    similarity (the largest share of its n-grams in a template of the family) and confirmed.
+    """One row for each line with a cue: doc_id, line (its number from 0), family, and of the family's best
+    window probability, similarity (the share of its n-grams in the family's templates) and confirmed.
 
-    family is "unknown" unless the probability passes the cut and a template confirms
-    it. Null and empty texts have no lines with a cue; a line of marks only is not
-    listed; repeated rows are listed each; an empty table gives no rows; other
+    family is "unknown" unless a window's probability passes the cut and the templates
+    confirm it. Null and empty texts have no lines with a cue; a line of marks only is
+    not listed; repeated rows are listed each; an empty table gives no rows; other
     columns are ignored.
     """
-    weights, template_families, intercepts, cut = fit_families(docs.sparkSession)
+    weights, intercepts, cut = fit_families(docs.sparkSession)
     cued = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike(CUES)).withColumn("row", F.monotonically_increasing_id())
     lines = cued.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(CUES))
     keys = ["row", "doc_id", "line_no"]
-    scored = _class_sums(lines, weights, intercepts, keys, len(template_families))
-    of_family = F.array(*map(F.lit, template_families))
-    matching = F.filter(F.arrays_zip(of_family.alias("f"), F.col("shared").alias("s")), lambda x: x["f"] == F.col("family"))
-    similarity = F.array_max(F.transform(matching, lambda x: x["s"])) / F.col("n")
-    judged = scored.withColumn("similarity", similarity).withColumn("confirmed", (F.col("probability") > cut) & (F.col("similarity") >= min_similarity))
-    family = F.when(F.col("confirmed"), F.col("family")).otherwise(F.lit(UNKNOWN))
-    return judged.select("doc_id", F.col("line_no").cast("long").alias("line"), family.alias("family"), "probability", "similarity", "confirmed")
+    seen = lines.select(*keys, F.posexplode(windows(F.col("line"))).alias("window", "line"))
+    scored = _class_sums(seen, weights, intercepts, [*keys, "window"])
+    judged = scored.withColumn("confirmed", (F.col("probability") > cut) & (F.col("similarity") >= min_similarity) & (F.col("own") >= MIN_OWN))
+    sums = judged.groupBy(*keys, "family").agg(F.sum(F.when(F.col("confirmed"), F.col("probability")).otherwise(0.0)).alias("evidence"), F.max(F.struct("confirmed", "probability", "similarity")).alias("window"))
+    best = sums.groupBy(*keys).agg(F.max(F.struct("evidence", "window", "family")).alias("best"))
+    family = F.when(F.col("best.window.confirmed"), F.col("best.family")).otherwise(F.lit(UNKNOWN))
+    return best.select("doc_id", F.col("line_no").cast("long").alias("line"), family.alias("family"), "best.window.probability", "best.window.similarity", "best.window.confirmed")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

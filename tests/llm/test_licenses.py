@@ -28,3 +28,22 @@ def test_query_finds_every_notice_of_the_table(spark, tiny):
     rows = op10_license_scan(spark, tiny).collect()
     assert sorted((r.doc_id, r.line) for r in rows) == sorted((d, k) for d, k, _ in lines)
     assert all(r.confirmed for r in rows)
+
+
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+PROSE = "The harbour was quiet when the boats came home, and the men sat down to mend their nets until the lamps were lit along the quay. "
+
+
+def families(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = scan_licenses(docs).collect()
+    assert len({(r.doc_id, r.line) for r in rows}) == len(rows)
+    return {r.doc_id: r.family for r in rows}
+
+
+def test_full_licences_and_notices_inside_prose_are_found(spark):
+    texts = [MIT, BSD, GPL, PROSE + "Released under the MIT License.", PROSE * 200 + MIT + PROSE * 200, PROSE + "All of it is released under the MIT License unless noted. " + PROSE, PROSE + "Licensed under the Apache License, Version 2.0. " + PROSE]
+    prose = ["The album was released under the license of the label. " + PROSE, PROSE + "Students of the MIT asked for permission to enter the lab.", PROSE * 20 + "The public library asks for the license of the driver."]
+    assert families(spark, texts + prose) == dict(enumerate(["mit", "bsd", "gpl-3.0", "mit", "mit", "mit", "apache-2.0", *["unknown"] * 3]))
