@@ -1,10 +1,12 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
 A paragraph is a line of the text. Lines with a cue (a word or phrase that every
-template has and prose rarely does) are read through overlapping windows: of
-``PIECE_WORDS`` words all along the line, as a wrapped notice shows it, and of
-``NAME_WORDS`` words around each cue, for a notice inside prose. A line's length
-therefore does not matter. Windows are classified by multinomial logistic
+template has and prose rarely does, or a licence's name) are read through
+overlapping windows: of ``PIECE_WORDS`` words all along the line, as a wrapped
+notice shows it, and of ``NAME_WORDS`` words around each cue, for a notice inside
+prose. A line's length therefore does not matter. Of lines without a cue, as the
+middle of a wrapped notice, those long windows are read that share
+``SHARED_PAIRS`` 2-grams with the templates. Windows are classified by multinomial logistic
 regression on the presence of word 1-grams and 2-grams. The vocabulary is that of
 the templates and the counter-examples, so the table of weights has a fixed size
 and is broadcast; everything else is splitting, an equality join and sums.
@@ -37,6 +39,7 @@ UNKNOWN = "unknown"
 MIN_SIMILARITY = 0.5
 PIECE_WORDS = 12
 NAME_WORDS = 5
+SHARED_PAIRS = 5
 MIN_OWN = 1
 
 # Public licence notices, by family.
@@ -64,6 +67,8 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "gpl-3.0": [
+        "Released under GPLv3.",
+        "Covered by the GNU GPL, version 3 or later.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
@@ -110,7 +115,7 @@ COUNTER_EXAMPLES = [
     "The public library asks for the permission of a parent.",
 ]
 #: Every template has one of these.
-CUES = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public\x20domain|creative\x20commons"
+CUES = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public\x20domain|creative\x20commons|\bl?gpl|\bgnu\b|\bcc[\x20-]by\b|\bcc0\b|\bapache\b|\bbsd\b|\bmpl\b|mozilla|(?-i:\bMIT\b)"
 
 #: 2-grams with such a word name no family.
 COMMON = r"\b(?:a|an|and|at|for|from|in|is|of|on|or|that|the|this|to|was|with)\b"
@@ -125,24 +130,45 @@ def ngrams(line: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(words, pairs)))
 
 
+def known_pairs() -> list[str]:
+    """The 2-grams of the templates."""
+    words = [re.findall(_TOKEN, t.lower()) for texts in TEMPLATES.values() for t in texts]
+    return sorted({f"{a} {b}" for w in words for a, b in zip(w, w[1:])})
+
+
 def windows(line: Column) -> Column:
-    """Distinct overlapping runs of a line's words: long ones all along it, short ones that have a cue."""
+    """Distinct overlapping runs of a line's words. With a cue in the line: long ones all along it, and short
+    ones that have a cue; without: long ones that share enough 2-grams with the templates."""
+    known = known_pairs()
 
     def runs(words: Column, size: int, step: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size + step - 1), F.lit(step))
-        return F.transform(starts, lambda k: F.array_join(F.slice(words, k + 1, size), " "))
+        return F.transform(starts, lambda k: F.slice(words, k + 1, size))
+
+    def joined(found: Column) -> Column:
+        return F.transform(found, lambda w: F.array_join(w, " "))
+
+    def shares(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.size(F.filter(pairs, lambda p: F.coalesce(p.isin(known), F.lit(False)))) >= SHARED_PAIRS
+
+    def with_cue(words: Column) -> Column:
+        return F.concat(joined(runs(words, PIECE_WORDS, PIECE_WORDS // 2)), F.filter(joined(runs(words, NAME_WORDS, 1)), lambda w: w.rlike(CUES)))
 
-    def both(words: Column) -> Column:
-        return F.concat(runs(words, PIECE_WORDS, PIECE_WORDS // 2), F.filter(runs(words, NAME_WORDS, 1), lambda w: w.rlike(CUES)))
+    def without_cue(words: Column) -> Column:
+        found = joined(F.filter(runs(words, PIECE_WORDS, PIECE_WORDS // 2), shares))
+        return F.when(shares(words), found).otherwise(F.array().cast("array<string>"))
 
-    return F.filter(F.array_distinct(let(F.regexp_extract_all(line, F.lit(f"(?i){_TOKEN}"), F.lit(0)), both)), lambda w: w != "")
+    cased, lower = F.regexp_extract_all(line, F.lit(f"(?i){_TOKEN}"), F.lit(0)), F.regexp_extract_all(F.lower(line), F.lit(_TOKEN), F.lit(0))
+    found = F.when(line.rlike(CUES), let(cased, with_cue)).otherwise(let(lower, without_cue))
+    return F.filter(F.array_distinct(found), lambda w: w != "")
 
 
 def pieces(text: str) -> list[str]:
-    """A template whole, and in overlapping pieces with a cue, as a wrapped notice shows it."""
+    """A template whole, and in overlapping pieces, as a wrapped notice shows it."""
     words = text.split()
     cut = (" ".join(words[k : k + PIECE_WORDS]) for k in range(0, max(1, len(words) - PIECE_WORDS // 2), PIECE_WORDS // 2))
-    return list(dict.fromkeys([text, *(c for c in cut if len(words) > PIECE_WORDS and re.search(CUES, c))]))
+    return list(dict.fromkeys([text, *(c for c in cut if len(words) > PIECE_WORDS)]))
 
 
 def fit_families(spark: SparkSession, *, regularisation: float = 0.005) -> tuple[DataFrame, list[tuple[str, float]], float]:
@@ -183,23 +209,23 @@ def _class_sums(lines: DataFrame, weights: DataFrame, intercepts: list[tuple[str
 
 
 def scan_licenses(docs: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """One row for each line with a cue: doc_id, line (its number from 0), family, and of the family's best
-    window probability, similarity (the share of its n-grams in the family's templates) and confirmed.
+    """One row for each line with a cue, and for each confirmed line without: doc_id, line (its number from 0),
+    family, and of the family's best window probability, similarity (the share of its n-grams in the family's templates) and confirmed.
 
     family is "unknown" unless a window's probability passes the cut and the templates
-    confirm it. Null and empty texts have no lines with a cue; a line of marks only is
+    confirm it. Null and empty texts have no such lines; a line of marks only is
     not listed; repeated rows are listed each; an empty table gives no rows; other
     columns are ignored.
     """
     weights, intercepts, cut = fit_families(docs.sparkSession)
-    cued = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike(CUES)).withColumn("row", F.monotonically_increasing_id())
-    lines = cued.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(CUES))
-    keys = ["row", "doc_id", "line_no"]
-    seen = lines.select(*keys, F.posexplode(windows(F.col("line"))).alias("window", "line"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    keys = ["row", "doc_id", "line_no", "cued"]
+    seen = lines.select("row", "doc_id", "line_no", F.col("line").rlike(CUES).alias("cued"), F.posexplode(windows(F.col("line"))).alias("window", "line"))
     scored = _class_sums(seen, weights, intercepts, [*keys, "window"])
     judged = scored.withColumn("confirmed", (F.col("probability") > cut) & (F.col("similarity") >= min_similarity) & (F.col("own") >= MIN_OWN))
     sums = judged.groupBy(*keys, "family").agg(F.sum(F.when(F.col("confirmed"), F.col("probability")).otherwise(0.0)).alias("evidence"), F.max(F.struct("confirmed", "probability", "similarity")).alias("window"))
-    best = sums.groupBy(*keys).agg(F.max(F.struct("evidence", "window", "family")).alias("best"))
+    best = sums.groupBy(*keys).agg(F.max(F.struct("evidence", "window", "family")).alias("best")).filter(F.col("cued") | F.col("best.window.confirmed"))
     family = F.when(F.col("best.window.confirmed"), F.col("best.family")).otherwise(F.lit(UNKNOWN))
     return best.select("doc_id", F.col("line_no").cast("long").alias("line"), family.alias("family"), "best.window.probability", "best.window.similarity", "best.window.confirmed")
 

@@ -47,3 +47,12 @@ def test_full_licences_and_notices_inside_prose_are_found(spark):
     texts = [MIT, BSD, GPL, PROSE + "Released under the MIT License.", PROSE * 200 + MIT + PROSE * 200, PROSE + "All of it is released under the MIT License unless noted. " + PROSE, PROSE + "Licensed under the Apache License, Version 2.0. " + PROSE]
     prose = ["The album was released under the license of the label. " + PROSE, PROSE + "Students of the MIT asked for permission to enter the lab.", PROSE * 20 + "The public library asks for the license of the driver."]
     assert families(spark, texts + prose) == dict(enumerate(["mit", "bsd", "gpl-3.0", "mit", "mit", "mit", "apache-2.0", *["unknown"] * 3]))
+
+
+def test_names_and_lines_of_wrapped_notices_without_a_cue_are_found(spark):
+    names = {"Distributed under CC BY 4.0.": "cc-by", "Released under GPLv3.": "gpl-3.0", "covered by the GNU GPL, version 3 or later": "gpl-3.0", PROSE + "Released under GPLv3. " + PROSE: "gpl-3.0"}
+    wrapped = "to any person obtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the Software without\nrestriction, including without limitation the rights to use, copy, modify,"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*names, wrapped, PROSE * 3])], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.line, r.family) for r in scan_licenses(docs).collect())
+    n = len(names)
+    assert rows == [(k, 0, f) for k, f in enumerate(names.values())] + [(n, k, "mit") for k in range(3)]
