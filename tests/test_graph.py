@@ -10,7 +10,9 @@ from netloom.operators.endpoints import select_mac
 from netloom.operators.graph import bfs_order, dedupe_links
 from netloom.operators.walks import build_fdb
 from netloom.plans.document import build_graph, metadata
+from netloom.plans.queries import QUERIES
 from netloom.sources import landing
+from netloom.sources.scenario import build_scenario
 
 LINKS = "seq long, source_chassis_id string, target_chassis_id string, local_port string, remote_port string"
 DEVICES = "pos long, chassis_id string, ip string, hostname string, lldp_cap_enabled string, pollable boolean, uplink_ports array<string>, own_macs array<string>"
@@ -55,6 +57,21 @@ def test_level_by_level_order_is_the_order_of_a_queue(spark):
         assert [x.chassis_id for x in rows] == order and {x.chassis_id: x.parent for x in rows} == parent
 
 
+def test_queries_order_every_device_of_the_scenario(spark, tiny):
+    scenario = build_scenario(spark, tiny)
+    devices = {r.chassis_id: r.pos for r in scenario.devices.select("chassis_id", "pos").collect()}
+    edges = [(r.source_chassis_id, r.target_chassis_id) for r in scenario.links.orderBy("seq").collect()]
+    order, parent = queue_order(sorted(devices, key=devices.get), [e for e in edges if set(e) <= set(devices)])
+    rows = QUERIES["bfs_order_all"](spark, tiny).orderBy("rank").collect()
+    assert max(devices.values()) >= 1000 and len(rows) == len(devices)
+    assert [r.chassis_id for r in rows] == order and {r.chassis_id: r.parent for r in rows} == parent
+    root = {}
+    for at in order:
+        root[at] = devices[at] if parent[at] is None else root[parent[at]]
+    assert {r.chassis_id: r.root for r in QUERIES["components_all"](spark, tiny).collect()} == root
+    print(len(rows), "devices;", QUERIES["bfs_order"](spark, tiny).count(), "in bfs_order")
+
+
 def test_undirected_links_keep_the_first_label_of_each_side(spark):
     rows = [(0, "b", "a", "", "p2"), (1, "a", "b", None, "q1"), (2, "a", "b", "p3", "q3"), (3, "c", "c", "x", "y")]
     got = {(r.source_chassis_id, r.target_chassis_id): (r.seq, r.local_port, r.remote_port) for r in dedupe_links(spark.createDataFrame(rows, LINKS)).collect()}
