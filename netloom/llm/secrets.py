@@ -38,7 +38,7 @@ _ACCESS = r"AKIA[A-Z0-9]{16,}"
 _HEX = r"[0-9a-f]{24,}"
 _IDENT = r"""((?i:user_?name|user_?id|login|account_?id|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 _ENDPOINT = r"""(?i:https?|wss?|amqps?|ldaps?|redis|mysql|postgres(?:ql)?|mongodb(?:\+srv)?)://[^\x20\x09-\x0D"'<>]{4,}"""
-_BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,199}[0-9])(?=[0-9+/_-]{0,199}[A-Za-z])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+_BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 

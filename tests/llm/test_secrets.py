@@ -56,3 +56,12 @@ def test_query_against_brute_force(spark, tiny):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in want) for k in range(3)]
         assert r.base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest()
         assert set(filter(None, listed(want).split(","))) <= set(r.spans.split(","))
+
+
+def test_long_unbroken_tokens_are_candidates(spark):
+    tokens = ["Zx9Qw8Er" * 32, "z" * 300 + "9", "_7" * 150 + "z", "-" * 100 + "z" * 200 + "1", "z" * 300, "_8" * 150]
+    texts = [f"https://example.org {t}" for t in tokens]
+    rows = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(s["start"], s["end"]) for s in r.spans if s["kind"] == 5] for r in rows] == [[(20, 20 + len(t))] for t in tokens[:4]] + [[], []]
+    hidden = redact_secrets(spark.createDataFrame([(0, texts[0] + " end")], "doc_id long, text string")).first()
+    assert hidden.text == "[SECRET] [SECRET] end"
