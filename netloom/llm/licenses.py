@@ -221,7 +221,8 @@ def scan_licenses(docs: DataFrame, *, min_similarity: float = MIN_SIMILARITY) ->
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keys = ["row", "doc_id", "line_no", "cued"]
-    seen = lines.select("row", "doc_id", "line_no", F.col("line").rlike(CUES).alias("cued"), F.posexplode(windows(F.col("line"))).alias("window", "line"))
+    # outer, as Spark else computes the windows once more to leave out rows without any
+    seen = lines.select("row", "doc_id", "line_no", F.col("line").rlike(CUES).alias("cued"), F.posexplode_outer(windows(F.col("line"))).alias("window", "line")).filter("line IS NOT NULL")
     scored = _class_sums(seen, weights, intercepts, [*keys, "window"])
     judged = scored.withColumn("confirmed", (F.col("probability") > cut) & (F.col("similarity") >= min_similarity) & (F.col("own") >= MIN_OWN))
     sums = judged.groupBy(*keys, "family").agg(F.sum(F.when(F.col("confirmed"), F.col("probability")).otherwise(0.0)).alias("evidence"), F.max(F.struct("confirmed", "probability", "similarity")).alias("window"))
