@@ -27,6 +27,33 @@ def compare_blocks(rows: DataFrame, key: str, spread: str, limit: int) -> DataFr
     return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
 
 
+#: A key with more than one in HOT_SHARE of all rows is never dealt to one task. No more than HOT_SHARE keys are, so they may be broadcast.
+HOT_SHARE, HOT_LEAST = 4096, 1000
+
+
+def least_hot(total: int) -> int:
+    """With more rows than this, of ``total``, a key is hot."""
+    return max(HOT_LEAST, total // HOT_SHARE)
+
+
+def hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Those values of a column of hashes that more than ``limit`` rows have. Values in buckets of 16 bits that all
+    together have no more are not counted one by one."""
+    bucket = F.col(key).bitwiseAND(F.lit(0xFFFF << 24))
+    heavy = [r[0] for r in rows.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > limit).select("bucket").collect()]  # at most HOT_SHARE
+    return rows.filter(bucket.isin(heavy)).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key)
+
+
+def join_unevenly(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, limit: int) -> DataFrame:
+    """``rows`` joined with one row of ``facts`` for each of the keys, which has the number of its rows in column n.
+
+    Facts of hot keys are broadcast, so no task gets all rows of one; the others meet by a shuffle.
+    """
+    hot = F.broadcast(facts.filter(F.col(n) > limit))  # at most HOT_SHARE rows
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(facts.filter(F.col(n) <= limit), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Deals rows out so that ``complete_groups`` sees each group of the keys together."""
     return rows.repartition(*keys).sortWithinPartitions(*keys)

@@ -1,44 +1,70 @@
-"""Removal of passages that repeat across documents, by partitioned suffix trees.
+"""Removal of passages that repeat across documents, by prefix-partitioned suffix trees.
 
 A passage of ``window`` words counts as a repeat in every document but the one
 with the smallest id that has it. All suffixes, cut to ``window`` words, are split
-into groups of bounded size, and the suffix tree of each group tells the repeats:
-its internal nodes at depth ``window``.
-
-Suffixes split by a prefix of fixed place would travel with their words one by
-one. Here the splitting gram of a suffix is the one with the smallest hash among
-its grams, so equal suffixes still split alike, consecutive suffixes share a gram
-and travel as one stretch of text, and a gram that only one document has drops
-its suffixes before any text moves. A group with too many stretches splits
-further by hash; the parts' nodes then meet by the digest of their words.
+into groups that fit in memory, and the suffix tree of each group tells the
+repeats: its internal nodes at depth ``window``, each of which keeps the smallest
+document below it. Consecutive suffixes below such nodes make a maximal repeat.
+
+Splitting by words of fixed place would send every suffix with its own words. The
+splitting gram of a suffix is the one with the smallest hash among its grams
+instead, so equal suffixes still split alike, and consecutive suffixes with one
+gram travel as one stretch of text; a text that repeats a phrase is one stretch.
+Grams have variable length: a group begins with ``WIDTHS[0]`` words, and those with
+more than ``GROUP_WORDS`` words split anew by longer grams, up to the whole window,
+where a group is one node and needs no tree. Which groups split is a bitmap of
+fixed size; a gram that shares its bit with such a group merely splits early too.
+
+Before a tree is built, stretches with the same words (two hashes of 64 bits:
+gram and words) become one leaf set with one smallest document. The others of
+such a set repeat it whole, so only one of each set sends its words. Groups of
+one document, or of one set, need no tree. A gram that is too common for one task
+(see ``buckets``) is never grouped in one place before its sets are merged.
 
 Within a group the tree is built level by level: ranks of the suffixes by 1, 2, 4,
 ... words are the nodes at that depth, each from pairs of nodes of the level
-before. Words are compared as they are; hashes only decide who meets.
+before. Texts are shuffled once; both joins with them read that exchange.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.buckets import by_group, complete_groups
-from netloom.llm.session import checkpoint, table
-from netloom.llm.text import BLANK_BYTES, encode
+from netloom.llm.buckets import by_group, complete_groups, hot_keys, join_unevenly, least_hot
+from netloom.llm.session import discard, table, written
+from netloom.llm.text import BLANK_BYTES, WORD, encode
 
 WINDOW = 50
+#: Words of the splitting grams, from the first to the last but one; the last is the window.
 GRAM = 8
-#: Stretches of a gram that are put in one tree.
-GROUP_STRETCHES = 256
-_PIECE_BYTES = 4 << 20
+#: Words of the stretches that are put in one tree.
+GROUP_WORDS = 1 << 19
+#: Bits that tell which groups split.
+FLAG_BITS = 24
+_PIECE_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.isin(np.arange(256), list(BLANK_BYTES))
+_BLANK_RUN, _WORD_RUN = re.compile(rb"[\x20\x09-\x0d]+"), re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def gram_widths(window: int, gram: int) -> list[int]:
+    """Lengths of the splitting grams: each twice as long as the one before, then the window."""
+    widths = []
+    while gram < window:
+        widths.append(gram)
+        gram *= 2
+    return [*widths, window]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,88 +86,173 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values times powers, from 0, and the inverse powers."""
+    up, down = _Powers.upto(len(values) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])]), down
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and the number of words of each text."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     blank = _BLANK[raw]
     edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
     starts, ends = (edge == -1).nonzero()[0], (edge == 1).nonzero()[0]
-    up, down = _Powers.upto(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    sums, down = _sums(raw.astype(np.uint64) + np.uint64(1))
     hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
     limits = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
 
 
-def splitting_grams(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive suffixes with the same splitting gram: text, hash, place of the gram,
-    first and last suffix (places are words of the text)."""
+def least_grams(words: np.ndarray, width: int, window: int) -> np.ndarray:
+    """For every window of the words, the smallest hash of its grams of that width."""
+    grams = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        grams = grams * _BASE + words[k : len(words) - width + 1 + k]
+    best, span, wanted = _mixed(grams), 1, window - width + 1
+    while span < wanted:
+        step = min(span, wanted - span)
+        best = np.minimum(best[: len(best) - step], best[step:])
+        span += step
+    return best
+
+
+def flagged(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64((1 << FLAG_BITS) - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def stretches_of(texts: list[bytes], window: int, widths: list[int], flags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Text, gram, digest, first and last suffix of each stretch: a run of consecutive suffixes with one
+    splitting gram, the last of ``widths``, among suffixes whose shorter grams are all flagged."""
     words, counts = word_hashes(texts)
-    n = len(words)
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if n < window:
+    if len(words) < window:
         return none
-    grams = np.zeros(n - gram + 1, np.uint64)
-    for k in range(gram):
-        grams = grams * _BASE + words[k : n - gram + 1 + k]
-    grams = _mixed(grams)
-    best, width, wanted = np.arange(len(grams)), 1, window - gram + 1
-    while width < wanted:
-        step = min(width, wanted - width)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(grams[left] <= grams[right], left, right)
-        width += step
     text = np.repeat(np.arange(len(texts)), counts)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    suffix = np.arange(n - window + 1)
-    whole = text[suffix] == text[suffix + window - 1]
-    suffix, best = suffix[whole], best[: n - window + 1][whole]
+    wanted = text[: len(words) - window + 1] == text[window - 1 :]
+    for width, bits in zip(widths, flags):
+        if not wanted.any():
+            return none
+        wanted &= flagged(least_grams(words, width, window), bits)
+    suffix = wanted.nonzero()[0]
     if not len(suffix):
         return none
-    new = np.concatenate([[True], (best[1:] != best[:-1]) | (text[suffix[1:]] != text[suffix[:-1]])])
+    key = least_grams(words, widths[-1], window)[suffix]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (suffix[1:] != suffix[:-1] + 1) | (text[suffix[1:]] != text[suffix[:-1]])])
     begin = new.nonzero()[0]
-    last = np.append(begin[1:], len(suffix)) - 1
-    of = text[suffix[begin]]
-    return of, grams[best[begin]].view(np.int64), best[begin] - first[of], suffix[begin] - first[of], suffix[last] - first[of]
+    low, high = suffix[begin], suffix[np.append(begin[1:], len(suffix)) - 1]
+    # suffixes with one gram of the window's length are equal, however many follow each other
+    length = (high - low if widths[-1] < window else np.zeros(len(low), np.int64)) + window
+    sums, down = _sums(_mixed(words ^ _OTHER))
+    digest = _mixed((sums[low + length] - sums[low]) * down[low] + length.astype(np.uint64) * _OTHER)
+    of = text[low]
+    first = (np.cumsum(counts) - counts)[of]
+    return of, key[begin].view(np.int64), digest.view(np.int64), low - first, high - first
+
+
+def pieces(texts: list[bytes], window: int, size: int = _PIECE_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, its words before, bytes) with about ``size`` bytes each. A longer text is cut into
+    several, which overlap so that every window lies in exactly one."""
+    held: list[tuple[int, int, bytes]] = []
+    room = size
+    for k, text in enumerate(texts):
+        if len(text) <= size:
+            if held and room < len(text):
+                yield held
+                held, room = [], size
+            held.append((k, 0, text))
+            room -= len(text)
+            continue
+        at = before = 0
+        while at < len(text):
+            blank = _BLANK_RUN.search(text, at + size)
+            end = blank.start() if blank else len(text)
+            beyond = end
+            for _, word in zip(range(window - 1), _WORD_RUN.finditer(text, end)):
+                beyond = word.end()
+            yield [(k, before, text[at:beyond])]
+            before += int(word_hashes([text[at:end]])[1][0])
+            at = end
+    if held:
+        yield held
+
+
+_STRETCHES = "doc long, mark long, key long, digest long, low int, high int"
+
+
+def _find_stretches(window: int, widths: list[int], flags: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(batch), 500):
+                texts = [encode(t) for t in batch.column(2).slice(at, 500).to_pylist()]
+                for some in pieces(texts, window):
+                    of, key, digest, low, high = stretches_of([x[2] for x in some], window, widths, flags)
+                    row = at + np.array([x[0] for x in some])[of]
+                    before = np.array([x[1] for x in some])[of]
+                    columns = [pa.array(docs[row]), pa.array(marks[row]), pa.array(key), pa.array(digest), *(pa.array((x + before).astype(np.int32)) for x in (low, high))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "key", "digest", "low", "high"])
+
+    return run
 
 
-_RUNS = "gram long, doc_id long, mark long, place int, low int, high int"
-_STRETCHES = "gram long, part int, parts int, doc_id long, mark long, low int, lead int, words binary"
-_FOUND = "doc_id long, mark long, low int, high int, node binary, least long, docs array<long>, marks array<long>, places array<int>"
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """The bitmap of a column of keys: at most 2 ** (FLAG_BITS - 6) words reach the driver."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << FLAG_BITS) - 1)).alias("slot")
+    set_ = keys.select(slot).groupBy(F.expr("cast(slot >> 6 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << FLAG_BITS >> 6, np.int64)
+    bits[set_.column("word").to_numpy()] = set_.column("bits").to_numpy()
+    return bits.view(np.uint64)
 
 
-def _runs(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [encode(t) for t in batch.column(2).to_pylist()]
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= _PIECE_BYTES):
-                    size += len(texts[end]) + 1
-                    end += 1
-                of, key, place, low, high = splitting_grams(texts[at:end], window, gram)
-                columns = [pa.array(key), pa.array(ids[at:end][of]), pa.array(marks[at:end][of]), *(pa.array(x.astype(np.int32)) for x in (place, low, high))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "mark", "place", "low", "high"])
-                at = end
+def _judged(docs: DataFrame, window: int, widths: list[int], flags: list[np.ndarray], group_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """Stretches that repeat whole (ask false) or that a tree must judge (ask true): doc, mark, low, high,
+    key, ask; and the bits of the groups that split."""
+    found = written(docs.mapInArrow(_find_stretches(window, widths, flags), _STRETCHES))
+    last = widths[-1] == window  # there a group is one set
+    group = ["key", "digest"] if last else ["key"]
+    limit = least_hot(found.count())
+    hot = written(hot_keys(found, "key", limit))
+    size = F.col("high") - F.col("low") + window
 
-    return run
+    of_set, of_group = W.partitionBy("key", "digest"), W.partitionBy(*group)
+    even = found.join(F.broadcast(hot), "key", "left_anti").repartition(*group).withColumn("least", F.min("doc").over(of_set))
+    leader = F.col("doc") == F.col("least")
+    facts = {"first": F.min("least"), "final": F.max("doc"), "words": F.sum(F.when(leader, size).otherwise(0)), "low_set": F.min("digest"), "high_set": F.max("digest")}
+    even = even.withColumns({name: value.over(of_group) for name, value in facts.items()})
+
+    common = found.join(F.broadcast(hot), "key")
+    sets = common.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.max(size).alias("size"))
+    of_hot = sets.groupBy(*group).agg(F.min("least").alias("first"), F.max("greatest").alias("final"), F.sum("size").alias("words"), F.min("digest").alias("low_set"), F.max("digest").alias("high_set"))
+    common = join_unevenly(common, sets.select("key", "digest", "n", "least"), ["key", "digest"], "n", limit).drop("n")
+    common = common.join(F.broadcast(of_hot), group)  # as many rows as there are hot keys
+
+    varied = F.col("low_set") < F.col("high_set")
+    told = even.unionByName(common).filter((F.col("first") < F.col("final")) & (~leader | varied))
+    judged = written(told.select("doc", "mark", "low", "high", "key", leader.alias("ask"), (varied & (F.col("words") > group_words)).alias("splits")))
+    over = judged.filter("ask AND splits").select("key")
+    split = None if last or over.isEmpty() else _bits_of(over)
+    discard(found, hot)
+    return judged.filter("NOT (ask AND splits)").drop("splits"), split
 
 
-def _stretches(window: int):
-    """The words of every run: each row of the input has a text and its runs."""
+_ASKED = "level int, key long, doc long, mark long, low int, words binary"
+
+
+def _words_of(window: int):
+    """The words of every stretch asked for: each row of the input has a text and its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["level", "key", "doc", "mark", "low", "words"]
         for batch in batches:
             for some in (batch.slice(k, 200) for k in range(0, len(batch), 200)):
                 rows: list[tuple] = []
-                for doc_id, mark, text, runs in zip(*(some.column(k).to_pylist() for k in range(4))):
+                for doc, mark, text, asked in zip(*(some.column(c).to_pylist() for c in ("doc", "mark", "text", "asked"))):
                     words = encode(text).split()
-                    for r in runs:
-                        rows.append((r["gram"], r["part"], r["parts"], doc_id, mark, r["low"], r["place"] - r["low"], b" ".join(words[r["low"] : r["high"] + window])))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["gram", "part", "parts", "doc_id", "mark", "low", "lead", "words"])
+                    rows += [(a["level"], a["key"], doc, mark, a["low"], b" ".join(words[a["low"] : a["high"] + window])) for a in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     return run
 
@@ -160,80 +271,65 @@ def nodes_at_depth(words: np.ndarray, depth: int) -> np.ndarray:
     return node.astype(np.int64)
 
 
-_FOUND_KINDS = {"doc_id": pa.int64(), "mark": pa.int64(), "low": pa.int32(), "high": pa.int32(), "node": pa.binary(), "least": pa.int64(), "docs": pa.list_(pa.int64()), "marks": pa.list_(pa.int64()), "places": pa.list_(pa.int32())}
-
-
-def _found(n: int, **columns) -> pa.RecordBatch:
-    """A batch of n rows with the given columns, the others null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in _FOUND_KINDS.items()], names=list(_FOUND_KINDS))
+def tree_repeats(words: pa.Array, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and end of every maximal repeat among the stretches: suffixes one after another
+    below nodes at depth ``window`` that also have a smaller document below them."""
+    split = pc.split_pattern(words.cast(pa.large_binary()), b" ")
+    ids = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(split).to_numpy()
+    node = nodes_at_depth(ids, window)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    leaf = (place <= lengths[row] - window).nonzero()[0]
+    row, place, node = row[leaf], place[leaf], node[leaf]
+    least = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, doc[row])
+    out = (doc[row] > least[node]).nonzero()[0]
+    if not len(out):
+        return row[out], place[out], place[out]
+    new = np.concatenate([[True], (row[out][1:] != row[out][:-1]) | (place[out][1:] != place[out][:-1] + 1)])
+    first = new.nonzero()[0]
+    last = np.append(first[1:], len(out)) - 1
+    return row[out][first], place[out][first], place[out][last] + window
 
 
 def _trees(window: int):
-    """Builds the trees of whole groups and tells which words lie below a node with a smaller document."""
-    keys = ["gram", "part"]
-
-    def repeats(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        split = [w.split(b" ") for w in frame["words"]]
-        lengths = np.array([len(w) for w in split])
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, int(lengths.sum()))
-        node = nodes_at_depth(ids, window)
-        stretch = np.repeat(np.arange(len(frame)), lengths)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        leaf = (place <= lengths[stretch] - window).nonzero()[0]
-        stretch, place, node = stretch[leaf], place[leaf], node[leaf]
-        doc, mark, low = (frame[c].to_numpy() for c in ("doc_id", "mark", "low"))
-        split_group = frame["parts"].to_numpy()[stretch] > 1
-        order = np.lexsort((doc[stretch], node))
-        begin = np.concatenate([[True], node[order][1:] != node[order][:-1]]) if len(order) else np.zeros(0, bool)
-        least = np.empty(len(order), np.int64)
-        least[order] = doc[stretch][order][begin][np.cumsum(begin) - 1]
-        out = (~split_group & (doc[stretch] > least)).nonzero()[0]
-        # stretches of suffixes that follow each other become one run
-        new = np.concatenate([[True], (stretch[out][1:] != stretch[out][:-1]) | (place[out][1:] != place[out][:-1] + 1)]) if len(out) else np.zeros(0, bool)
-        first = new.nonzero()[0]
-        last = np.append(first[1:], len(out)) - 1 if len(out) else first
-        s = stretch[out][first]
-        yield _found(len(s), doc_id=doc[s], mark=mark[s], low=low[s] + place[out][first], high=low[s] + place[out][last] + window)
-        rows = []
-        order = order[split_group[order]]
-        if len(order):
-            cut = (node[order][1:] != node[order][:-1]).nonzero()[0] + 1
-            for members in np.split(order, cut):
-                k, p = stretch[members[0]], place[members[0]]
-                digest = hashlib.md5(b" ".join(split[k][p : p + window])).digest()
-                s = stretch[members]
-                rows.append((digest, int(least[members[0]]), doc[s].tolist(), mark[s].tolist(), (low[s] + place[members]).tolist()))
-            yield _found(len(rows), **dict(zip(("node", "least", "docs", "marks", "places"), zip(*rows))))
+    """Builds the trees of whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in complete_groups((b.to_pandas() for b in batches), keys, 10_000):
-            yield from repeats(frame)
+        for frame in complete_groups((b.to_pandas() for b in batches), ["level", "key"], 10_000):
+            doc, mark, low = (frame[c].to_numpy() for c in ("doc", "mark", "low"))
+            row, start, end = tree_repeats(pa.array(frame["words"], pa.binary()), doc, window)
+            columns = [pa.array(doc[row]), pa.array(mark[row]), *(pa.array((low[row] + x).astype(np.int32)) for x in (start, end))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "low", "high"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, mark, low, high: words low to high of a document repeat one with a smaller id.
+def _together(rows: DataFrame, listed: Column, name: str) -> DataFrame:
+    return rows.groupBy("doc", "mark").agg(F.collect_set(listed).alias(name))
+
+
+def repeated_spans(texts: DataFrame, docs: DataFrame, *, window: int, gram: int, group_words: int) -> DataFrame:
+    """doc, mark, low, high: words low to high of a document repeat one with a smaller id.
 
-    ``docs`` has doc_id, not null, mark and text.
+    ``docs`` has doc, mark and text; ``texts`` the same rows, dealt out by doc and mark.
     """
-    runs = checkpoint(docs.mapInArrow(_runs(window, gram), _RUNS))
-    known = runs.groupBy("gram").agg(F.count("*").alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("shared"))
-    shared = known.filter("shared").select("gram", F.ceil(F.col("n") / GROUP_STRETCHES).cast("int").alias("parts"))
-    wanted = runs.join(shared, "gram").withColumn("part", F.pmod(F.hash("doc_id", "mark", "low"), F.col("parts")))
-    of_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("gram", "part", "parts", "place", "low", "high")).alias("runs"))
-    texts = docs.join(of_doc, ["doc_id", "mark"]).select("doc_id", "mark", "text", "runs")
-    stretches = by_group(texts.mapInArrow(_stretches(window), _STRETCHES), ["gram", "part"])
-    found = checkpoint(stretches.mapInArrow(_trees(window), _FOUND))
-    nodes = found.filter("node IS NOT NULL")
-    met = nodes.join(nodes.groupBy("node").agg(F.min("least").alias("first")), "node")
-    leaves = met.select("first", F.explode(F.arrays_zip("docs", "marks", "places")).alias("x")).filter("x.docs > first")
-    split = leaves.select(F.col("x.docs").alias("doc_id"), F.col("x.marks").alias("mark"), F.col("x.places").alias("low"), (F.col("x.places") + window).alias("high"))
-    return found.filter("node IS NULL").select("doc_id", "mark", "low", "high").unionByName(split)
-
-
-def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    widths, flags, levels = gram_widths(window, gram), [], []
+    for level in range(len(widths)):
+        judged, split = _judged(docs, window, widths[: level + 1], flags, group_words)
+        levels.append(judged.withColumn("level", F.lit(level)))
+        if split is None:
+            break
+        flags.append(split)
+    judged = reduce(DataFrame.unionByName, levels)
+    asked = _together(judged.filter("ask"), F.struct("level", "key", "low", "high"), "asked")
+    stretches = by_group(texts.join(asked, ["doc", "mark"]).mapInArrow(_words_of(window), _ASKED), ["level", "key"])
+    repeats = stretches.mapInArrow(_trees(window), "doc long, mark long, low int, high int")
+    return judged.filter("NOT ask").select("doc", "mark", "low", (F.col("high") + window).alias("high")).unionByName(repeats)
+
+
+def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (what is left, words joined by one space) for every row.
 
     Repeats are judged on the input. Rows with the same id never remove each other's
@@ -243,14 +339,14 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     """
     if not 1 <= gram <= window:
         raise ValueError("the gram is longer than the window")
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("mark"), "text")
-    spans = repeated_spans(keyed.filter("doc_id IS NOT NULL"), window=window, gram=gram)
-    of_doc = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64("doc_id", "text", F.col("doc_id").isNull()).alias("mark"), F.col("doc_id").cast("long"), "text")
+    texts = keyed.repartition("doc", "mark")
+    spans = repeated_spans(texts, keyed.filter("doc_id IS NOT NULL").select("doc", "mark", "text"), window=window, gram=gram, group_words=group_words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = encode(text).split()
                 n.append(len(words))
                 if spans:
@@ -261,9 +357,9 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
                     words = left + words[upto:]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    whole = keyed.join(of_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    whole = texts.join(_together(spans, F.struct("low", "high"), "spans"), ["doc", "mark"], "left")
     return whole.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
@@ -273,4 +369,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '{WORD}') w FROM documents),
+ win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+{WINDOW - 1}], ' ')) h FROM d, unnest(range(1, len(w)-{WINDOW - 2})) t(i)),
+ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) f FROM win) WHERE f<doc_id),
+ gone AS (SELECT DISTINCT doc_id, i+j p FROM again, range({WINDOW}) t(j)),
+ kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY p) s, count(*) n FROM (SELECT doc_id, unnest(w) word, unnest(range(1, len(w)+1)) p FROM d) k ANTI JOIN gone g USING (doc_id, p) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w)-coalesce(n,0) AS BIGINT) n_removed, sha256(coalesce(s,'')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}

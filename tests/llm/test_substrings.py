@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from netloom.llm.substrings import drop_repeats, op4_substring_dedup
+from netloom.llm import buckets, substrings
+from netloom.llm.substrings import drop_repeats, gram_widths, op4_substring_dedup, pieces, stretches_of
 
 
 def brute(docs, window):
@@ -26,9 +27,9 @@ def brute(docs, window):
     return out
 
 
-def same(spark, docs, window, gram):
+def same(spark, docs, window, gram, **how):
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, mark string")
-    rows = drop_repeats(frame, window=window, gram=gram).collect()
+    rows = drop_repeats(frame, window=window, gram=gram, **how).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(map(tuple, rows), key=key) == sorted(brute(docs, window), key=key)
 
@@ -62,3 +63,45 @@ def test_query_against_brute_force(spark, tiny):
     want = sorted((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute(docs, 50))
     assert sorted(map(tuple, op4_substring_dedup(spark, tiny).collect())) == want
     assert any(x[2] for x in want)
+
+
+def skewed_documents():
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{r.randint(0, 400)}" for _ in range(n))
+    line, copy = text(12), text(60)
+    docs = [(k, f"{text(9)} {line} {text(r.randint(0, 9))}") for k in range(60)]
+    docs += [(100 + k, copy) for k in range(60)] + [(200 + k, f"{text(3)} {copy} {text(4)}") for k in range(20)]
+    return docs + [(300, " ".join(["x", "y"] * 300)), (301, " ".join(["y", "x"] * 40)), (302, "z " * 500), (303, "z " * 30)]
+
+
+@pytest.mark.parametrize(("group_words", "hot"), [(40, 1000), (400, 1000), (1, 5), (100_000, 20)])
+def test_groups_that_split_and_hot_grams(spark, monkeypatch, group_words, hot):
+    monkeypatch.setattr(buckets, "HOT_LEAST", hot)
+    same(spark, skewed_documents(), 14, 3, group_words=group_words)
+
+
+def test_bits_that_all_groups_share(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_bits_of", lambda keys: ~substrings.np.zeros(1 << substrings.FLAG_BITS >> 6, substrings.np.uint64))
+    same(spark, skewed_documents(), 14, 3, group_words=200)
+
+
+def test_widths_double_up_to_the_window():
+    assert gram_widths(50, 8) == [8, 16, 32, 50]
+    assert gram_widths(5, 5) == [5]
+
+
+def test_a_long_text_is_cut_without_losing_a_window():
+    r = random.Random(7)
+    words = [f"{r.randint(0, 10**r.randint(1, 9))}".encode() for _ in range(900)]
+    text = b" \t".join(words)
+    windows = []
+    for some in pieces([b"short text", text, b""], 20, 300):
+        for k, before, part in some:
+            own = part.split()
+            windows += [(k, before + j, tuple(own[j : j + 20])) for j in range(len(own) - 19)]
+    assert sorted(windows) == [(1, j, tuple(words[j : j + 20])) for j in range(881)]
+
+
+def test_a_repeated_phrase_is_one_stretch():
+    of, *_ = stretches_of([b"so it goes " * 5000], 50, [8], [])
+    assert len(of) == 1
