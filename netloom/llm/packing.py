@@ -9,7 +9,9 @@ one bucket.
 The tokenizer drops white space and merges only within a word's letters or marks,
 so the ids of a text are the ids of such parts one after another. A batch's
 parts are told apart by Arrow, Python sees each distinct part once, and a worker
-keeps the ids of parts it has met (a plain cache, emptied when it is full).
+keeps the ids of parts it has met (a plain cache, emptied when it is full). Texts
+that hold one of the tokenizer's special tokens, which it reads as such, go to
+it whole.
 
 Defined results: null and empty texts hold only the end id and give one piece
 of length 1; repeated rows give the same pieces each; an empty table gives no
@@ -19,6 +21,7 @@ rows; other columns are ignored; a null doc_id is carried as null.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -56,7 +59,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = "|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())
         self._limit = cached_parts
         self._ids: dict[str, bytes] = {}
 
@@ -75,6 +78,16 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         texts = pc.fill_null(unsliced(texts).cast(pa.large_string()), "")
+        special = pc.match_substring_regex(texts, self._special) if self._special else None
+        if special is None or not pc.any(special).as_py():
+            return self._by_parts(texts)
+        ids, counts = self._by_parts(pc.if_else(special, "", texts))
+        apart = np.split(ids, np.cumsum(counts)[:-1])
+        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            apart[k] = np.array(self._tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(apart), np.array([len(x) for x in apart])
+
+    def _by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.replace_substring_regex(pc.utf8_lower(texts), _EDGES, r" \1 ")
         texts = pc.if_else(pc.match_substring_regex(texts, _OTHER), texts, split)
         words = pc.ascii_split_whitespace(texts)

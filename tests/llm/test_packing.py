@@ -10,14 +10,12 @@ from tokenizers import Tokenizer
 from netloom.llm.packing import WordTokenizer, op3_packing, pack_power_of_two, power_of_two_lengths
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " \t\n", "a", "Don't STOP!! l'été it'LL .'s o'd've ÀÉ ß µ ªº ²½ 12,5 x y é ΣΑΣ İstanbul 漢字 <|endoftext|> ###a### _x_ 'S", "́ x y\x1cz", "word " * 30000, "w" * 3000]
+ODD = [None, "", " \t\n", "a", "Don't STOP!! l'été it'LL .'s o'd've ÀÉ ß µ ªº ²½ 12,5 x y é ΣΑΣ İstanbul 漢字 <|endoftext|> ###a### _x_ 'S", "́ x y\x1cz", "word " * 30000, "w" * 3000, "<|endoftext|> x", "a<|STARTOFTEXT|>b<|startoftext|>c", "<|endoftext|>"]
 
 
 @cache
 def whole():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_of_words_are_the_ids_of_the_text(spark, tiny):
@@ -65,6 +63,26 @@ def test_empty_table_and_bad_length(spark):
         pack_power_of_two(docs, PATH, max_len=1000)
 
 
-def test_query_covers_every_document(spark, tiny):
-    rows = op3_packing(spark, tiny).groupBy("doc_id", "doc_tokens").sum("length").collect()
-    assert len(rows) == 200 and all(r[1] == r[2] for r in rows)
+def test_special_tokens_are_read_as_the_file_says():
+    ids, counts = WordTokenizer(PATH).encode(pa.array(["b", "<|endoftext|> x", None, "a"]))
+    assert np.split(ids, np.cumsum(counts)[:-1])[1].tolist() == whole().encode("<|endoftext|> x", add_special_tokens=False).ids == [49407, 343]
+
+
+def test_rows_without_an_id_are_packed(spark):
+    rows = pack_power_of_two(spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id for r in rows} == {None} and sum(r.length for r in rows) == 5
+
+
+def test_query_against_brute_force(spark, tiny):
+    """Every id of every document lies in exactly one piece, and sequences are gapless and not padded."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    rows = op3_packing(spark, tiny).collect()
+    upto = dict.fromkeys(texts, 0)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        ids = whole().encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert r.start == upto[r.doc_id] and r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        upto[r.doc_id] += r.length
+        assert r.offset == 0 and r.length <= 4096 and r.length & (r.length - 1) == 0
+    assert all(upto[i] == len(whole().encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts.items())
+    assert len({r.sequence_id for r in rows}) == len(rows)
