@@ -5,7 +5,8 @@ first tells what every rule costs and how many documents it rejects; rules then
 run in the order of rejections per second, and a document leaves the cascade at
 its first rejection. A rule sees the features computed so far, so a feature is
 computed at most once and only if some rule asks for it. The verdict is the
-conjunction of all rules: the order changes cost, never results.
+conjunction of all rules: the order changes cost, never results, but for
+failed_rule, which names the first rejection met.
 
 Defined results: a null text has no words and fails ``too_short``; ties and
 repeated rows are judged alike; an empty table gives no rows; other columns
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.session import table
-from netloom.llm.text import BLANK_BYTES, encode
+from netloom.llm.text import BLANK_BYTES, BLANKS, WORD, encode
 
 SYMBOLS = b"#*$%&|<>"
-#: At most about so many documents, over all of the input, time the rules.
+#: At most so many documents time the rules.
 SAMPLE_DOCS = 1000
 
 
@@ -100,26 +101,33 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def estimate_rules(docs: DataFrame, rules: dict[str, Callable[[Features], bool]] = RULES, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[float, float]]:
-    """Seconds per document and share of documents rejected, for each rule, on a sample."""
-    names = list(rules)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, seen = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen += 1
-                for name in names:
-                    began = time.perf_counter()
-                    rejected[name] += rules[name](Features(text))
-                    spent[name] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": names, "spent": [spent[n] for n in names], "rejected": [float(rejected[n]) for n in names], "seen": [float(seen)] * len(names)})
-
-    total = docs.count()
-    if not total:
-        return dict.fromkeys(names, (1.0, 0.0))
-    sample = docs.select("text").sample(min(1.0, sample_docs / total), seed=11)
-    rows = sample.mapInArrow(measure, "rule string, spent double, rejected double, seen double").groupBy("rule").agg(F.sum("spent"), F.sum("rejected"), F.sum("seen")).collect()
-    return {r[0]: (r[1] / max(1.0, r[3]), r[2] / max(1.0, r[3])) for r in rows}
+    """Seconds per document and share of documents rejected, for each rule, on a sample; see ``sampled``."""
+    trials = try_rules(sampled(docs, sample_docs), rules)
+    n = max(1, len(trials))
+    return {name: (sum(t[name][0] for t in trials) / n if trials else 1.0, sum(t[name][1] for t in trials) / n) for name in rules}
+
+
+def sampled(docs: DataFrame, most: int) -> list[str | None]:
+    """At most ``most`` texts: one row in ten of as many partitions as it takes, or of a small table its first rows.
+    Spark reads one partition first and more only if that has too few, so no whole scan is spent on it."""
+    texts = docs.select("text")
+    return [r[0] for r in texts.sample(0.1, seed=11).take(most) or texts.take(most)]
+
+
+def try_rules(texts: list[str | None], rules: dict[str, Callable[[Features], bool]]) -> list[dict[str, tuple[float, bool]]]:
+    """Seconds and verdict of every rule on every text. A rule runs on features that are new but for the
+    text's words, which all rules share: they are computed, and timed, before."""
+    out = []
+    for text in texts:
+        timed = {}
+        for name, rejects in rules.items():
+            features = Features(text)
+            features.n_words  # noqa: B018  paid once in a cascade, whichever rule is first
+            began = time.perf_counter()
+            rejected = rejects(features)
+            timed[name] = time.perf_counter() - began, rejected
+        out.append(timed)
+    return out
 
 
 def cascade_order(estimates: dict[str, tuple[float, float]]) -> list[str]:
@@ -159,4 +167,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+# What str.isupper calls a capital: the letters of category Lu and, below, the other capitals of Unicode.
+_CAPITAL = r"[\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]"
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text,'') t, regexp_extract_all(coalesce(text,''), '{WORD}') w FROM documents),
+ line AS (SELECT doc_id, unnest(string_split(t, chr(10))) s FROM d),
+ lines AS (SELECT doc_id, count(*) n, count(*)-count(DISTINCT s) dup FROM line WHERE regexp_matches(s, '{WORD}') GROUP BY 1),
+ word AS (SELECT doc_id, unnest(range(1, len(w)+1)) i, unnest(w) a FROM d),
+ next AS (SELECT doc_id, i, a, lead(a, 1) OVER o b, lead(a, 2) OVER o c FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) n FROM next WHERE c IS NOT NULL),
+ again AS (SELECT doc_id, count(DISTINCT i+j) n FROM win, range(3) t(j) WHERE n>1 GROUP BY 1),
+ top AS (SELECT doc_id, max(n) n FROM (SELECT doc_id, count(*) n FROM word GROUP BY doc_id, a) GROUP BY 1),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(length(regexp_replace(t, '{BLANKS}', '', 'g')) AS BIGINT) word_chars, CAST(length(t)-length(translate(t, '#*$%&|<>', '')) AS BIGINT) n_symbols, CAST(coalesce(l.dup,0) AS BIGINT) n_dup_lines, CAST(coalesce(a.n,0) AS BIGINT) n_repeat_words,
+  coalesce(l.n,0) n_lines, length(t)-length(regexp_replace(t, '{_CAPITAL}', '', 'g')) capitals, coalesce(top.n,0) top FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN again a USING (doc_id) LEFT JOIN top USING (doc_id))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 OR 100*n_repeat_words>50*n_words base_failed,
+  NOT (n_words<50 OR 100*n_repeat_words>50*n_words OR 10*n_symbols>n_words OR 100*capitals>30*word_chars OR 100*n_dup_lines>50*n_lines OR NOT (2*n_words<=word_chars AND word_chars<=20*n_words) OR 100*top>40*n_words) kept FROM m""",
+}
