@@ -1,7 +1,9 @@
-"""A crawl over landed walks: which devices a seed reaches, and what is known of the rest."""
+"""A crawl over landed walks: which devices a seed reaches, what is known of the rest, and what their tables say."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from netloom.functions.mac import collapse_whitespace, format_mac, normalize_cha
 from netloom.functions.net import is_routable_gateway
 from netloom.functions.vendors import FORTINET_SERIAL, FORTINET_VERSION, identify, vendor_of_description
 from netloom.operators.graph import dedupe_links, numbered
-from netloom.operators.walks import build_neighbors
+from netloom.operators.walks import arp_rows, build_fdb, build_neighbors, own_macs, port_status, split_ports
 from netloom.sources.landing import get_many
 from netloom.sources.session import checkpoint
 
@@ -95,6 +97,35 @@ def network_document(devices: DataFrame, links: DataFrame, *, pollable_only: boo
     return devices, edges
 
 
+@dataclass
+class Network:
+    """devices, links, fdb and arp as the MAC table, the ladder and the graph take them."""
+
+    devices: DataFrame
+    links: DataFrame
+    fdb: DataFrame
+    arp: DataFrame
+
+
+def network_of_walks(seeds: DataFrame, walks: DataFrame, *, max_nodes: int = MAX_NODES, pollable_only: bool = False) -> Network:
+    """The network that a crawl of landed walks finds: each polled device with its ports and their states,
+    own MACs, and the rows of its forwarding and address tables."""
+    neighbors = checkpoint(build_neighbors(walks))
+    found, links = crawl(seeds, system_info(walks), neighbors, max_nodes=max_nodes)
+    devices, edges = network_document(checkpoint(found), links, pollable_only=pollable_only)
+    polled = devices.filter("pollable").select("chassis_id", F.col("ip").alias("device_ip"), "pos")
+    states = port_status(walks).groupBy("device_ip").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("port", "status")))).alias("port_status"))
+    said = polled.drop("pos")
+    for part in (split_ports(neighbors), own_macs(walks), states):
+        said = said.join(part, "device_ip", "left")
+    whole = devices.join(said.drop("device_ip"), "chassis_id", "left")
+    for ports in ("neighbor_ports", "uplink_ports", "own_macs"):
+        whole = whole.withColumn(ports, F.coalesce(ports, F.array().cast("array<string>")))
+    fdb = build_fdb(walks).join(polled, "device_ip").select("pos", "chassis_id", "seq", "mac", "port", "vlan")
+    arp = arp_rows(walks).join(polled.select("device_ip", "pos"), "device_ip").select("pos", "seq", "mac", "ip")
+    return Network(checkpoint(whole), checkpoint(edges), checkpoint(fdb), checkpoint(arp))
+
+
 def crawl_walks(seeds: DataFrame, walks: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """A crawl straight from landed walks."""
     return crawl(seeds, system_info(walks), build_neighbors(walks), **how)

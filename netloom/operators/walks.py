@@ -64,24 +64,34 @@ def resolve_ports(rows: DataFrame, base_ports: DataFrame, names: DataFrame, by:
     return rows.join(hops, [*by, "bridge_port"], "left").join(names, ["device_ip", "ifindex"], "left").withColumn("port", F.coalesce("name", "ifindex", "bridge_port")).drop("ifindex", "name")
 
 
-def build_fdb(walks: DataFrame) -> DataFrame:
-    """device_ip, seq, mac, port and vlan.
+def readable_vlans(walks: DataFrame, most: int = MAX_VLANS) -> DataFrame:
+    """device_ip and vlan whose contexts are read: the operational ones, or the static ones of a device without any."""
+    operational = operational_vlans(walks, most)
+    static = first_vlans(vlan_names(walks).select("device_ip", "vlan"), most)
+    return operational.unionByName(static.join(operational.select("device_ip").distinct(), "device_ip", "left_anti"))
 
-    A device with 802.1Q rows, even ones that don't parse, has those only; the context's
-    VLAN goes before the one in the index, and VLAN 0 is none. Flat tables read in a
-    VLAN's context use that context's own port numbers.
+
+def build_fdb(walks: DataFrame, most: int = MAX_VLANS) -> DataFrame:
+    """device_ip, seq, mac, port and vlan, from the first source that a device has rows of, even ones that don't parse.
+
+    First the flat tables in the contexts of its readable VLANs, with each context's own port
+    numbers; then 802.1Q rows, whose context's VLAN goes before the one in the index; then the
+    flat table of no context. VLAN 0 is none.
     """
     names = interface_names(walks)
     base_ports = indexed(walks, O.BASEPORT_IFINDEX)
     default_ports = base_ports.filter("context = ''").drop("context")
+    context = F.col("context").try_cast("int")
+    vlans = readable_vlans(walks, most).select("device_ip", F.col("vlan").alias("of"))
+    in_context = walk_range(walks, O.DOT1D_FDB_PORT).filter("context <> ''").withColumn("of", context).join(vlans, ["device_ip", "of"], "left_semi").drop("of")
+    by_vlan = in_context.select("device_ip").distinct()
     tagged = walk_range(walks, O.DOT1Q_FDB_PORT).select("device_ip").distinct()
-    context = F.nullif(F.col("context").try_cast("int"), F.lit(0))
-    q = resolve_ports(dot1q_rows(walks), default_ports, names, ["device_ip"]).withColumn("vlan", F.nullif(F.coalesce(context, "vlan"), F.lit(0)))
-    flat = dot1d_rows(walks).join(tagged, "device_ip", "left_anti")
-    d = resolve_ports(flat, base_ports, names, ["device_ip", "context"]).withColumn("vlan", context)
-    per_vlan = W.partitionBy("device_ip")
-    d = d.withColumn("has_vlans", F.max((F.col("context") != "").cast("int")).over(per_vlan)).filter("context <> '' OR has_vlans = 0")
-    return q.select("device_ip", "seq", "mac", "port", "vlan").unionByName(d.select("device_ip", "seq", "mac", "port", "vlan"))
+    v = resolve_ports(dot1d_rows(in_context), base_ports, names, ["device_ip", "context"]).withColumn("vlan", F.nullif(context, F.lit(0)))
+    q = resolve_ports(dot1q_rows(walks).join(by_vlan, "device_ip", "left_anti"), default_ports, names, ["device_ip"]).withColumn("vlan", F.nullif(F.coalesce(F.nullif(context, F.lit(0)), "vlan"), F.lit(0)))
+    flat = dot1d_rows(walks.filter("context = ''")).join(by_vlan.unionByName(tagged), "device_ip", "left_anti")
+    d = resolve_ports(flat, default_ports, names, ["device_ip"]).withColumn("vlan", F.lit(None).cast("int"))
+    columns = ["device_ip", "seq", "mac", "port", "vlan"]
+    return v.select(*columns).unionByName(q.select(*columns)).unionByName(d.select(*columns))
 
 
 def oper_status(value: Column) -> Column:
@@ -96,11 +106,16 @@ def port_status(walks: DataFrame) -> DataFrame:
     return named.groupBy("device_ip", "port").agg(oper_status(F.max_by("value", "seq")).alias("status"))
 
 
+def first_vlans(vlans: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` VLANs of each device."""
+    return vlans.withColumn("n", F.row_number().over(W.partitionBy("device_ip").orderBy("vlan"))).filter(F.col("n") <= most).drop("n")
+
+
 def operational_vlans(walks: DataFrame, most: int = MAX_VLANS) -> DataFrame:
     """device_ip and vlan: ids 1 to 1001 in state 1, the first ``most`` of each device."""
     vlan = F.element_at(O.arcs(F.col("index")), -1).try_cast("int")
     rows = below(walks, O.VTP_VLAN_STATE).filter("value = '1'").select("device_ip", vlan.alias("vlan")).filter("vlan BETWEEN 1 AND 1001").distinct()
-    return rows.withColumn("n", F.row_number().over(W.partitionBy("device_ip").orderBy("vlan"))).filter(F.col("n") <= most).drop("n")
+    return first_vlans(rows, most)
 
 
 def vlan_names(walks: DataFrame) -> DataFrame:

@@ -36,12 +36,15 @@ def port_number(port: Column) -> Column:
 
 
 def forwarding_walks(s: Scenario) -> DataFrame:
-    """802.1Q rows for devices at even places, flat rows for the others, one of them in a VLAN's context."""
+    """802.1Q rows for devices at even places, flat rows for the others. Every other of those has them in its
+    VLANs' contexts, of which 30 isn't operational; every fourth device with 802.1Q rows has both."""
     ip = F.format_string("10.0.%d.254", "pos")
     bridge = port_number(F.col("port"))
     tagged = s.fdb.filter("pos % 2 = 0")
-    flat = s.fdb.filter("pos % 2 = 1")
-    context = F.when(F.col("pos") % 4 == 1, F.col("vlan").cast("string")).otherwise(F.lit(""))
+    flat = s.fdb.filter("pos % 2 = 1 OR (pos % 8 = 0 AND vlan <> 1)")
+    by_vlan = (F.col("pos") % 4 == 1) | (F.col("pos") % 8 == 0)
+    context = F.when(by_vlan, F.col("vlan").cast("string")).otherwise(F.lit(""))
+    states = s.devices.filter("pos < 1000").filter(by_vlan).withColumn("vlan", F.explode(F.array(*map(F.lit, (1, 10, 20, 30)))))
     switches = s.devices.filter("pos < 1000").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10))))
     index = (10000 + F.col("n")).cast("string")
     name = F.concat(F.lit("Gi0/"), F.col("n") - 1)
@@ -58,6 +61,7 @@ def forwarding_walks(s: Scenario) -> DataFrame:
         _walk(switches, ip, F.col("n"), _oid(O.IFPHYS, index), F.when(F.col("n") < 3, F.col("own_mac")), O.IFPHYS),
         _walk(switches, ip, F.col("n"), _oid(O.VLAN_STATIC_NAME, F.col("n") * 10), F.when(F.col("n") != 4, F.concat(F.lit("vlan"), F.col("n"))), O.VLAN_STATIC_NAME),
         _walk(switches, ip, F.col("n"), _oid(O.VTP_VLAN_STATE, F.lit(1), F.col("n") * 150), F.when(F.col("n") % 4 == 3, "2").otherwise("1"), O.VTP_VLAN_STATE),
+        _walk(states, ip, F.col("vlan"), _oid(O.VTP_VLAN_STATE, F.lit(1), F.col("vlan")), F.when((F.col("vlan") == 30) & (F.col("pos") % 4 == 1), "2").otherwise("1"), O.VTP_VLAN_STATE),
     ]
     arp = s.arp
     walks.append(_walk(arp, F.lit("10.0.0.254"), F.col("seq"), _oid(O.ARP, F.lit(7), F.col("ip")), spelled(F.col("mac"), F.col("seq") % 5), O.ARP))

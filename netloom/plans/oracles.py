@@ -64,6 +64,12 @@ _VIEWS = {
     "held": "SELECT * FROM card WHERE proto='IPv4' AND address NOT LIKE '169.254.%'",
     # walks
     "bridge": "SELECT nk, seq, vlan, replace(mac,':','') mac, port, CASE WHEN port LIKE 'Gi0/%' THEN CAST(substr(port,5) AS INT)+1 ELSE 99 END bp, CASE WHEN nk%4=1 THEN CAST(vlan AS VARCHAR) ELSE '' END ctx FROM sc_fdb",
+    # what build_fdb reads: contexts of operational VLANs, else 802.1Q rows, else flat ones
+    "flat": "SELECT * FROM bridge WHERE nk%2=1 UNION ALL SELECT nk, seq, vlan, mac, port, bp, CAST(vlan AS VARCHAR) FROM bridge WHERE nk%8=0 AND vlan<>1",
+    "read": """SELECT nk, seq, mac, vlan, bp FROM flat WHERE ctx<>'' AND NOT (nk%4=1 AND vlan=30)
+ UNION ALL SELECT nk, seq, mac, vlan, bp FROM bridge WHERE nk%2=0 AND nk NOT IN (SELECT nk FROM flat WHERE nk%2=0)
+ UNION ALL SELECT nk, seq, mac, NULL, bp FROM flat WHERE nk%4=3""",
+    "switched": "SELECT nk, seq, mac, CASE WHEN bp>10 THEN '99' WHEN nk%5<>0 THEN concat('Gi0/',bp-1) ELSE concat('GigabitEthernet0/',bp-1) END port, vlan FROM read",
     "said": """SELECT seq, src reporter, dst target, local_port, remote_port FROM sc_link UNION ALL SELECT seq+500, dst, src, remote_port, local_port FROM sc_link WHERE seq<1000""",
     "nb": """SELECT d.ip device_ip, CAST(s.seq AS VARCHAR) num, s.local_port, s.target, s.remote_port, t.hostname, t.ip target_ip, t.cap, s.seq FROM said s JOIN sc_dev d ON d.chassis_id=s.reporter AND d.ip IS NOT NULL JOIN sc_dev t ON t.chassis_id=s.target""",
     "sysd": "SELECT pos n, ip, hostname, chassis_id, cap FROM sc_dev WHERE pos<1000 AND pollable",
@@ -72,25 +78,46 @@ _NEEDS = {
     "sc_dev": ["sc_ep"], "sc_link": ["sc_ep"], "sc_fdb": ["sc_ep"], "sc_arp": ["sc_ep"], "top": ["finding"], "fdbk": ["sc_fdb"], "pmc": ["fdbk"], "infra": ["sc_dev"], "phantom": ["sc_dev", "sc_link"],
     "stay": ["phantom"], "cand": ["fdbk", "infra"], "mt": ["cand", "pmc", "sc_arp"], "byip": ["mt"], "gw": ["stay"], "ladder": ["phantom", "mt", "byip", "gw"], "placed": ["ladder"], "host": ["placed", "stay", "infra"],
     "att": ["placed", "host"], "slink": ["sc_link", "stay"], "ranked": ["stay", "tree", "sc_link"], "discovered": ["ranked", "att"], "node": ["stay", "placed", "top", "host"], "edge": ["slink", "att"], "card": ["agent"], "held": ["card"], "bridge": ["sc_fdb"],
+    "flat": ["bridge"], "read": ["flat"], "switched": ["read"],
     "said": ["sc_link"], "nb": ["said", "sc_dev"], "sysd": ["sc_dev"],
 }
 
 
-def _with(*names: str, body: str, **replaced: str) -> str:
+def _with(*names: str, body: str, gw: str = "stay", **replaced: str) -> str:
+    """The views that a body needs, some of them replaced; {was} in a replacement is the view's usual text."""
     order: list[str] = []
+    needs = _NEEDS | _CRAWL_NEEDS if replaced else _NEEDS
 
     def add(name: str) -> None:
-        for other in _NEEDS.get(name, []):
+        for other in needs.get(name, []):
             add(other)
         if name not in order:
             order.append(name)
 
     for name in names:
         add(name)
-    views = _VIEWS | {"gw": _VIEWS["gw"].replace("{0}", replaced.get("gw", "stay"))}
+    views = _VIEWS | {"gw": _VIEWS["gw"].replace("{0}", gw)} | replaced
     return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + body
 
 
+# The same views over what a crawl from nation 0 finds: below a device that doesn't answer it ends.
+_CRAWLED = {
+    "reached": "WITH RECURSIVE r AS (SELECT 0 n UNION ALL SELECT CAST(c.n_nationkey AS INT) FROM nation c JOIN r ON c.n_nationkey>0 AND CAST(floor((c.n_nationkey-1)/2.0) AS INT)=r.n WHERE r.n%6<>5) SELECT n FROM r",
+    "all_dev": _VIEWS["sc_dev"],
+    "all_link": _VIEWS["sc_link"],
+    "sc_link": "SELECT * FROM all_link WHERE src IN (SELECT printf('00:23:ac:e5:00:%02x', n) FROM reached WHERE n%6<>5)",
+    "sc_dev": """SELECT row_number() OVER (ORDER BY d.pos>=1000, coalesce(r.n, 0), l.src, l.seq)-1 pos, d.chassis_id, d.ip, CASE WHEN d.pollable THEN d.hostname END hostname, d.cap, d.pollable, CASE WHEN d.pollable THEN d.own_mac END own_mac, CASE WHEN d.pollable THEN d.pos END nk
+ FROM all_dev d LEFT JOIN reached r ON r.n=d.pos AND d.pos<1000 LEFT JOIN sc_link l ON l.dst=d.chassis_id WHERE r.n IS NOT NULL OR (d.pos>=1000 AND l.seq IS NOT NULL)""",
+    "phantom": _VIEWS["phantom"].replace("d.pos>=1000", "d.ip IS NULL"),
+    "all_fdb": _VIEWS["sc_fdb"],
+    "bridge": _VIEWS["bridge"].replace("sc_fdb", "all_fdb"),
+    "fdbk": "SELECT d.chassis_id, d.pos nk, s.mac, s.port, s.vlan, s.seq FROM switched s JOIN sc_dev d ON d.nk=s.nk",
+    "cand": _VIEWS["cand"].replace("port<>'Gi0/0'", "NOT (port='Gi0/0' AND chassis_id<>'00:23:ac:e5:00:00')"),
+    "sc_arp": _VIEWS["sc_arp"],
+}
+_CRAWL_NEEDS = {"sc_link": ["all_link", "reached"], "sc_dev": ["all_dev", "reached", "sc_link"], "all_dev": ["sc_ep"], "all_link": ["sc_ep"], "all_fdb": ["sc_ep"], "bridge": ["all_fdb"], "said": ["all_link"], "nb": ["said", "all_dev"], "fdbk": ["switched", "sc_dev"]}
+
+
 _IP = "concat('10.0.',nk,'.254')"
 _BARE = "replace(true_mac,':','')"
 
@@ -121,16 +148,16 @@ ORACLES: dict[str, str] = {
     "parse_hit": _with("finding", body="SELECT agent_id, cve, cvss, '3.1' cvss_version, CASE WHEN cvss>=7 THEN 'High' ELSE 'Low' END severity, concat('pkg-', right(cve,1)) package, '1.0' AS version, CAST(NULL AS VARCHAR) description FROM finding"),
     "agent_scored": _with("sc_ep", "top", body="SELECT e.agent_id, coalesce(f.cvss, 0) risk_score, t.rank-1 k, t.cve, CASE WHEN t.cvss>=7 THEN 'High' WHEN t.cve IS NOT NULL THEN 'Low' END severity FROM sc_ep e LEFT JOIN top t USING (agent_id) LEFT JOIN top f ON f.agent_id=e.agent_id AND f.rank=1"),
     "oid_dot1q_decode": _with("bridge", body=f"SELECT {_IP} device_ip, seq, vlan, mac, CAST(bp AS VARCHAR) bridge_port FROM bridge WHERE nk%2=0"),
-    "oid_dot1d_decode": _with("bridge", body=f"SELECT {_IP} device_ip, ctx context, seq, mac, CAST(bp AS VARCHAR) bridge_port FROM bridge WHERE nk%2=1"),
+    "oid_dot1d_decode": _with("flat", body=f"SELECT {_IP} device_ip, ctx context, seq, mac, CAST(bp AS VARCHAR) bridge_port FROM flat"),
     "oid_octet_guard": _with("sc_ep", body="SELECT pos, CASE WHEN pos%3=2 THEN '0102030405ff' END mac FROM sc_ep"),
     "arp_decode": _with("sc_arp", body="SELECT pos seq, replace(mac,':','') mac, ip FROM sc_arp"),
     "mgmt_addr_decode": _with("nb", body="SELECT device_ip, num local_num, target_ip mgmt_ip FROM nb WHERE target_ip IS NOT NULL"),
     "port_resolution": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, CAST(10000+n AS VARCHAR) ifindex, concat(CASE WHEN n_nationkey%5<>0 THEN 'Gi0/' ELSE 'GigabitEthernet0/' END, n-1) AS name FROM nation, range(1,11) t(n)",
     "port_status": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, concat(CASE WHEN n_nationkey%5<>0 THEN 'Gi0/' ELSE 'GigabitEthernet0/' END, n-1) AS port, CASE WHEN n%3=0 THEN 'down' ELSE 'up' END status FROM nation, range(1,11) t(n)",
-    "vlan_filter": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, CAST(n*150 AS INT) vlan FROM nation, range(1,11) t(n) WHERE n%4<>3 AND n*150<1002",
+    "vlan_filter": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, CAST(n*150 AS INT) vlan FROM nation, range(1,11) t(n) WHERE n%4<>3 AND n*150<1002 UNION ALL SELECT concat('10.0.',n_nationkey,'.254'), CAST(v AS INT) FROM nation, (VALUES (1),(10),(20),(30)) t(v) WHERE n_nationkey%8=0 OR (n_nationkey%4=1 AND v<>30)",
     "vlan_names": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, CAST(n*10 AS INT) vlan, CASE WHEN n<>4 THEN concat('vlan',n) ELSE '' END AS name FROM nation, range(1,11) t(n)",
     "own_macs": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, printf('0023ace501%02x', n_nationkey) own_macs FROM nation",
-    "build_fdb": _with("bridge", body=f"SELECT {_IP} device_ip, seq, mac, CASE WHEN bp>10 THEN '99' WHEN nk%5<>0 THEN concat('Gi0/',bp-1) ELSE concat('GigabitEthernet0/',bp-1) END port, CASE WHEN nk%2=0 OR nk%4=1 THEN vlan END vlan FROM bridge"),
+    "build_fdb": _with("switched", body=f"SELECT {_IP} device_ip, seq, mac, port, vlan FROM switched"),
     "lldp_rem_pivot": _with("nb", body="SELECT device_ip, num local_num, CASE WHEN seq%3=0 THEN '' ELSE remote_port END port_id, concat('port ',remote_port) port_descr, coalesce(hostname,'') sys_name, cap cap_enabled FROM nb"),
     "build_neighbors": _with("nb", body="SELECT device_ip, local_port, target chassis_id, target chassis_mac, CASE WHEN seq%3=0 THEN concat('port ',remote_port) ELSE remote_port END remote_port, hostname sys_name, 'Cisco IOS Software, C2960S Software' sys_descr, target_ip mgmt_ip, cap cap_enabled FROM nb"),
     "uplink_split": _with("nb", body="SELECT device_ip, array_to_string(list_sort(list(DISTINCT local_port)), ',') neighbor_ports, coalesce(array_to_string(list_sort(list(DISTINCT local_port) FILTER (target_ip IS NOT NULL)), ','), '') uplink_ports FROM nb GROUP BY device_ip"),
@@ -167,5 +194,9 @@ ORACLES: dict[str, str] = {
     "network_nodes": _with("sc_dev", body="SELECT chassis_id, ip FROM sc_dev WHERE pollable"),
     "seed_distinct": _with("sc_dev", body="SELECT ip, min(pos) pos FROM sc_dev WHERE ip IS NOT NULL GROUP BY ip"),
     "flagship": _with("node", "discovered", "att", body="SELECT d.discovery_order, n.node_id, kind, hostname, n.ip, mac, role, risk_score, d.parent_id, a.port, a.confidence, a.reason FROM node n JOIN discovered d USING (node_id) LEFT JOIN att a USING (node_id)"),
+    "crawl_frontier": _with("sc_dev", body="SELECT chassis_id, ip, CASE WHEN pollable THEN 'online' WHEN ip IS NOT NULL THEN 'unreachable' ELSE 'discovered' END status, pollable, pos FROM sc_dev", **_CRAWLED),
+    "crawl_links": _with("sc_link", body="SELECT src source_chassis_id, dst target_chassis_id, local_port FROM sc_link", **_CRAWLED),
+    "network_devices": _with("sc_dev", "nb", body="""SELECT d.chassis_id, coalesce(p.neighbor_ports, '') neighbor_ports, coalesce(p.uplink_ports, '') uplink_ports, coalesce(replace(d.own_mac,':',''), '') own_macs, CASE WHEN d.pollable THEN CAST(7 AS BIGINT) END ports_up
+ FROM sc_dev d LEFT JOIN (SELECT device_ip, array_to_string(list_sort(list(DISTINCT local_port)), ',') neighbor_ports, array_to_string(list_sort(list(DISTINCT local_port) FILTER (target_ip IS NOT NULL)), ',') uplink_ports FROM nb GROUP BY device_ip) p ON p.device_ip=d.ip AND d.pollable""", **(_CRAWLED | {"said": _VIEWS["said"].replace("sc_link", "all_link"), "nb": _VIEWS["nb"].replace("sc_dev", "all_dev")})),
+    "walks_to_graph": _with("node", "att", body="SELECT n.node_id, kind, n.ip, hostname, role, pollable, a.parent, a.port, a.confidence, a.reason FROM node n LEFT JOIN att a USING (node_id)", **_CRAWLED),
 }
-# crawl_frontier and crawl_links depend on the order of a crawl: they are tested against a model instead

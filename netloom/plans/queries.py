@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from netloom.plans import document as D
 from netloom.plans import landed as A
 from netloom.sources import landing as IO
 from netloom.sources.scenario import Scenario, build_scenario
+from netloom.sources.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +49,11 @@ def _graph(s: Scenario) -> D.Graph:
     return D.build_graph(scored.select("pos", "agent_id", "hostname", "ip", "mac", "status", "risk_score"), s.devices, s.links, s.fdb, s.arp)
 
 
+def _walks(s: Scenario, *made: Callable[[Scenario], DataFrame]) -> DataFrame:
+    """The walks as a crawl finds them: landed, not derived anew for each table that is read."""
+    return checkpoint(reduce(DataFrame.unionByName, (make(s) for make in made)))
+
+
 # --- addresses, roles, vendors -------------------------------------------------------------
 
 
@@ -247,7 +254,7 @@ def own_macs(s):
 
 @on_scenario
 def build_fdb(s):
-    return P.build_fdb(A.forwarding_walks(s))
+    return P.build_fdb(_walks(s, A.forwarding_walks))
 
 
 @on_scenario
@@ -452,19 +459,38 @@ def seed_distinct(s):
     return K.distinct_seeds(seeds)
 
 
+def _seed(s: Scenario) -> DataFrame:
+    return s.devices.filter("pos = 0").select("pos", "ip")
+
+
 @on_scenario
 def crawl_frontier(s):
-    walks = A.neighbor_walks(s).unionByName(A.system_walks(s))
-    seeds = s.devices.filter("pos = 0").select("pos", "ip")
-    devices, _ = K.crawl_walks(seeds, walks, max_nodes=20)
+    """The devices of a whole crawl; ``max_nodes`` is an option that tests cover."""
+    devices, _ = K.crawl_walks(_seed(s), _walks(s, A.neighbor_walks, A.system_walks))
     return devices.select("chassis_id", "ip", "status", "pollable", "pos")
 
 
 @on_scenario
 def crawl_links(s):
-    walks = A.neighbor_walks(s).unionByName(A.system_walks(s))
-    _, links = K.crawl_walks(s.devices.filter("pos = 0").select("pos", "ip"), walks)
-    return G.dedupe_links(links).select("source_chassis_id", "target_chassis_id")
+    _, links = K.crawl_walks(_seed(s), _walks(s, A.neighbor_walks, A.system_walks))
+    return G.dedupe_links(links).select("source_chassis_id", "target_chassis_id", "local_port")
+
+
+@on_scenario
+def network_devices(s):
+    """What a crawl of the walks knows of each device: its ports and own MACs."""
+    devices = K.network_of_walks(_seed(s), _walks(s, A.neighbor_walks, A.system_walks, A.forwarding_walks)).devices
+    up = F.size(F.filter(F.map_values("port_status"), lambda x: x == "up")).cast("long")
+    return devices.select("chassis_id", F.array_join("neighbor_ports", ",").alias("neighbor_ports"), F.array_join("uplink_ports", ",").alias("uplink_ports"), F.array_join("own_macs", ",").alias("own_macs"), up.alias("ports_up"))
+
+
+@on_scenario
+def walks_to_graph(s):
+    """From walks to the graph: crawl, tables, MAC table, ladder, document."""
+    n = K.network_of_walks(_seed(s), _walks(s, A.neighbor_walks, A.system_walks, A.forwarding_walks))
+    graph = D.build_graph(s.endpoints.select("pos", "agent_id", "hostname", "ip", "mac", "status"), n.devices, n.links, n.fdb, n.arp)
+    at = D.attachments(graph.placement.placed).select("node_id", "parent", "port", "confidence", "reason")
+    return graph.nodes.select("node_id", "kind", "ip", "hostname", "role", "pollable").join(at, "node_id", "left")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

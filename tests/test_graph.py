@@ -4,7 +4,7 @@ from collections import defaultdict, deque
 
 from pyspark.sql import functions as F
 
-from netloom.functions.oid import DOT1D_FDB_PORT, DOT1Q_FDB_PORT
+from netloom.functions.oid import DOT1D_FDB_PORT, DOT1Q_FDB_PORT, VLAN_STATIC_NAME, VTP_VLAN_STATE
 from netloom.operators.crawl import crawl
 from netloom.operators.endpoints import select_mac
 from netloom.operators.graph import bfs_order, dedupe_links
@@ -19,6 +19,7 @@ DEVICES = "pos long, chassis_id string, ip string, hostname string, lldp_cap_ena
 ENDPOINTS = "pos long, agent_id string, hostname string, mac string, ip string, status string, risk_score double"
 FDB = "pos long, chassis_id string, seq long, mac string, port string, vlan int"
 ARP = "pos long, seq long, mac string, ip string"
+WALKS = "device_ip string, context string, base_oid string, seq long, oid string, value string"
 M1, M2 = "e4:a7:a0:00:00:01", "e4:a7:a0:00:00:02"
 
 
@@ -134,10 +135,26 @@ def test_choice_of_a_card(spark):
 
 def test_tagged_rows_replace_flat_ones(spark):
     rows = [("d1", "", DOT1Q_FDB_PORT, 0, f"{DOT1Q_FDB_PORT}.20.0.35.172.229.0.1", "5"), ("d1", "", DOT1D_FDB_PORT, 1, f"{DOT1D_FDB_PORT}.0.35.172.229.0.2", "6"), ("d2", "30", DOT1D_FDB_PORT, 2, f"{DOT1D_FDB_PORT}.0.35.172.229.0.3", "7"), ("d2", "", DOT1D_FDB_PORT, 3, f"{DOT1D_FDB_PORT}.0.35.172.229.0.4", "8"), ("d3", "", DOT1Q_FDB_PORT, 4, f"{DOT1Q_FDB_PORT}.x", "9"), ("d3", "", DOT1D_FDB_PORT, 5, f"{DOT1D_FDB_PORT}.0.35.172.229.0.5", "9")]
-    walks = spark.createDataFrame(rows, "device_ip string, context string, base_oid string, seq long, oid string, value string")
+    rows.append(("d2", "", VTP_VLAN_STATE, 6, f"{VTP_VLAN_STATE}.1.30", "1"))
+    walks = spark.createDataFrame(rows, WALKS)
     assert sorted(map(tuple, build_fdb(walks).collect())) == [("d1", 0, "0023ace50001", "5", 20), ("d2", 2, "0023ace50003", "7", 30)]
 
 
+def test_contexts_of_readable_vlans_go_before_other_tables(spark):
+    flat = lambda device, context, seq: (device, context, DOT1D_FDB_PORT, seq, f"{DOT1D_FDB_PORT}.0.35.172.229.0.{seq}", "7")
+    tagged = lambda device, seq: (device, "", DOT1Q_FDB_PORT, seq, f"{DOT1Q_FDB_PORT}.20.0.35.172.229.0.{seq}", "5")
+    vtp = lambda device, vlan, state="1": (device, "", VTP_VLAN_STATE, vlan, f"{VTP_VLAN_STATE}.1.{vlan}", state)
+    rows = [tagged("both", 1), flat("both", "30", 2), vtp("both", 30)]
+    rows += [flat("excluded", "1002", 3), vtp("excluded", 1002), flat("excluded", "", 4)]
+    rows += [tagged("suspended", 5), flat("suspended", "40", 6), vtp("suspended", 40, "2"), vtp("suspended", 41)]
+    rows += [flat("static", "50", 7), ("static", "", VLAN_STATIC_NAME, 0, f"{VLAN_STATIC_NAME}.50", "office")]
+    rows += [("broken", "60", DOT1D_FDB_PORT, 8, f"{DOT1D_FDB_PORT}.x", "7"), vtp("broken", 60), tagged("broken", 9)]
+    rows += [flat("many", str(v), 100 + v) for v in (3, 1, 2)] + [vtp("many", v) for v in (3, 1, 2)]
+    walks = spark.createDataFrame(rows, WALKS)
+    got = {(r.device_ip, r.seq, r.vlan) for r in build_fdb(walks, most=2).collect()}
+    assert got == {("both", 2, 30), ("excluded", 4, None), ("suspended", 5, 20), ("static", 7, 50), ("many", 101, 1), ("many", 102, 2)}
+
+
 def test_crawl_visits_once_and_keeps_what_it_cannot_reach(spark):
     systems = spark.createDataFrame([("10.0.0.1", "a"), ("10.0.0.2", "b"), ("10.0.0.3", "c-own")], "device_ip string, chassis_id string")
     for name in ("hostname", "model", "firmware", "serial", "mac", "cap_enabled"):
