@@ -18,18 +18,21 @@ or ranked by a hot source is larger than its number of distinct sizes.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from netloom.llm.buckets import join_unevenly, least_hot
 from netloom.llm.session import checkpoint, table
-from netloom.llm.text import word_count
+from netloom.llm.text import WORD, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Parts of a class by the high bits of the hash, so that a large class is ranked in parts.
-HASH_PARTS = 64
+#: High bits of the hash by which a large class is ranked in parts, and these in parts.
+PART_BITS = (12, 24)
 
 
 def source_key(source: Column) -> Column:
@@ -79,12 +82,17 @@ def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], *, size: st
             gap = max(gap, worst or 0.0)
         if gap < tolerance:
             break
+    else:
+        if gap > 1e-6:
+            raise ValueError(f"the targets are not met after {rounds} rounds: a step of {gap:.3g} is left")
     return cells
 
 
-def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST, moves: int = 6) -> DataFrame:
+def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST, moves: int = 10) -> DataFrame:
     """Adds copies (of all n documents of a class together) to the classes key, size, n.
 
+    Each move brings a source nearer to its target; they end when none can, and warn if that takes more than ``moves``.
+
     ``sources`` has key, target and log_rate.
     """
     along = W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, 0)
@@ -97,40 +105,50 @@ def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST,
         missing = classes.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(targets, "key").select("key", (F.col("target") - F.col("taken")).alias("missing"))
         open_ = F.when(F.col("missing") > 0, F.col("copies") < limit).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing"))
         best = classes.join(missing, "key").filter(open_).groupBy("key").agg(F.min_by(F.struct("size", F.signum("missing").cast("long").alias("move")), F.struct(F.abs(F.abs("missing") - F.col("size")), "size")).alias("best"))
-        moved = best.select("key", "best.size", "best.move")
-        classes = checkpoint(classes.join(moved, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))
+        moved = classes.join(best.select("key", "best.size", "best.move"), ["key", "size"], "left")
+        moved = checkpoint(moved.withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))))
+        classes = moved.drop("move")
+        if moved.filter("move IS NOT NULL").isEmpty():
+            return classes
+    warnings.warn(f"after {moves} moves some source could still come nearer to its target", stacklevel=2)
     return classes
 
 
 def odd_copies(slim: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds each (copies every document gets) and until (documents up to this hash get one more).
 
-    Which hash that is, is found in the part of the class that holds it.
+    Which hash that is, is found in the part of the class, by the high bits of the hash, that holds it, and
+    in that part of the part: no more than 2 ** -24 of a class is ranked in one task.
     """
     split = classes.withColumns({"each": F.floor(F.col("copies") / F.col("n")), "odd": F.col("copies") % F.col("n")})
-    part = F.shiftrightunsigned("hash", 58)
-    counts = slim.withColumn("part", part).groupBy("key", "size", "part").agg(F.count("*").alias("m"))
-    upto = counts.withColumn("upto", F.sum("m").over(W.partitionBy("key", "size").orderBy("part")))
-    odd = split.filter("odd > 0").select("key", "size", "odd")
-    turn = upto.join(odd, ["key", "size"]).filter((F.col("upto") >= F.col("odd")) & (F.col("upto") - F.col("m") < F.col("odd"))).select("key", "size", "part", (F.col("odd") - F.col("upto") + F.col("m")).alias("at"))
+    turn = split.filter("odd > 0").select("key", "size", F.col("odd").alias("at"))
+    inside, keys = slim.select("key", "size", "hash"), ["key", "size"]
+    for bits in PART_BITS:
+        inside = inside.join(turn.select(*keys), keys, "left_semi") if bits != PART_BITS[0] else inside
+        inside = inside.withColumn("part", F.shiftrightunsigned("hash", 64 - bits))
+        counts = inside.groupBy("key", "size", "part").agg(F.count("*").alias("m"))
+        upto = counts.withColumn("upto", F.sum("m").over(W.partitionBy("key", "size").orderBy("part")))
+        turn = upto.join(turn.select("key", "size", "at"), ["key", "size"]).filter((F.col("upto") >= F.col("at")) & (F.col("upto") - F.col("m") < F.col("at")))
+        turn = checkpoint(turn.select("key", "size", "part", (F.col("at") - F.col("upto") + F.col("m")).alias("at")))
+        keys = ["key", "size", "part"]
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    place = slim.withColumn("part", part).join(turn, ["key", "size", "part"]).withColumn("place", F.row_number().over(W.partitionBy("key", "size").orderBy(unsigned)))
+    place = inside.join(turn, keys).withColumn("place", F.row_number().over(W.partitionBy("key", "size").orderBy(unsigned)))
     until = place.filter("place = at").select("key", "size", unsigned.alias("until"))
-    return split.join(until, ["key", "size"], "left").select("key", "size", "each", "until")
+    return split.join(until, ["key", "size"], "left").select("key", "size", "n", "each", "until")
 
 
 def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents without their texts (doc_id, source, key, size, hash), the classes (key, size,
-    each, until) and the sources (key, source_size, target, log_rate)."""
+    n, each, until) and the sources (key, n_docs, source_size, target, log_rate)."""
     slim = checkpoint(sized(docs).select("doc_id", "source", "key", "size", "hash"))
     classes = checkpoint(slim.groupBy("key", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")))
-    sources = classes.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     turn = F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int"))
     weighed = checkpoint(ranked(sources).withColumn("weight", turn))
-    targets = checkpoint(share_targets(weighed, share, most).select("key", "source_size", "target"))
+    targets = checkpoint(share_targets(weighed, share, most).select("key", "n_docs", "source_size", "target"))
     rates = entropy_balance(targets.select("key", "source_size"), {"key": targets}, size="source_size")
     sources = checkpoint(rates.select("key", "log_rate").join(targets, "key"))
-    return slim, odd_copies(slim, class_copies(classes.drop("source"), sources, most=most)), sources
+    return slim, checkpoint(odd_copies(slim, class_copies(classes.drop("source"), sources, most=most))), sources
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -142,7 +160,8 @@ def copies_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds copies to rows with key, size and hash."""
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     more = F.coalesce(unsigned <= F.col("until"), F.lit(False)).cast("long")
-    return rows.join(classes, ["key", "size"]).withColumn("copies", F.col("each") + more).drop("each", "until")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return join_unevenly(rows, classes, ["key", "size"], "n", least_hot(total)).withColumn("copies", F.col("each") + more).drop("n", "each", "until")
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
@@ -159,11 +178,34 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim, classes, sources = plan_mix(table(spark, sf_dir, "documents"))
     taken = copies_of(slim, classes).withColumn("taken", F.col("copies") * F.col("size"))
-    return taken.join(sources, "key").select("doc_id", "size", "source_size", "target", "taken")
+    total = sources.agg(F.sum("n_docs")).first()[0] or 0
+    return join_unevenly(taken, sources, ["key"], "n_docs", least_hot(total))
 
 
-QUERIES = {"op6_mixing": op6_mixing}
-ORACLES: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _taken(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6's result SQL can tell: all but which documents are taken more often. ``near``: its source's
+    taken words are within half its longest document (2 words at least) of the target; ``within``: taken whole
+    times, not more than twice."""
+    rows = _taken(spark, sf_dir)
+    of_source = rows.groupBy("key").agg(F.sum("taken").alias("all"), F.max("size").alias("longest"))
+    near = F.abs(F.col("all") - F.col("target")) <= F.greatest(F.lit(2.0), 0.5 * F.col("longest"))
+    within = (F.col("taken") <= 2 * F.col("size")) & ((F.col("size") == 0) | (F.col("taken") % F.col("size") == 0))
+    return rows.join(of_source, "key").select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), near.alias("near"), within.alias("within"))
+
+
+QUERIES = {"op6_mixing": op6_mixing, "mixing_targets": mixing_targets}
+ORACLES: dict[str, str] = {
+    # a source that is full takes twice its size, and what is over is shared again, until none is
+    "mixing_targets": f"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '{WORD}')) AS BIGINT) AS size FROM documents),
+ s AS (SELECT source, sum(size) n, (ARRAY[{','.join(map(str, WEIGHTS))}])[CAST((row_number() OVER (ORDER BY source IS NULL, encode(source))-1) % {len(WEIGHTS)} AS INT)+1] w FROM d GROUP BY source),
+ fill AS (SELECT 0 round, CAST(0.0 AS DOUBLE) level UNION ALL SELECT round+1, CAST(({SHARE}*(SELECT sum(n) FROM s) - (SELECT coalesce(sum({MOST}*n) FILTER (w*level>{MOST}*n), 0) FROM s)) / nullif((SELECT sum(w) FILTER (NOT w*level>{MOST}*n) FROM s), 0) AS DOUBLE) FROM fill WHERE round < (SELECT count(*)+1 FROM s) AND level IS NOT NULL),
+ t AS (SELECT source, n, least(w*(SELECT max(level) FROM fill), {MOST}*n) target FROM s)
+ SELECT doc_id, size, CAST(n AS BIGINT) source_size, round(target, 3) target, true near, true "within" FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+}
