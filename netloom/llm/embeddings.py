@@ -2,8 +2,10 @@
 
 In each of several tables a vector's bucket is the pattern of its signs against
 the table's random hyperplanes; pairs that meet in a bucket of any table are
-verified by their cosine in double precision. With 20 planes a table and 96
-tables a pair at cosine 0.9 is found with probability 0.988, at 0.95 with 0.9999.
+verified by their cosine in double precision. Planes grow with the number of
+vectors (log2 of it, 20 at least), so buckets of unrelated vectors stay small, and
+tables with the planes, so a pair at cosine 0.9 is found with probability 0.988
+(with 20 planes these are 96 tables), one at 0.95 with 0.9999.
 
 Equal vectors are one node with a number of copies. Only nodes that share a
 bucket travel with their vectors. A bucket emits, for each node, the rows it is
@@ -15,6 +17,7 @@ several tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -22,17 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.buckets import by_group, compare_blocks, complete_groups, group_bounds
+from netloom.llm.buckets import by_group, compare_blocks, complete_groups, group_bounds, join_unevenly, least_hot
 from netloom.llm.components import connected_components
 from netloom.llm.session import checkpoint, table
 
 MIN_COSINE = 0.9
-TABLES = 96
-PLANES = 20
+LEAST_PLANES, MOST_PLANES = 20, 31
+#: Probability with which a pair at the wanted cosine meets in some table.
+RECALL = 0.988
 SEED = 7
 BLOCK_ROWS = 256
 
 
+def shape(n: int, min_cosine: float, recall: float = RECALL) -> tuple[int, int]:
+    """Tables and planes for n vectors."""
+    planes = min(MOST_PLANES, max(LEAST_PLANES, ceil(log2(max(n, 1)))))
+    meet = (1 - acos(min_cosine) / pi) ** planes
+    return min(4096, ceil(log(1 - recall) / log(1 - meet))), planes
+
+
 def unit_rows(vectors: list[list[float] | None]) -> list[np.ndarray | None]:
     """Vectors of length 1 in double precision; None for null, empty, zero or non-finite ones."""
     out: list[np.ndarray | None] = []
@@ -147,18 +158,22 @@ def _links(met: DataFrame, tables: int, min_cosine: float) -> DataFrame:
     return met.mapInPandas(run, "a long, b long, n long")
 
 
-def embedding_components(vectors: DataFrame, *, min_cosine: float = MIN_COSINE, tables: int = TABLES, planes: int = PLANES, seed: int = SEED) -> DataFrame:
+def embedding_components(vectors: DataFrame, *, min_cosine: float = MIN_COSINE, tables: int | None = None, planes: int | None = None, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding).
 
     Null vectors, vectors that are zero, empty or hold null or non-finite
     components, link with nothing and are components of their own; so do vectors
     of different lengths with each other. Equal vectors, repeated rows too, link
     with each other. Rows whose vec_id is null take part but never name a
-    component. An empty table gives no rows; other columns are ignored.
+    component. An empty table gives no rows; other columns are ignored. Tables and planes
+    that are not given follow the number of vectors (``shape``).
     """
+    rows = checkpoint(_prepare(vectors).withColumn("digest", F.md5("unit")))
+    total = rows.count()
+    own = shape(total, min_cosine)
+    tables, planes = tables or own[0], planes or own[1]
     if not 1 <= planes <= 31 or not 1 <= tables <= 4096:
         raise ValueError("1 to 31 planes and 1 to 4096 tables")
-    rows = checkpoint(_prepare(vectors).withColumn("digest", F.md5("unit")))
     distinct = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = checkpoint(distinct.withColumn("node", F.monotonically_increasing_id()))
     signed = checkpoint(_sign(nodes.select("node", "copies", "unit"), tables, planes, seed))
@@ -168,10 +183,11 @@ def embedding_components(vectors: DataFrame, *, min_cosine: float = MIN_COSINE,
     roots = connected_components(found.filter("n IS NULL").select("a", "b"), "a", "b")
     placed = checkpoint(nodes.select("node", "digest", "copies", "least").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = placed.join(named, "root").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    whole = rows.select("vec_id", "digest").join(known, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    known = placed.join(named, "root").select("digest", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    linked = join_unevenly(rows.filter("digest IS NOT NULL").select("vec_id", "digest"), known, ["digest"], "copies", least_hot(total)).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("digest IS NULL").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    whole = linked.unionByName(alone)
+    return whole.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

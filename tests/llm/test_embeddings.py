@@ -1,6 +1,6 @@
 import numpy as np
 
-from netloom.llm.embeddings import embedding_components, op7_embedding_dedup
+from netloom.llm.embeddings import embedding_components, op7_embedding_dedup, shape
 
 
 def brute(rows, low=0.9):
@@ -50,6 +50,35 @@ def test_a_large_group_is_counted_whole(spark):
     assert 0.98 < recall(rows, got) <= 1
 
 
+def test_planes_follow_the_number_of_vectors():
+    assert shape(1000, 0.9) == (96, 20) and shape(0, 0.9) == (96, 20)
+    tables, planes = shape(1 << 26, 0.9)
+    assert planes == 26 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** 26) ** tables >= 0.988
+
+
+def test_many_null_and_equal_vectors(spark):
+    rows = [(k, None) for k in range(1500)] + [(2000 + k, [1.0, 2.0, 3.0]) for k in range(1500)] + [(4000, [1.0, -2.0, 3.0])]
+    got = {r.vec_id: r for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[k].n_links == 0 and got[k].kept for k in [*range(1500), 4000])
+    assert all(got[2000 + k].n_links == 1499 and got[2000 + k].component_id == 2000 for k in range(1500))
+
+
 def test_query(spark, tiny):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{tiny}/embeddings.parquet").collect()]
-    assert 0.97 < recall(rows, op7_embedding_dedup(spark, tiny).collect()) <= 1
+    got = {r.vec_id: r for r in op7_embedding_dedup(spark, tiny).collect()}
+    assert len(got) == len(rows) and 0.97 < recall(rows, got.values()) <= 1
+    near = brute(rows)
+    reach = {}
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        todo = [] if k in reach else [k]
+        while todo:
+            j = todo.pop()
+            if j not in reach:
+                reach[j] = rows[k][0]
+                todo += near[j]
+    wrong = 0
+    for k, (i, _) in enumerate(rows):
+        assert got[i].n_links <= len(near[k]) and got[i].kept == (got[i].component_id == i)
+        assert reach[k] <= got[i].component_id <= i
+        wrong += got[i].component_id != reach[k]
+    assert wrong <= 0.02 * len(rows)
