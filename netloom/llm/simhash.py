@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.buckets import by_group, compare_blocks, complete_groups, group_bounds
+from netloom.llm.buckets import by_group, compare_blocks, complete_groups, group_bounds, join_unevenly, least_hot
 from netloom.llm.components import connected_components
 from netloom.llm.session import checkpoint, table
 from netloom.llm.text import LOWER_ASCII, encode
@@ -156,13 +156,14 @@ def _components(docs: DataFrame, shingle: int, blocks: int, max_distance: int) -
     if blocks <= max_distance:
         raise ValueError("more families than differing bits are needed")
     prints = checkpoint(with_fingerprints(docs, shingle))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     edges = near_edges(nodes.select("fp"), blocks, max_distance)
     roots = connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp"})
     linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    fps = linked.join(named, "root").select("fp", F.col("root").alias("component"), "component_id")
-    return prints.join(fps, "fp")
+    fps = linked.join(named, "root").select("fp", "n", F.col("root").alias("component"), "component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    return join_unevenly(prints, fps, ["fp"], "n", least_hot(total)).drop("n")
 
 
 def simhash_components(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -178,12 +179,21 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCK
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of ``docs`` for each component, the one with the smallest doc_id (a null id only if the
-    component has no other; among rows of one id the text with the smallest hash)."""
+    component has no other; among rows of one id the text with the smallest hash, among rows with one id
+    and text the one that is first as JSON). Columns are those of ``docs``, whatever their names."""
     found = _components(docs, shingle, blocks, max_distance)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("row")).select(F.col("row.doc_id").alias("stay_id"), F.col("row.mark").alias("stay_mark"))
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), F.struct(*docs.columns).alias("row"))
-    stay = packed.join(first, (F.col("mark") == F.col("stay_mark")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return stay.groupBy("mark", "id").agg(F.first("row").alias("row")).select("row.*")
+    chosen = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = checkpoint(found.groupBy("component").agg(F.min(chosen).alias("row"), F.count("*").alias("n")).select(F.col("row.doc_id").alias("stay_id"), F.col("row.mark").alias("stay_mark"), "n"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = (F.col("mark") == F.col("stay_mark")) & F.col("id").eqNullSafe(F.col("stay_id"))
+    # only where a chosen id and text occur in several rows must whole rows meet once more to keep one
+    again = found.join(first.filter("n > 1"), (F.col("mark") == F.col("stay_mark")) & F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    several = checkpoint(again.groupBy(F.col("doc_id").alias("stay_id"), F.col("mark").alias("stay_mark")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    stay = packed.join(first, same, "left_semi")
+    if several.isEmpty():
+        return stay.select("row.*")
+    single = stay.join(several, same, "left_anti").select("row.*")
+    return single.unionByName(stay.join(several, same, "left_semi").groupBy("mark", "id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
