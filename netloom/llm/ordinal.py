@@ -32,7 +32,7 @@ from netloom.llm.text import encode
 
 FEATURES = 1 << 18
 SAMPLE_ROWS = 8000
-#: Features whose weight one Python worker keeps.
+#: Features whose slot one Python worker keeps.
 CACHED_FEATURES = 500_000
 
 _PART = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -161,7 +161,7 @@ def score_ordinal(docs: DataFrame, model: OrdinalModel, *, keep_from: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(shared.value, np.float32).tolist()
         own = OrdinalModel(np.zeros(0), np.array(cuts))
-        known: dict[str, float] = {}
+        known: dict[str, int] = {}
         for batch in batches:
             scores = []
             for text in batch.column(1).to_pylist():
@@ -170,9 +170,9 @@ def score_ordinal(docs: DataFrame, model: OrdinalModel, *, keep_from: int | None
                 if len(known) + len(new) > CACHED_FEATURES:
                     known.clear()
                     new = found
-                known.update((f, weights[slot(f, n_slots)]) for f in new)
-                # a slot counts once, like in the fit, unless two features of a text share it
-                scores.append(sum(map(known.__getitem__, sorted(found))))
+                known.update((f, slot(f, n_slots)) for f in new)
+                # a slot counts once, as in the fit, whichever of its features a text has
+                scores.append(sum(map(weights.__getitem__, sorted(set(map(known.__getitem__, found))))))
             tails = own.tails(np.array(scores, np.float64))
             columns = [batch.column(0), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, j]) for j in range(k)), pa.array(tails[:, last - 1] >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "expected_grade", *(f"p_at_least_{j + 1}" for j in range(k)), "kept"])

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from netloom.llm.ordinal import OrdinalModel, fit_on_sample, fit_ordinal, op9_quality_grade, score_ordinal
+from pyspark.sql import functions as F
+
+from netloom.llm.ordinal import OrdinalModel, features, fit_on_sample, fit_ordinal, op9_quality_grade, quality_grade, score_ordinal, slot
 
 
 def graded(n, seed):
@@ -54,3 +56,26 @@ def test_query_on_the_labelled_documents(spark, tiny):
     assert len(rows) == 1000
     right = [rows[k].kept == bool(x.quality and not x.toxic) for k, x in labels.items()]
     assert np.mean(right) > 0.9
+
+
+def test_scores_against_brute_force(spark):
+    """Features that share a slot count once, as in the fit."""
+    r = np.random.default_rng(3)
+    model = OrdinalModel(r.standard_normal(32), np.array([-0.5, 0.7]))
+    texts = [None, "", "Some words here, some Words there!", "junk " * 50, *(text for _, text, _ in graded(30, 5))]
+    frame = spark.createDataFrame([(k, t, 1.0, "x") for k, t in enumerate(texts)], "doc_id long, text string, expected_grade double, p_at_least_1 string")
+    for row in score_ordinal(frame, model).collect():
+        score = sum(np.float32(model.weights)[sorted({slot(f, 32) for f in features(texts[row.doc_id])})].astype(float))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert [row.p_at_least_1, row.p_at_least_2] == pytest.approx(tails) and row.expected_grade == pytest.approx(sum(tails)) and row.kept == (tails[1] >= 0.5)
+
+
+def test_held_out_labels(spark, tiny):
+    """Fitted on four fifths of the labelled documents, the model grades the others."""
+    small = tiny.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ratings = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", quality_grade(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade IS NOT NULL")
+    model = fit_on_sample(docs, ratings.filter("doc_id % 5 <> 0"), 3)
+    test = {x.doc_id: x.grade for x in ratings.filter("doc_id % 5 = 0").collect()}
+    rows = [x for x in score_ordinal(docs, model).collect() if x.doc_id in test]
+    assert len(rows) > 20 and np.mean([x.kept == (test[x.doc_id] == 2) for x in rows]) > 0.85
