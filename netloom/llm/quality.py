@@ -160,6 +160,12 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Callable[[Features], bool]
     return docs.mapInArrow(judge, schema)
 
 
+def keep_quality(docs: DataFrame, rules: dict[str, Callable[[Features], bool]] = RULES, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, in their own columns, whatever these are called."""
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return quality_cascade(packed, rules, sample_docs=sample_docs).filter("kept").select("row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), metrics=METRICS)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -1,13 +1,16 @@
 import re
 import zlib
+from collections import Counter
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from netloom.llm.simhash import fingerprint
-from tests.llm.test_secrets import base as secret_spans
+from tests.llm.test_mixing import targets_of
 from tests.llm.test_quality import slow
+from tests.llm.test_secrets import base as secret_spans
+from tests.llm.test_secrets import slow_spans
 
 
 def good(text):
@@ -64,6 +67,65 @@ def test_stages_against_brute_force(spark, tiny, tmp_path):
     assert all(p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.token_ids)) for p in pieces)
 
 
-def test_run_gives_the_last_stage(spark, tiny):
-    rows = corpus_pipeline.run(spark, tiny)
-    assert {"doc_id", "start", "length", "token_ids", "sequence_id"} <= set(rows.columns) and rows.count() > 0
+def test_run_against_brute_force(spark, tiny):
+    """The pieces of run() are those of the stages' documents, each stage done by hand but for the mix, whose
+    sizes, targets and bounds are checked."""
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    kept = {i: r.text for i, r in texts.items() if good(r.text)}
+    single = {i: kept[i] for i in survivors(kept)}
+    hidden = {i: marked(t) for i, t in single.items()}
+    size, taken = {i: len(t.split()) for i, t in hidden.items()}, Counter()
+    pieces = {}
+    for p in corpus_pipeline.run(spark, tiny).collect():
+        pieces.setdefault((p.doc_id, p.start), []).append(p)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, text in hidden.items():
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        copies = len(pieces.get((i, 0), []))
+        taken[texts[i].source] += copies * size[i]
+        assert copies <= 2
+        start = 0
+        while start < len(ids) and copies:
+            found = pieces.pop((i, start))
+            assert len(found) == copies and {tuple(p.token_ids) for p in found} == {tuple(ids[start : start + found[0].length])}
+            start += found[0].length
+        assert start == (len(ids) if copies else 0)
+    assert not pieces
+    sizes = Counter()
+    for i in hidden:
+        sizes[texts[i].source] += size[i]
+    for source, target in targets_of(sizes).items():
+        assert abs(taken[source] - target) <= max(size[i] for i in hidden if texts[i].source == source)
+
+
+def marked(text):
+    """The text with a mark in place of every span or run of overlapping spans."""
+    out, at = "", 0
+    for a, _, b in slow_spans(text):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_columns_of_any_name_nulls_and_repeated_rows(spark, tmp_path):
+    good_text = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, good_text, "a", "orig", "mine", "f", 1), (1, good_text, "a", "orig", "mine", "f", 1), (2, None, "a", "k", "s", "f", 2), (3, "", None, "k", "s", "f", 3), (None, good_text + " token=abcdef12", None, "k", "s", "f", 4), (5, " ".join(f"other{k}" for k in range(90)) + " password: hunter22", None, "k", "s", "f", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, spans string, failed_rule string, size int")
+    columns = docs.columns
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        assert docs.columns == columns
+        if number == 0:
+            assert sorted((r["size"] for r in docs.collect())) == [1, 1, 4, 5] and {r.kept for r in docs.collect()} == {"orig", "k"}
+        if number == 1:
+            single = docs.collect()
+            assert len(single) in (2, 3) and {r.spans for r in single} <= {"mine", "s"}
+        if number == 2:
+            assert not any("hunter22" in r.text or "abcdef12" in r.text for r in docs.collect()) and docs.count() == len(single)
+    assert corpus_pipeline.pack(spark, docs, "").count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "")
+    assert empty.count() == 0
