@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 read again as the next stage's documents; all but the last return the columns of
-the documents.
+the documents, whatever these are called (``kept``, ``spans``, ``row`` and the like are
+kept as they are), and the last only those of the pieces.
+
+Defined results: documents with a null or empty text fail the first stage, and so do
+texts of under 50 words; a null doc_id or source is kept like any other value; of
+repeated rows one stays; texts of any length are handled whole; an empty table gives
+no pieces.
 """
 
 from __future__ import annotations
@@ -10,17 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.llm import quality
 from netloom.llm.mixing import mix_sources
 from netloom.llm.packing import pack_power_of_two
-from netloom.llm.quality import quality_cascade
 from netloom.llm.secrets import redact_secrets
-from netloom.llm.session import checkpoint, table
+from netloom.llm.session import table, written
 from netloom.llm.simhash import drop_near_duplicates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all quality rules."""
-    return quality_cascade(docs).filter("kept").select(*docs.columns)
+    return quality.keep_quality(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each cut from the one before by a checkpoint."""
+    """All stages over the documents of a folder; what each returns is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, checkpoint(docs) if number else docs, sf_dir)
+        docs = stage(spark, written(docs) if number else docs, sf_dir)
     return docs
