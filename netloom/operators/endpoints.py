@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from netloom.functions.mac import canonical_mac, colon_form, is_locally_administered
 from netloom.functions.net import has_virtual_name, is_host_address
+from netloom.operators.graph import numbered
 from netloom.sources.schema import BY_INVENTORY
 
 # Serials that mean nothing, and the id of the inventory's own manager.
@@ -54,6 +55,14 @@ def select_mac(netiface: DataFrame, netaddr: DataFrame, agents: DataFrame) -> Da
     return known.groupBy("agent_id").agg(F.min_by("mac", order).alias("mac")).withColumn("mac", colon_form(canonical_mac(F.col("mac"))))
 
 
+def collect_endpoints(agents: DataFrame, netiface: DataFrame, netaddr: DataFrame, hardware: DataFrame) -> DataFrame:
+    """Endpoints with pos (by id) of inventory records: the manager left out, with serial and MAC."""
+    known = project_agents(without_manager(agents))
+    macs = select_mac(netiface, netaddr, known.select("agent_id", "ip"))
+    whole = known.join(first_serial(hardware), "agent_id", "left").join(macs, "agent_id", "left")
+    return numbered(whole, "pos", F.col("agent_id"))
+
+
 def parse_findings(hits: DataFrame) -> DataFrame:
     """Flat findings of nested search hits; whatever is missing is null."""
     v, p = "_source.vulnerability", "_source.package"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +12,10 @@ from netloom.sources import schema as S
 from netloom.sources.session import checkpoint
 
 
+#: Levels of a breadth-first order that are kept apart before they are put into one table.
+MERGED_LEVELS = 32
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Adds the place of each row from 0, without sorting all rows in one task: ranges are ranked apart
     and start where the ranges before them end. The order must be total."""
@@ -57,7 +63,8 @@ def bfs_order(devices: DataFrame, links: DataFrame) -> DataFrame:
     device in the order of the links, and go on with the first device left. Here all
     components grow together, a level a round: within a component the new devices of a
     level follow the rank of the device that reaches them first, then the link's
-    place and side. Components follow each other by the place of their roots.
+    place and side. Components follow each other by the place of their roots. What
+    the links of a level lead to is new unless it is in this level or the last.
     """
     place = devices.select("chassis_id", F.col("pos").alias("node"))
     ends = links.select("seq", "source_chassis_id", "target_chassis_id").join(place.select(F.col("chassis_id").alias("source_chassis_id"), F.col("node").alias("a")), "source_chassis_id").join(place.select(F.col("chassis_id").alias("target_chassis_id"), F.col("node").alias("b")), "target_chassis_id")
@@ -65,16 +72,20 @@ def bfs_order(devices: DataFrame, links: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("next"), "seq", F.lit(0).alias("side")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), "seq", F.lit(1).alias("side")))
     roots = components(place, edges)
     level = checkpoint(roots.filter("node = root").select("node", "root", F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(None).cast("long").alias("parent")))
-    reached = level
+    before, levels = level.limit(0), [level]
     while True:
         steps = level.join(both, "node").select("root", F.col("next").alias("node"), F.col("node").alias("parent"), F.struct("at", "seq", "side").alias("key"))
-        fresh = steps.join(reached.select("node"), "node", "left_anti").groupBy("root", "node").agg(F.min("key").alias("key"), F.min_by("parent", "key").alias("parent"))
+        fresh = steps.join(level.select("node").unionByName(before.select("node")), "node", "left_anti").groupBy("root", "node").agg(F.min("key").alias("key"), F.min_by("parent", "key").alias("parent"))
         depth = F.lit(1) + level.select("depth").limit(1).first()[0]
-        level = checkpoint(fresh.select("node", "root", depth.alias("depth"), F.row_number().over(W.partitionBy("root").orderBy("key")).alias("at"), "parent"))
+        # places follow the roots, so ranges share the sort of a component of any size
+        placed = numbered(fresh, "at", F.col("root"), F.col("key"), F.col("node"))
+        before, level = level, checkpoint(placed.select("node", "root", depth.alias("depth"), F.col("at").cast("int"), "parent"))
         if level.isEmpty():
             break
-        reached = checkpoint(reached.unionByName(level))
-    ranked = numbered(reached, "rank", F.col("root"), F.col("depth"), F.col("at"))
+        levels.append(level)
+        if len(levels) > MERGED_LEVELS:
+            levels = [checkpoint(reduce(DataFrame.unionByName, levels))]
+    ranked = numbered(reduce(DataFrame.unionByName, levels), "rank", F.col("root"), F.col("depth"), F.col("at"))
     parents = place.select(F.col("node").alias("parent"), F.col("chassis_id").alias("parent_chassis_id"))
     return ranked.join(place, "node").join(parents, "parent", "left").select("chassis_id", F.col("node").alias("pos"), "root", "depth", F.col("parent_chassis_id").alias("parent"), "rank")
 
@@ -90,6 +101,19 @@ def discovery_order(ordered: DataFrame, placed: DataFrame) -> DataFrame:
     return numbered(devices.unionByName(others), "discovery_order", F.col("key"), F.col("node_id")).drop("key")
 
 
+def tree_depths(nodes: DataFrame) -> DataFrame:
+    """node_id and depth of every node in the tree of parent_id; a node whose parent is missing is a root."""
+    rest = nodes.select("node_id", "parent_id")
+    orphan = rest.join(rest.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")
+    level, depth = checkpoint(orphan.select("node_id", F.lit(0).alias("depth"))), 0
+    levels = level
+    while not level.isEmpty():
+        depth += 1
+        level = checkpoint(rest.join(level.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id", F.lit(depth).alias("depth")))
+        levels = levels.unionByName(level)
+    return levels
+
+
 def depths_and_siblings(nodes: DataFrame) -> DataFrame:
     """The children of every node in order, for a tree view: node_id, parent_id, sibling_rank; a node
     whose parent is missing hangs on nothing."""

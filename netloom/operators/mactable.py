@@ -14,8 +14,9 @@ from netloom.sources.schema import RESOLVED, TIEBREAK, device_id
 
 
 def known_rows(fdb: DataFrame) -> DataFrame:
-    """Forwarding rows with a MAC and a port, the MAC as key."""
-    return fdb.withColumn("mac", canonical_mac(F.col("mac"))).filter(F.col("mac").isNotNull() & F.col("port").isNotNull() & (F.coalesce(F.col("chassis_id"), F.lit("")) != ""))
+    """Forwarding rows with a MAC, a port and a chassis id (an empty one counts here, other than where devices
+    are named), the MAC as key."""
+    return fdb.withColumn("mac", canonical_mac(F.col("mac"))).filter("mac IS NOT NULL AND port IS NOT NULL AND chassis_id IS NOT NULL")
 
 
 def port_mac_count(fdb: DataFrame) -> DataFrame:

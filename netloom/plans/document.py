@@ -103,6 +103,18 @@ def build_graph(endpoints: DataFrame, devices: DataFrame, links: DataFrame, fdb:
     return Graph(stamped, edges, placement)
 
 
+def edge_styles(edges: DataFrame) -> DataFrame:
+    """Edges as a diagram draws them: id (by place), ends, label, and dashed for attachments."""
+    return edges.select(F.concat(F.lit("e"), F.col("seq")).alias("id"), "source", "target", F.nullif("local_port", F.lit("")).alias("label"), (F.col("type") == S.ENDPOINT_EDGE).alias("dashed"))
+
+
+def toolbar_counts(graph: Graph) -> DataFrame:
+    """One row: devices that answer, and edges of both kinds together."""
+    shown = counts(graph).select((F.col("lldp_edges") + F.col("endpoint_edges")).alias("edges"), F.lit(1).alias("k"))
+    polled = graph.placement.devices.agg(F.count_if("pollable").alias("pollable")).withColumn("k", F.lit(1))
+    return polled.join(shown, "k").drop("k")
+
+
 def counts(graph: Graph) -> DataFrame:
     """One row of counts."""
     nodes = graph.nodes.agg(F.count("*").alias("nodes"), F.count_if((F.col("kind") == S.ENDPOINT) & (F.col("discovery_method") != S.BY_FDB)).alias("endpoints"), F.count_if(F.col("kind") == S.DEVICE).alias("devices"), F.count_if(F.col("discovery_method") == S.BY_FDB).alias("fdb_discovered_hosts"), F.count_if((F.col("kind") == S.ENDPOINT) & F.col("parent_id").isNull()).alias("unparented_endpoints"))

@@ -129,3 +129,31 @@ def search_hits(s: Scenario) -> DataFrame:
     v = F.struct(F.col("cve").alias("id"), severity.alias("severity"), F.lit(None).cast("string").alias("description"), score.alias("score"))
     p = F.struct(F.concat(F.lit("pkg-"), F.substring("cve", -1, 1)).alias("name"), F.lit("1.0").alias("version"))
     return s.findings.select("agent_id", F.struct(v.alias("vulnerability"), p.alias("package")).alias("_source"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A host's routes (one for each supplier) and its adapters; interface 6 has none."""
+    key = F.col("s_suppkey").cast("int")
+    hop = F.when(key % 11 == 0, "127.0.0.1").otherwise(F.format_string("10.0.%d.%d", F.col("s_nationkey").cast("int"), key % 250 + 1))
+    made = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.cast("long").alias("seq"), F.when(key % 3 == 0, "0.0.0.0/0").otherwise("10.0.0.0/8").alias("destination"), hop.alias("next_hop"), (key % 7).alias("if_index"), (key % 5 * 10).alias("metric"))
+    n = F.col("n_nationkey").cast("int")
+    named = F.when(n % 3 == 0, "Intel Ethernet").when(n % 3 == 1, "VMware Virtual Adapter").otherwise("Hyper-V vEthernet")
+    return made, spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey < 6").select(n.alias("if_index"), named.alias("description"))
+
+
+def seed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of a routing table and of a report of neighbours, a few for each nation."""
+    n = F.col("n_nationkey").cast("int")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    value = F.when(n % 5 == 0, F.format_string("default via 10.0.%d.1 dev eth0", n)).when(n % 5 == 1, F.format_string("default  10.0.%d.1 UGSc en0", n - 1)).when(n % 5 == 2, F.lit("0.0.0.0 127.0.0.1 UH")).when(n % 5 == 3, F.format_string("10.0.%d.0/24 dev eth0 src 10.0.%d.7", n, n)).otherwise(F.lit("default via fe80::1"))
+    routing = nation.select(n.cast("long").alias("line"), value.alias("value"))
+    said = F.when(n % 2 == 0, F.format_string("lldp.eth0.chassis.mgmt-ip=10.0.%d.1", n)).otherwise(F.format_string("lldp.eth0.chassis.name=10.0.%d.1", n))
+    return routing, nation.select(n.cast("long").alias("line"), said.alias("value"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API answers as JSON text: the customers of each nation, and one answer without items."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    item = F.struct("c_custkey", F.struct(F.format_string("%03d", "c_custkey").alias("id"), F.col("c_name").alias("name")).alias("x"))
+    listed = customer.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["x"]).alias("affected_items"))
+    return listed.select(F.to_json(F.struct(F.struct("affected_items").alias("data"))).alias("value")).unionByName(spark.sql("SELECT '{\"error\": 0}' AS value"))

@@ -199,4 +199,16 @@ ORACLES: dict[str, str] = {
     "network_devices": _with("sc_dev", "nb", body="""SELECT d.chassis_id, coalesce(p.neighbor_ports, '') neighbor_ports, coalesce(p.uplink_ports, '') uplink_ports, coalesce(replace(d.own_mac,':',''), '') own_macs, CASE WHEN d.pollable THEN CAST(7 AS BIGINT) END ports_up
  FROM sc_dev d LEFT JOIN (SELECT device_ip, array_to_string(list_sort(list(DISTINCT local_port)), ',') neighbor_ports, array_to_string(list_sort(list(DISTINCT local_port) FILTER (target_ip IS NOT NULL)), ',') uplink_ports FROM nb GROUP BY device_ip) p ON p.device_ip=d.ip AND d.pollable""", **(_CRAWLED | {"said": _VIEWS["said"].replace("sc_link", "all_link"), "nb": _VIEWS["nb"].replace("sc_dev", "all_dev")})),
     "walks_to_graph": _with("node", "att", body="SELECT n.node_id, kind, n.ip, hostname, role, pollable, a.parent, a.port, a.confidence, a.reason FROM node n LEFT JOIN att a USING (node_id)", **_CRAWLED),
+    "edge_styles": _with("edge", body="SELECT source, target, nullif(local_port,'') AS label, type='endpoint_link' dashed FROM edge"),
+    "toolbar_counts": _with("stay", "edge", body="SELECT (SELECT count(*) FROM stay WHERE pollable) pollable, (SELECT count(*) FROM edge) edges"),
+    "tree_depth": _with("discovered", body="SELECT node_id, depth FROM (WITH RECURSIVE r AS (SELECT node_id, CAST(0 AS BIGINT) depth FROM discovered WHERE parent_id IS NULL OR parent_id NOT IN (SELECT node_id FROM discovered) UNION ALL SELECT d.node_id, r.depth+1 FROM discovered d JOIN r ON d.parent_id=r.node_id) SELECT * FROM r)"),
+    "route_gateways": """SELECT ip, min(metric) metric, arg_min(seq, metric*1000000+seq) seq FROM (SELECT CASE WHEN s_suppkey%11=0 THEN '127.0.0.1' ELSE concat('10.0.',s_nationkey,'.',s_suppkey%250+1) END ip, CAST(s_suppkey%5*10 AS INT) metric, CAST(s_suppkey AS BIGINT) seq
+ FROM supplier WHERE s_suppkey%3=0 AND s_suppkey%7 IN (0,3,6)) WHERE ip<>'127.0.0.1' GROUP BY ip""",
+    "seed_texts": """SELECT ip, min(pos) pos FROM (SELECT concat('10.0.',n_nationkey-n_nationkey%5,'.1') ip, CAST(n_nationkey AS BIGINT) pos FROM nation WHERE n_nationkey%5<2
+ UNION ALL SELECT concat('10.0.',n_nationkey,'.1'), 1099511627776+n_nationkey FROM nation WHERE n_nationkey%2=0) GROUP BY ip""",
+    "addresses_in_text": """SELECT CAST(n_nationkey AS BIGINT) line, CAST(0 AS BIGINT) AS "at", concat('10.0.',n_nationkey-n_nationkey%5,'.1') ip FROM nation WHERE n_nationkey%5<2
+ UNION ALL SELECT n_nationkey, i, CASE i WHEN 0 THEN '0.0.0.0' ELSE '127.0.0.1' END FROM nation, range(2) t(i) WHERE n_nationkey%5=2 UNION ALL SELECT n_nationkey, i, concat('10.0.',n_nationkey,CASE i WHEN 0 THEN '.0' ELSE '.7' END) FROM nation, range(2) t(i) WHERE n_nationkey%5=3""",
+    "payload_items": "SELECT row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 pos, printf('%03d', c_custkey) id, c_name AS name FROM customer",
+    "collected_endpoints": _with("held", body="""SELECT row_number() OVER (ORDER BY a.agent_id)-1 pos, a.agent_id, c_name hostname, CASE WHEN a.k%7<>0 THEN a.ip END ip, CASE WHEN a.k%5>2 THEN concat('SN', a.k) END serial, m.mac FROM agent a JOIN customer ON c_custkey=a.k
+ LEFT JOIN (SELECT agent_id, mac FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY CASE WHEN k%7<>0 AND address=ip THEN 0 ELSE 1 END, CASE WHEN state='up' THEN 0 ELSE 1 END, pos) rn FROM held WHERE (k+pos)%6<>0 AND name<>'vEthernet 0') WHERE rn=1) m ON m.agent_id=a.agent_id"""),
 }

@@ -23,6 +23,7 @@ from netloom.operators import walks as P
 from netloom.plans import document as D
 from netloom.plans import landed as A
 from netloom.sources import landing as IO
+from netloom.sources import seeds as Z
 from netloom.sources.scenario import Scenario, build_scenario
 from netloom.sources.session import checkpoint
 
@@ -493,6 +494,54 @@ def walks_to_graph(s):
     return graph.nodes.select("node_id", "kind", "ip", "hostname", "role", "pollable").join(at, "node_id", "left")
 
 
+@on_scenario
+def edge_styles(s):
+    return D.edge_styles(_graph(s).edges).select("source", "target", "label", "dashed")
+
+
+@on_scenario
+def toolbar_counts(s):
+    return D.toolbar_counts(_graph(s))
+
+
+@on_scenario
+def tree_depth(s):
+    return G.tree_depths(_graph(s).nodes).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query
+def route_gateways(spark, sf_dir):
+    routes, adapters = A.routes(spark, sf_dir)
+    return Z.route_gateways(routes, adapters).select("ip", "order.metric", "order.seq")
+
+
+@query
+def seed_texts(spark, sf_dir):
+    """Seeds of texts: gateways of a routing table before the host's neighbours, each address once."""
+    routing, reported = A.seed_lines(spark, sf_dir)
+    return Z.merge_seeds(Z.text_gateways(routing), Z.text_neighbors(reported)).select("ip", "pos")
+
+
+@query
+def addresses_in_text(spark, sf_dir):
+    return IO.addresses_in_text(A.seed_lines(spark, sf_dir)[0]).select("line", F.col("at").cast("long").alias("at"), "ip")
+
+
+@query
+def payload_items(spark, sf_dir):
+    """Records of landed API answers, an answer for each nation."""
+    answer = "data struct<affected_items: array<struct<id: string, name: string>>>"
+    parsed = A.payloads(spark, sf_dir).select(F.from_json("value", answer).alias("x")).select("x.*")
+    return IO.unwrap_items(parsed).select(F.col("pos").cast("long").alias("pos"), "id", "name")
+
+
+@query
+def collected_endpoints(spark, sf_dir):
+    rows = A.inventory(spark, sf_dir)
+    named = rows["agents"].withColumn("id", F.format_string("%05d", F.col("id").cast("int") + 1))  # as the other records spell it
+    return E.collect_endpoints(named, rows["netiface"], rows["netaddr"], rows["hardware"]).select("pos", "agent_id", "hostname", "ip", "serial", "mac")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every node of the graph: where it is attached, by which evidence, with which risk."""
     graph = _graph(build_scenario(spark, sf_dir))

@@ -37,6 +37,24 @@ def unwrap_items(payloads: DataFrame, items: str = "data.affected_items") -> Dat
     return payloads.select(F.posexplode_outer(items).alias("pos", "item")).filter("item IS NOT NULL").select("pos", "item.*")
 
 
+def read_payloads(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
+    """The rows of landed API answers, documents of the form {"data": {"affected_items": [..]}}, with the
+    answer's place as pos. An answer without items gives none."""
+    answer = T.StructType([T.StructField("data", T.StructType([T.StructField("affected_items", T.ArrayType(item))]))])
+    return unwrap_items(spark.read.schema(answer).option("multiLine", True).json(path))
+
+
+def read_inventory(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """agents, netiface, netaddr and hardware: JSON lines of a folder, each record with its agent_id and pos."""
+    kinds = {"agents": S.AGENT, "netiface": S.NETIFACE, "netaddr": S.NETADDR, "hardware": S.HARDWARE}
+    return {name: spark.read.schema(kind).json(f"{folder}/{name}") for name, kind in kinds.items()}
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """A stage's records as JSON lines, nulls written out; what was there is replaced."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def numbered_items(documents: DataFrame, items: str, place: str) -> DataFrame:
     return documents.select(F.posexplode(items).alias(place, "item")).select(F.col(place).cast("long").alias(place), "item.*")
 
@@ -57,7 +75,10 @@ def device_tables(devices: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    """Endpoints with pos, of one JSON list."""
+    """Endpoints with pos: of one JSON list (a .json file), which is one value and so one task, or of a folder
+    that a stage has written as JSON lines with pos, read in parts."""
+    if not path.endswith(".json"):
+        return spark.read.schema(T.StructType([T.StructField("pos", T.LongType()), *S.SCORED_ENDPOINT.fields])).json(path)
     whole = spark.read.option("wholetext", True).text(path)
     parsed = whole.select(F.from_json("value", T.ArrayType(S.SCORED_ENDPOINT)).alias("items"))
     return numbered_items(parsed, "items", "pos")

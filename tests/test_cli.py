@@ -1,6 +1,11 @@
 import json
+from functools import reduce
+
+from pyspark.sql import DataFrame
 
 from netloom.__main__ import main
+from netloom.plans import landed
+from netloom.sources.scenario import build_scenario
 
 
 def test_document_of_cached_inputs(spark, tmp_path):
@@ -16,3 +21,21 @@ def test_document_of_cached_inputs(spark, tmp_path):
     assert document["nodes"][1]["mac"] == mac and document["nodes"][1]["top_cves"][0]["cve"] == "CVE-1" and document["nodes"][1]["risk_score"] == 7.5
     assert document["nodes"][0]["port_status"] == {"Gi0/1": "up"}
     assert document["edges"] == [{"source": "endpoint:001", "source_name": "one", "target": f"device:{chassis}", "target_name": "sw", "type": "endpoint_link", "local_port": "Gi0/1", "confidence": "resolved"}]
+
+
+def test_graph_tables_of_landed_inventory_and_walks(spark, tiny, tmp_path):
+    """From records and walks on disk to tables: collect, score, crawl, assemble; no document is made."""
+    scenario = build_scenario(spark, tiny)
+    inventory = landed.inventory(spark, tiny)
+    for name in ("agents", "netiface", "netaddr", "hardware"):
+        inventory[name].limit(40).write.json(f"{tmp_path}/inventory/{name}")
+    landed.search_hits(scenario).limit(200).write.json(f"{tmp_path}/hits")
+    reduce(DataFrame.unionByName, (make(scenario) for make in (landed.neighbor_walks, landed.system_walks, landed.forwarding_walks))).write.parquet(f"{tmp_path}/walks")
+    (tmp_path / "routes.txt").write_text("default via 10.0.1.254 dev eth0\n")
+    asked = ["--inventory", f"{tmp_path}/inventory", "--findings", f"{tmp_path}/hits", "--walks", f"{tmp_path}/walks", "--seed", "10.0.0.254", "--routes", f"{tmp_path}/routes.txt", "--pollable-only", "--tables", f"{tmp_path}/graph", "--scored-out", f"{tmp_path}/scored"]
+    assert main(asked) == 0
+    nodes = spark.read.parquet(f"{tmp_path}/graph/nodes").collect()
+    devices = [n for n in nodes if n.kind == "device"]
+    assert {n.ip for n in devices} >= {"10.0.0.254", "10.0.1.254"} and all(n.pollable for n in devices) and all(n.port_status for n in devices)
+    scored = spark.read.json(f"{tmp_path}/scored").collect()
+    assert scored and {n.agent_id for n in nodes if n.agent_id} == {r.agent_id for r in scored} and "000" not in {r.agent_id for r in scored}
