@@ -32,7 +32,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 #: High bits of the hash by which a large class is ranked in parts, and these in parts.
-PART_BITS = (12, 24)
+PART_BITS = (8, 16, 24)
 
 
 def source_key(source: Column) -> Column:
