@@ -8,7 +8,7 @@ from netloom.plans.oracles import ORACLES
 from netloom.plans.queries import QUERIES
 
 #: Those that build the whole graph take long; one of them is enough here.
-SLOW = {"edge_list_named", "graph_counts", "unparented", "discovery_order", "node_document", "node_json", "edge_json", "children_semi", "node_lookup"}
+SLOW = {"edge_list_named", "graph_counts", "unparented", "discovery_order", "node_document", "node_json", "edge_json", "children_semi", "node_lookup", "edge_styles", "toolbar_counts", "tree_depth"}
 
 
 @pytest.fixture(scope="module")
