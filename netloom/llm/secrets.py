@@ -181,11 +181,17 @@ def redact_secrets(docs: DataFrame, *, reach: int = REACH, mark: str = "[SECRET]
     return found.select(*(hidden.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_KINDS))
-    counts = {f"n_{name}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k, name in enumerate(BASE_KINDS)}
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = (count_of(F.col("spans"), name).alias(f"n_{name}") for name in BASE_KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def _either_case(words: str) -> str:
