@@ -15,8 +15,8 @@ more than ``GROUP_WORDS`` words split anew by longer grams, up to the whole wind
 where a group is one node and needs no tree. Which groups split is a bitmap of
 fixed size; a gram that shares its bit with such a group merely splits early too.
 
-Before a tree is built, stretches with the same words (two hashes of 64 bits:
-gram and words) become one leaf set with one smallest document. The others of
+Before a tree is built, stretches with the same words (one BLAKE2b digest of 128
+bits, of the words themselves) become one leaf set with one smallest document. The others of
 such a set repeat it whole, so only one of each set sends its words. Groups of
 one document, or of one set, need no tree. A gram that is too common for one task
 (see ``buckets``) is never grouped in one place before its sets are merged.
@@ -31,18 +31,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.llm.buckets import by_group, complete_groups, hot_keys, join_unevenly, least_hot
 from netloom.llm.session import discard, table, written
-from netloom.llm.text import BLANK_BYTES, WORD, encode
+from netloom.llm.text import WORD, encode
 
 WINDOW = 50
 #: Words of the splitting grams, from the first to the last but one; the last is the window.
@@ -53,8 +57,6 @@ GROUP_WORDS = 1 << 19
 FLAG_BITS = 24
 _PIECE_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_OTHER = np.uint64(0xD6E8FEB86659FD93)
-_BLANK = np.isin(np.arange(256), list(BLANK_BYTES))
 _BLANK_RUN, _WORD_RUN = re.compile(rb"[\x20\x09-\x0d]+"), re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -73,35 +75,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, inverse))
-        return cls.up[:n], cls.down[:n]
-
-
-def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of values times powers, from 0, and the inverse powers."""
-    up, down = _Powers.upto(len(values) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])]), down
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = _BLANK[raw]
-    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
-    starts, ends = (edge == -1).nonzero()[0], (edge == 1).nonzero()[0]
-    sums, down = _sums(raw.astype(np.uint64) + np.uint64(1))
-    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of every word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def least_grams(words: np.ndarray, width: int, window: int) -> np.ndarray:
@@ -122,33 +98,41 @@ def flagged(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def stretches_of(texts: list[bytes], window: int, widths: list[int], flags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def stretches_of(texts: list[bytes], window: int, widths: list[int], flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Text, gram, digest, first and last suffix of each stretch: a run of consecutive suffixes with one
     splitting gram, the last of ``widths``, among suffixes whose shorter grams are all flagged."""
-    words, counts = word_hashes(texts)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(words) < window:
-        return none
+    split = [t.split() for t in texts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    listed = list(chain.from_iterable(split))
+    none = np.zeros(0, np.int64)
+    if len(listed) < window:
+        return none, none, [], none, none
     text = np.repeat(np.arange(len(texts)), counts)
-    wanted = text[: len(words) - window + 1] == text[window - 1 :]
+    wanted = text[: len(listed) - window + 1] == text[window - 1 :]
+    words = word_hashes(listed)
     for width, bits in zip(widths, flags):
         if not wanted.any():
-            return none
+            break
         wanted &= flagged(least_grams(words, width, window), bits)
     suffix = wanted.nonzero()[0]
     if not len(suffix):
-        return none
+        return none, none, [], none, none
     key = least_grams(words, widths[-1], window)[suffix]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (suffix[1:] != suffix[:-1] + 1) | (text[suffix[1:]] != text[suffix[:-1]])])
+    if widths[-1] == window:  # a stretch of equal suffixes: its words are all one word
+        alike = np.concatenate([[0], np.cumsum(np.fromiter(map(eq, listed, listed[1:]), np.int64, len(listed) - 1)), [0]])
+        new[1:] |= alike[suffix[:-1] + window] - alike[suffix[:-1]] < window
     begin = new.nonzero()[0]
     low, high = suffix[begin], suffix[np.append(begin[1:], len(suffix)) - 1]
-    # suffixes with one gram of the window's length are equal, however many follow each other
+    # of equal suffixes, however many follow each other, the digest is that of one
     length = (high - low if widths[-1] < window else np.zeros(len(low), np.int64)) + window
-    sums, down = _sums(_mixed(words ^ _OTHER))
-    digest = _mixed((sums[low + length] - sums[low]) * down[low] + length.astype(np.uint64) * _OTHER)
+    joined = b" ".join(listed)
+    ends = np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)) + 1)
+    begins = np.concatenate([[0], ends[:-1]])
+    digest = [blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begins[low].tolist(), (ends[low + length - 1] - 1).tolist())]
     of = text[low]
     first = (np.cumsum(counts) - counts)[of]
-    return of, key[begin].view(np.int64), digest.view(np.int64), low - first, high - first
+    return of, key[begin].view(np.int64), digest, low - first, high - first
 
 
 def pieces(texts: list[bytes], window: int, size: int = _PIECE_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -172,13 +156,13 @@ def pieces(texts: list[bytes], window: int, size: int = _PIECE_BYTES) -> Iterato
             for _, word in zip(range(window - 1), _WORD_RUN.finditer(text, end)):
                 beyond = word.end()
             yield [(k, before, text[at:beyond])]
-            before += int(word_hashes([text[at:end]])[1][0])
+            before += len(text[at:end].split())
             at = end
     if held:
         yield held
 
 
-_STRETCHES = "doc long, mark long, key long, digest long, low int, high int"
+_STRETCHES = "doc long, mark long, key long, digest binary, low int, high int"
 
 
 def _find_stretches(window: int, widths: list[int], flags: list[np.ndarray]):
@@ -191,7 +175,7 @@ def _find_stretches(window: int, widths: list[int], flags: list[np.ndarray]):
                     of, key, digest, low, high = stretches_of([x[2] for x in some], window, widths, flags)
                     row = at + np.array([x[0] for x in some])[of]
                     before = np.array([x[1] for x in some])[of]
-                    columns = [pa.array(docs[row]), pa.array(marks[row]), pa.array(key), pa.array(digest), *(pa.array((x + before).astype(np.int32)) for x in (low, high))]
+                    columns = [pa.array(docs[row]), pa.array(marks[row]), pa.array(key), pa.array(digest, pa.binary()), *(pa.array((x + before).astype(np.int32)) for x in (low, high))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "key", "digest", "low", "high"])
 
     return run

@@ -105,3 +105,23 @@ def test_a_long_text_is_cut_without_losing_a_window():
 def test_a_repeated_phrase_is_one_stretch():
     of, *_ = stretches_of([b"so it goes " * 5000], 50, [8], [])
     assert len(of) == 1
+
+
+def thue_morse(n, swap=False):
+    return ["ab"[(k.bit_count() + swap) % 2] for k in range(n)]
+
+
+def test_words_and_texts_that_collide_in_a_polynomial_hash(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever the base."""
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs = [(k, "".join(thue_morse(2048, k == 2)) + " " + rest) for k in (1, 2)]
+    docs += [(3, " ".join(thue_morse(4096))), (4, " ".join(thue_morse(4096, True))), (5, " ".join(thue_morse(300)) + " z " + " ".join(thue_morse(2100, True)))]
+    same(spark, docs, 50, 8)
+    same(spark, docs, 50, 8, group_words=1)
+    assert {r.doc_id: r.n_removed for r in drop_repeats(spark.createDataFrame(docs[:2], "doc_id long, text string")).collect()} == {1: 0, 2: 0}
+
+
+def test_equal_suffixes_are_one_stretch_only_if_their_words_are():
+    _, _, digest, low, high = stretches_of([b"a " * 70 + b"b " + b"a " * 80], 50, [50], [])
+    found = dict(zip(low.tolist(), high.tolist()))
+    assert found[0] == 20 and found[71] == 101 and len(set(digest)) == len(digest) - 1
