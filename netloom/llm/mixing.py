@@ -10,16 +10,15 @@ take turns).
 Rates become whole copies without drawing lots. Documents of one source and one
 size form a class. Along the classes of a source from large to small, copies
 follow the running sum of rate times documents, which leaves an error of about
-one long document; then, a few times, each source moves one copy in the class
-whose size is nearest to what is missing. Within a class the documents with the
-smallest hashes get the odd copies. So reruns agree, and no table that is grouped
+one long document; then each source moves copies in the class that brings it
+nearest to its target, until no move does. Within a class the documents with the
+smallest hashes get the odd copies; rows that are equal in all share a hash, and as
+many of them as are due get one. So reruns agree, and no table that is grouped
 or ranked by a hot source is larger than its number of distinct sizes.
 """
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,12 +87,11 @@ def entropy_balance(cells: DataFrame, targets: dict[str, DataFrame], *, size: st
     return cells
 
 
-def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST, moves: int = 10) -> DataFrame:
+def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST) -> DataFrame:
     """Adds copies (of all n documents of a class together) to the classes key, size, n.
 
-    Each move brings a source nearer to its target; they end when none can, and warn if that takes more than ``moves``.
-
-    ``sources`` has key, target and log_rate.
+    A move gives or takes as many copies of one class as bring its source nearest to its target; moves end
+    when none brings any source nearer. ``sources`` has key, target and log_rate.
     """
     along = W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, 0)
     limit = (F.col("n") * most).cast("long")
@@ -101,24 +99,24 @@ def class_copies(classes: DataFrame, sources: DataFrame, *, most: float = MOST,
     first = F.round(F.col("rate") * F.col("upto")) - F.round(F.col("rate") * (F.col("upto") - F.col("n")))
     classes = checkpoint(paced.withColumn("copies", F.least(first.cast("long"), limit)).select("key", "size", "n", "copies"))
     targets = sources.select("key", "target")
-    for _ in range(moves):
+    while True:
         missing = classes.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(targets, "key").select("key", (F.col("target") - F.col("taken")).alias("missing"))
-        open_ = F.when(F.col("missing") > 0, F.col("copies") < limit).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing"))
-        best = classes.join(missing, "key").filter(open_).groupBy("key").agg(F.min_by(F.struct("size", F.signum("missing").cast("long").alias("move")), F.struct(F.abs(F.abs("missing") - F.col("size")), "size")).alias("best"))
-        moved = classes.join(best.select("key", "best.size", "best.move"), ["key", "size"], "left")
-        moved = checkpoint(moved.withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))))
-        classes = moved.drop("move")
-        if moved.filter("move IS NOT NULL").isEmpty():
+        room = F.when(F.col("missing") > 0, limit - F.col("copies")).otherwise(F.col("copies"))
+        step = F.least(room, F.greatest(F.round(F.abs("missing") / F.col("size")).cast("long"), F.lit(1)))
+        moves = classes.filter("size > 0").join(missing, "key").withColumn("step", step)
+        moves = moves.withColumn("left", F.abs(F.abs("missing") - F.col("step") * F.col("size"))).filter((F.col("step") > 0) & (F.col("left") < F.abs("missing")))
+        best = checkpoint(moves.groupBy("key").agg(F.min_by(F.struct("size", (F.signum("missing").cast("long") * F.col("step")).alias("move")), F.struct("left", "size")).alias("best")).select("key", "best.size", "best.move"))
+        if best.isEmpty():
             return classes
-    warnings.warn(f"after {moves} moves some source could still come nearer to its target", stacklevel=2)
-    return classes
+        classes = checkpoint(classes.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move"))
 
 
 def odd_copies(slim: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds each (copies every document gets) and until (documents up to this hash get one more).
+    """Adds each (copies every document gets), until (documents below this hash get one more), equal (rows with
+    this hash) and due (how many of them get one more).
 
     Which hash that is, is found in the part of the class, by the high bits of the hash, that holds it, and
-    in that part of the part: no more than 2 ** -24 of a class is ranked in one task.
+    in that part of the part: no more than 2 ** -24 of a class's hashes are ranked in one task.
     """
     split = classes.withColumns({"each": F.floor(F.col("copies") / F.col("n")), "odd": F.col("copies") % F.col("n")})
     turn = split.filter("odd > 0").select("key", "size", F.col("odd").alias("at"))
@@ -132,9 +130,11 @@ def odd_copies(slim: DataFrame, classes: DataFrame) -> DataFrame:
         turn = checkpoint(turn.select("key", "size", "part", (F.col("at") - F.col("upto") + F.col("m")).alias("at")))
         keys = ["key", "size", "part"]
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    place = inside.join(turn, keys).withColumn("place", F.row_number().over(W.partitionBy("key", "size").orderBy(unsigned)))
-    until = place.filter("place = at").select("key", "size", unsigned.alias("until"))
-    return split.join(until, ["key", "size"], "left").select("key", "size", "n", "each", "until")
+    equal = inside.groupBy(*keys, unsigned.alias("until")).agg(F.count("*").alias("equal"))  # rows of one hash meet as their number
+    upto = equal.join(turn, keys).withColumn("upto", F.sum("equal").over(W.partitionBy("key", "size").orderBy("until")))
+    due = F.col("at") - F.col("upto") + F.col("equal")
+    until = upto.withColumn("due", due).filter((F.col("due") > 0) & (F.col("due") <= F.col("equal"))).select("key", "size", "until", "equal", "due")
+    return split.join(until, ["key", "size"], "left").select("key", "size", "n", "each", "until", "equal", "due")
 
 
 def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,17 +159,29 @@ def sized(docs: DataFrame) -> DataFrame:
 def copies_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds copies to rows with key, size and hash."""
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    more = F.coalesce(unsigned <= F.col("until"), F.lit(False)).cast("long")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    return join_unevenly(rows, classes, ["key", "size"], "n", least_hot(total)).withColumn("copies", F.col("each") + more).drop("n", "each", "until")
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    joined = join_unevenly(rows, classes, ["key", "size"], "n", least_hot(total))
+    alike = F.coalesce((unsigned == F.col("until")) & (F.col("due") < F.col("equal")), F.lit(False))
+    more = F.coalesce(unsigned <= F.col("until"), F.lit(False)).cast("long")
+    whole = joined.filter(~alike).select(*names, (F.col("each") + more).alias("copies"))
+    if classes.filter("due < equal").isEmpty():
+        return whole
+    # equal rows differ only in where they are: they are kept as they lie, and counted part by part
+    lying = checkpoint(joined.filter(alike).withColumn("part", F.spark_partition_id()))
+    of_class = W.partitionBy("key", "size").orderBy("part")
+    before = lying.groupBy("key", "size", "part").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(of_class) - F.col("m")).drop("m")
+    place = F.row_number().over(W.partitionBy("key", "size", "part").orderBy("until")) + F.col("before")
+    placed = lying.join(before, ["key", "size", "part"]).withColumn("place", place)
+    return whole.unionByName(placed.select(*names, (F.col("each") + (F.col("place") <= F.col("due")).cast("long")).alias("copies")))
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """``docs`` in the mix: each row as often as it has copies, in its own columns.
 
-    Null sources are one source, the last; null and empty texts have size 0; repeated
-    rows share a hash and are copied alike; an empty table gives no rows; columns named
-    key, size or hash would clash and are set aside by position.
+    Null sources are one source, the last; null and empty texts have size 0; of repeated
+    rows, which share a hash, as many get an odd copy as are due; an empty table gives no
+    rows; columns named key, size or hash would clash and are set aside by position.
     """
     names = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*names).alias("row"))

@@ -67,3 +67,24 @@ def test_two_groupings_are_balanced_together(spark):
 def test_query(spark, tiny):
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     check([(source[r.doc_id], r["size"], r.source_size, r.target, r.taken) for r in op6_mixing(spark, tiny).collect()], 0.2)
+
+
+def test_many_equal_rows_in_one_class(spark):
+    """Of rows that are equal in all, some get an odd copy, so that the target is met."""
+    docs = [(7, "w " * 8, "a")] * 1000 + [(k, "x " * 40, "b") for k in range(400)] + [(9, "y", "b")] * 10
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    slim, classes, sources = plan_mix(frame)
+    rows = copies_of(slim, classes).join(sources, "key").select("source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = list(map(tuple, rows.collect()))
+    assert len(found) == len(docs)
+    check(found, 0.5)
+    mixed = mix_sources(frame).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " ")))).collect()
+    assert dict(map(tuple, mixed)) == {s: sum(r[4] for r in found if r[0] == s) for s in "ab"}
+
+
+def test_moves_end_when_none_helps(spark):
+    """One long document and many short ones: the last words come from the short ones, many at once."""
+    docs = [(0, "long " * 5000, "a")] + [(k, "w", "a") for k in range(1, 4000)] + [(k, "w " * 300, "b") for k in range(5000, 5040)]
+    slim, classes, sources = plan_mix(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    taken = copies_of(slim, classes).groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(sources, "key").collect()
+    assert all(abs(r.taken - r.target) <= (1 if r.key == "sa" else 150) for r in taken)
