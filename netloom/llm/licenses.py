@@ -40,7 +40,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.secrets import let
+from netloom.llm.secrets import let, running_list
 from netloom.llm.session import table
 
 UNKNOWN = "unknown"
@@ -263,16 +263,22 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """row, doc_id, first_line and paragraph of every paragraph that has a telling 2-gram or a cue."""
     telling = telling_pairs()
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
-    # a blank line goes with the paragraph before it, so lines are counted by line feeds
-    cut = rows.select("row", "doc_id", F.posexplode(F.split("text", _BLANK_LINES)).alias("par", "paragraph"), F.split("text", _BLANK_LINES).alias("all"))
+    # a blank line goes with the paragraph before it, so lines are counted by line feeds; their running sum is
+    # made once for a text, and a paragraph's row has no more of the text than the paragraph
+    def step(line: Column, part: Column) -> tuple[Column, Column, Column]:
+        return line + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit(""))) + 1, F.lit(True), line
+
+    def numbered(parts: Column) -> Column:
+        return F.arrays_zip(parts.alias("paragraph"), running_list(parts, F.lit(0), step, "int").alias("first_line"))
+
+    cut = rows.select("row", "doc_id", F.posexplode(let(F.split("text", _BLANK_LINES), numbered)).alias("par", "x")).select("row", "doc_id", "par", "x.paragraph", F.col("x.first_line").cast("long").alias("first_line"))
 
     def told(words: Column) -> Column:
         pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.exists(pairs, lambda p: F.coalesce(p.isin(telling), F.lit(False)))
 
     kept = cut.filter(F.col("paragraph").rlike(CUES) | let(tokens(F.col("paragraph")), told))
-    feeds = F.transform(F.slice("all", 1, F.col("par")), lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    return kept.select("row", "doc_id", "par", (F.aggregate(feeds, F.lit(0), lambda a, b: a + b) + F.col("par")).cast("long").alias("first_line"), "paragraph")
+    return kept.select("row", "doc_id", "par", "first_line", "paragraph")
 
 
 def windows(paragraph: Column) -> Column:

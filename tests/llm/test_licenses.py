@@ -1,4 +1,5 @@
 import re
+import time
 
 from netloom.llm import licenses as L
 from netloom.llm.licenses import COUNTER_EXAMPLES, CUES, NOTICES, UNKNOWN, WINDOWS, Families, op10_license_scan, scan_licenses
@@ -129,3 +130,13 @@ def test_wrapped_notices_and_paragraphs(spark):
     rows = sorted((r.doc_id, r.family, r.line) for r in scan_licenses(docs).collect())
     assert [(d, f) for d, f, _ in rows] == [(0, "mit"), (1, "apache-2.0"), (2, "gpl-3.0"), (2, "mit")]
     assert rows[2][2] in (7, 8) and rows[3][2] in (2, 3, 4)
+
+
+def test_a_text_of_very_many_paragraphs(spark):
+    """The work follows the text's length: a paragraph's row has no more of it than the paragraph."""
+    parts = ["Released under the MIT License." if k % 25_000 == 7 else f"word{k} and\nothers" for k in range(100_000)]
+    began = time.monotonic()
+    rows = scan_licenses(spark.createDataFrame([(1, "\n\n".join(parts))], "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 60
+    lines = "\n\n".join(parts).split("\n")
+    assert sorted(r.line for r in rows) == [k for k, line in enumerate(lines) if "MIT" in line] and all(r.family == "mit" for r in rows)
