@@ -40,8 +40,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.secrets import let, running_list
 from netloom.llm.session import table
+from netloom.llm.text import let, running
 
 UNKNOWN = "unknown"
 MIN_SIMILARITY = 0.5
@@ -265,13 +265,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
     # a blank line goes with the paragraph before it, so lines are counted by line feeds; their running sum is
     # made once for a text, and a paragraph's row has no more of the text than the paragraph
-    def step(line: Column, part: Column) -> tuple[Column, Column, Column]:
-        return line + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit(""))) + 1, F.lit(True), line
-
     def numbered(parts: Column) -> Column:
-        return F.arrays_zip(parts.alias("paragraph"), running_list(parts, F.lit(0), step, "int").alias("first_line"))
+        lines = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1)
+        return F.zip_with(parts, running(F.concat(F.array(F.lit(0)), lines)), lambda p, line: F.struct(p.alias("paragraph"), line.alias("first_line")))
 
-    cut = rows.select("row", "doc_id", F.posexplode(let(F.split("text", _BLANK_LINES), numbered)).alias("par", "x")).select("row", "doc_id", "par", "x.paragraph", F.col("x.first_line").cast("long").alias("first_line"))
+    cut = rows.select("row", "doc_id", F.posexplode(let(F.split("text", _BLANK_LINES), numbered)).alias("par", "x")).select("row", "doc_id", "par", "x.paragraph", F.col("x.first_line").cast("long").alias("first_line")).filter("paragraph IS NOT NULL")
 
     def told(words: Column) -> Column:
         pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))

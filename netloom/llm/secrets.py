@@ -18,18 +18,18 @@ Defined results: a null text is empty and has no spans; an empty table gives no
 rows; repeated rows are scanned alike; other columns stay as they are, but
 ``find_secrets`` replaces a column named ``spans`` (``redact_secrets`` keeps it).
 A text with very many spans costs little more than in proportion: sorted spans
-are searched by halving, and lists of spans grow in chunks.
+are searched by halving, and places are running sums made in rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.session import table
+from netloom.llm.text import let, running
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "bare")
@@ -43,49 +43,26 @@ _IDENT = r"""((?i:user_?name|user_?id|login|account_?id|client_?id|access_?key_?
 _ENDPOINT = r"""(?i:https?|wss?|amqps?|ldaps?|redis|mysql|postgres(?:ql)?|mongodb(?:\+srv)?)://[^\x20\x09-\x0D"'<>]{4,}"""
 _BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
 
-_ONE = "struct<start:int,kind:int,end:int>"
-_SPAN = f"array<{_ONE}>"
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-#: Elements that a running list copies at each step, at most.
-_CHUNK = 128
-
-
-def running_list(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
-    """What ``step(state, item)`` adds to a list, item after item: it gives the next state, whether there is
-    something to add, and that. The list grows in chunks, so long ones are not copied at every step."""
-    none, no_chunks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-
-    def grow(done: Column, item: Column) -> Column:
-        state, adds, added = step(done["state"], item)
-        full = F.size(done["last"]) >= _CHUNK
-        last = F.when(adds & full, F.array(added)).when(adds, F.concat(done["last"], F.array(added))).otherwise(done["last"])
-        before = F.when(adds & full, F.concat(done["before"], F.array(done["last"]))).otherwise(done["before"])
-        return F.struct(state.alias("state"), last.alias("last"), before.alias("before"))
-
-    return F.aggregate(items, F.struct(start.alias("state"), none.alias("last"), no_chunks.alias("before")), grow, lambda done: F.flatten(F.concat(done["before"], F.array(done["last"]))))
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def pattern_spans(text: Column, pattern: str, kind: str, *, group: int = 0, at_least: int = 0) -> Column:
     """The leftmost matches that don't overlap; those whose group is shorter than at_least are dropped."""
     number = F.lit(KINDS.index(kind))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    numbered = F.transform(parts, lambda x: F.struct(F.length(x["p"]).alias("before"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("own"), x["m"].alias("m")))
+    measured = F.transform(parts, lambda x: F.struct(F.length(x["p"]).alias("before"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("own"), x["m"].alias("m")))
+
+    def spans(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: x["before"] + x["own"]))
+        placed = F.zip_with(pieces, ends, lambda x, end: F.struct((end - x["own"]).alias("start"), number.alias("kind"), end.alias("end"), x["m"].alias("m")))
 
-    def step(at: Column, part: Column) -> tuple[Column, Column, Column]:
-        start = at + part["before"]
-        end = start + part["own"]
-        kept = part["m"].isNotNull()
-        if at_least:  # a match alone matches like in its text
-            kept &= F.length(F.regexp_extract(part["m"], pattern, group)) >= at_least
-        return end, kept, F.struct(start.alias("start"), number.alias("kind"), end.alias("end"))
+        def kept(x: Column) -> Column:  # a match alone matches like in its text
+            return x["m"].isNotNull() & (F.length(F.regexp_extract(x["m"], pattern, group)) >= at_least) if at_least else x["m"].isNotNull()
 
-    return F.when(text.rlike(pattern), running_list(numbered, F.lit(0), step, _ONE)).otherwise(F.array().cast(_SPAN))
+        return F.transform(F.filter(placed, kept), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    return F.when(text.rlike(pattern), let(measured, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def starting_before(spans: Column, place: Column) -> Column:
@@ -170,11 +147,9 @@ def redact_secrets(docs: DataFrame, *, reach: int = REACH, mark: str = "[SECRET]
     """``docs``, in its own columns, whose text has a mark in place of every span; overlapping spans get one mark."""
     found = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("spans", credential_spans(F.col("text"), reach))
     # what is kept before each span that begins beyond all before it, and at the end
-    def step(at: Column, span: Column) -> tuple[Column, Column, Column]:
-        return F.greatest(at, span["end"]), span["start"] >= at, F.struct(at.alias("from"), span["start"].alias("to"))
-
     bounds = F.concat("spans", F.array(F.struct(F.length("text").alias("start"), F.lit(-1).alias("kind"), F.length("text").alias("end"))))
-    gaps = running_list(bounds, F.lit(0), step, "struct<from:int,to:int>")
+    reached = running(F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"])), F.greatest)
+    gaps = F.filter(F.zip_with(reached, bounds, lambda at, s: F.struct(at.alias("from"), s["start"].alias("to"))), lambda gap: gap["to"] >= gap["from"])
     clean = F.array_join(F.transform(gaps, lambda gap: F.substring(F.col("text"), gap["from"] + 1, gap["to"] - gap["from"])), mark)
     names = docs.columns
     hidden = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
