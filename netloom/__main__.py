@@ -6,9 +6,10 @@ The network: --network (a JSON document), or --walks DIR (Parquet) with one --se
 --routes and --neighbors (text files with further seeds), --max-nodes and --pollable-only.
 Either may be left out (--no-endpoints, --no-network).
 
---scored-out DIR writes the scored endpoints as JSON lines. --tables DIR writes nodes
-and edges as Parquet, which large graphs call for: no row passes the driver. The
-document goes to -o FILE or, unless --tables is given, to standard output.
+--scored-out DIR writes the scored endpoints as JSON lines. --tables DIR publishes nodes
+and edges as Parquet in a version of their own, which readers (landing.read_published)
+see when both are written. The document goes to -o FILE, in parts that are joined, or,
+unless --tables is given, through the driver to standard output.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def main(arguments: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from netloom.plans.document import build_graph, metadata
+    from netloom.plans.document import build_graph, metadata, publish_graph, write_document
     from netloom.sources import landing
 
     spark = SparkSession.builder.appName("netloom").getOrCreate()
@@ -62,16 +63,14 @@ def main(arguments: list[str] | None = None) -> int:
     phase("network")
     graph = build_graph(endpoints, devices, links, fdb, arp)
     if options.tables:
-        graph.nodes.write.mode("overwrite").parquet(f"{options.tables}/nodes")
-        graph.edges.write.mode("overwrite").parquet(f"{options.tables}/edges")
+        publish_graph(graph, options.tables)
     phase("assemble")
     if options.output or not options.tables:
-        about = metadata(graph, scan_time=began.isoformat(), seed=options.seed[0] if options.seed else None, timing={"started_at": began.isoformat(), "finished_at": datetime.now(UTC).isoformat(), **timing})
-        text = landing.graph_lines(graph.nodes, graph.edges, about)
+        about = {"scan_time": began.isoformat(), "seed": options.seed[0] if options.seed else None, "timing": {"started_at": began.isoformat(), "finished_at": datetime.now(UTC).isoformat(), **timing}}
         if options.output:
-            landing.replace_document(text, options.output)
+            write_document(graph, options.output, **about)
         else:
-            sys.stdout.write(text)
+            sys.stdout.write(landing.graph_lines(graph.nodes, graph.edges, metadata(graph, **about)))
     return 0
 
 

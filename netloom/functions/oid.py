@@ -27,6 +27,28 @@ def index_after(oid: Column, base: Column | str) -> Column:
     return F.when(F.startswith(oid, head), F.substr(oid, F.length(head) + 1))
 
 
+def oid_key(oid: Column) -> Column:
+    """A binary key whose byte order is the order of the tree: each arc as the number of its bytes, then these.
+
+    What lies below an identifier begins with its key. Null for anything but dotted numbers of up to 32 bits.
+    """
+
+    def coded(arc_: Column) -> Column:
+        digits = F.hex(arc_.cast("long"))
+        even = F.lpad(digits, F.length(digits) + F.length(digits) % 2, F.lit("0"))
+        return F.when(arc_.cast("long") == 0, "00").otherwise(F.concat(F.lit("0"), (F.length(even) / 2).cast("int").cast("string"), even))
+
+    in_range = F.forall(arcs(oid), lambda x: x.try_cast("long") <= 0xFFFFFFFF)
+    return F.when(oid.rlike(r"^\d{1,10}(\.\d{1,10})*$"), F.when(in_range, F.unhex(F.array_join(F.transform(arcs(oid), coded), ""))))
+
+
+def key_of(oid: str) -> bytes:
+    """The same key of an identifier that is known beforehand."""
+    numbers = [int(x) for x in oid.split(".")]
+    widths = [(n.bit_length() + 7) // 8 for n in numbers]
+    return b"".join(bytes([w]) + n.to_bytes(w, "big") for n, w in zip(numbers, widths))
+
+
 def arcs(index: Column) -> Column:
     return F.split(index, r"\.")
 

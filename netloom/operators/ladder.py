@@ -92,9 +92,9 @@ def place(endpoints: DataFrame, devices: DataFrame, links: DataFrame, fdb: DataF
     found = macs.select(F.col("mac").alias("key"), F.struct("chassis_id", "port", "confidence").alias("a"))
     by_ip = mac_by_ip(macs).join(macs.select("mac", "chassis_id", "port", "confidence"), "mac").select("ip", F.col("mac").alias("ip_mac"), F.struct("chassis_id", "port", "confidence").alias("b"))
     all_tiers = keyed.join(merged, "agent_id", "left")
-    for known, key, absent in ((found, "key", F.lit("-")), (by_ip, "ip", F.lit("-")), (subnet_parents(staying), "net", None)):
+    for known, key in ((found, "key"), (by_ip, "ip"), (subnet_parents(staying), "net")):
         # endpoints without the key get one of their own that nothing has, so they don't meet in one task
-        own = F.concat(absent, "agent_id") if absent is not None else -1 - F.abs(F.xxhash64("agent_id") % (1 << 62))
+        own = F.concat(F.lit("-"), "agent_id")
         all_tiers = all_tiers.withColumn("_on", F.coalesce(key, own)).join(known.withColumnRenamed(key, "_on"), "_on", "left").drop("_on")
     by_address = F.col("key").isNull() & F.col("b").isNotNull()
     tier = F.when(F.col("m").isNotNull(), 1).when(F.col("a").isNotNull(), 2).when(by_address, 3).when(F.col("gateway").isNotNull(), 4).otherwise(5)

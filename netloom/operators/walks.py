@@ -76,14 +76,16 @@ def build_fdb(walks: DataFrame, most: int = MAX_VLANS) -> DataFrame:
 
     First the flat tables in the contexts of its readable VLANs, with each context's own port
     numbers; then 802.1Q rows, whose context's VLAN goes before the one in the index; then the
-    flat table of no context. VLAN 0 is none.
+    flat table of no context. VLAN 0 is none. Where walks are stored by context, the partitions of contexts
+    that no device reads are left out when the query runs.
     """
     names = interface_names(walks)
     base_ports = indexed(walks, O.BASEPORT_IFINDEX)
     default_ports = base_ports.filter("context = ''").drop("context")
     context = F.col("context").try_cast("int")
     vlans = readable_vlans(walks, most).select("device_ip", F.col("vlan").alias("of"))
-    in_context = walk_range(walks, O.DOT1D_FDB_PORT).filter("context <> ''").withColumn("of", context).join(vlans, ["device_ip", "of"], "left_semi").drop("of")
+    read = F.broadcast(vlans.filter("of BETWEEN 1 AND 4094").select("of").distinct())  # a VLAN's number has 12 bits
+    in_context = walk_range(walks, O.DOT1D_FDB_PORT).filter("context <> ''").withColumn("of", context).join(read, "of", "left_semi").join(vlans, ["device_ip", "of"], "left_semi").drop("of")
     by_vlan = in_context.select("device_ip").distinct()
     tagged = walk_range(walks, O.DOT1Q_FDB_PORT).select("device_ip").distinct()
     v = resolve_ports(dot1d_rows(in_context), base_ports, names, ["device_ip", "context"]).withColumn("vlan", F.nullif(context, F.lit(0)))

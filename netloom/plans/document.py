@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netloom.functions.mac import canonical_mac
@@ -13,6 +14,7 @@ from netloom.functions.roles import derive_role
 from netloom.operators.graph import bfs_order, discovery_order, numbered
 from netloom.operators.ladder import Placement, place
 from netloom.sources import schema as S
+from netloom.sources.landing import document_lines, in_order, join_texts, metadata_lines, publish_tables, remove_folder
 
 
 @dataclass
@@ -115,13 +117,59 @@ def toolbar_counts(graph: Graph) -> DataFrame:
     return polled.join(shown, "k").drop("k")
 
 
+def node_counts(kind: Column, method: Column, loose: Column) -> list[Column]:
+    """What a document counts of its nodes, as aggregates: for a job of its own or for one that writes them."""
+    endpoint = kind == S.ENDPOINT
+    return [F.count(kind).alias("nodes"), F.count_if(endpoint & (method != S.BY_FDB)).alias("endpoints"), F.count_if(kind == S.DEVICE).alias("devices"), F.count_if(method == S.BY_FDB).alias("fdb_discovered_hosts"), F.count_if(endpoint & loose).alias("unparented_endpoints")]
+
+
+def edge_counts(kind: Column) -> list[Column]:
+    return [F.count_if(kind == S.LLDP_EDGE).alias("lldp_edges"), F.count_if(kind == S.ENDPOINT_EDGE).alias("endpoint_edges")]
+
+
+def evidence_counts(kind: Column, confidence: Column) -> list[Column]:
+    """Attachments by their confidence."""
+    return [F.count_if((kind == S.ENDPOINT_EDGE) & (confidence == c)).alias(f"by_{c}") for c in (S.LLDP, S.RESOLVED, S.TIEBREAK, S.SUBNET, S.FDB)]
+
+
 def counts(graph: Graph) -> DataFrame:
     """One row of counts."""
-    nodes = graph.nodes.agg(F.count("*").alias("nodes"), F.count_if((F.col("kind") == S.ENDPOINT) & (F.col("discovery_method") != S.BY_FDB)).alias("endpoints"), F.count_if(F.col("kind") == S.DEVICE).alias("devices"), F.count_if(F.col("discovery_method") == S.BY_FDB).alias("fdb_discovered_hosts"), F.count_if((F.col("kind") == S.ENDPOINT) & F.col("parent_id").isNull()).alias("unparented_endpoints"))
-    edges = graph.edges.agg(F.count_if(F.col("type") == S.LLDP_EDGE).alias("lldp_edges"), F.count_if(F.col("type") == S.ENDPOINT_EDGE).alias("endpoint_edges"))
+    nodes = graph.nodes.agg(*node_counts(F.col("kind"), F.col("discovery_method"), F.col("parent_id").isNull()))
+    edges = graph.edges.agg(*edge_counts(F.col("type")))
     return nodes.withColumn("k", F.lit(1)).join(edges.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def publish_graph(graph: Graph, folder: str) -> dict:
+    """Publishes nodes and edges as one version of tables; what is counted of them is counted while they are written."""
+    of_nodes, of_edges = Observation(), Observation()
+    nodes = graph.nodes.observe(of_nodes, *node_counts(F.col("kind"), F.col("discovery_method"), F.col("parent_id").isNull()))
+    edges = graph.edges.observe(of_edges, *edge_counts(F.col("type")), *evidence_counts(F.col("type"), F.col("confidence")))
+    publish_tables({"nodes": nodes, "edges": edges}, folder)
+    return {**of_nodes.get, **of_edges.get}
+
+
+def write_document(graph: Graph, path: str, **about) -> dict:
+    """Writes the document in parts, in ranges of its order, and joins these into one file that takes the place of
+    ``path`` when it is whole; no row passes the driver. Counts are those of the job that writes the rows. Returns them."""
+    spark, scratch, seen = graph.nodes.sparkSession, f"{path}.{uuid4().hex}", Observation()
+    # counted behind the exchange: what lies before it is also read for its ranges
+    node, edge = F.col("node"), F.col("edge")
+    of_both = [*node_counts(node["kind"], node["discovery_method"], node["loose"]), *edge_counts(edge["type"]), *evidence_counts(edge["type"], edge["confidence"])]
+    in_order(document_lines(graph.nodes, graph.edges)).observe(seen, *of_both).select("value").write.text(f"{scratch}/1")
+    shown = seen.get
+    known, lists = described(graph, shown, **about)
+
+    def items(rows: DataFrame, order: Column, *names: str) -> DataFrame:
+        whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+        return numbered(rows.select(order.alias("order"), whole.alias("value"), "node_id"), "at", F.col("order"), F.col("node_id")).select("at", "value")
+
+    made = {name: items(*rows) for name, rows in lists.items()}
+    in_order(metadata_lines(spark, known, made)).select("value").write.text(f"{scratch}/2")
+    join_texts(spark, [f"{scratch}/1", f"{scratch}/2"], path)
+    remove_folder(spark, scratch)
+    return shown
+
+
 def confidence_histogram(placed: DataFrame) -> DataFrame:
     return attachments(placed).filter("confidence IS NOT NULL").groupBy("confidence").count()
 
@@ -142,22 +190,33 @@ def shared_addresses(nodes: DataFrame) -> DataFrame:
     return nodes.filter("ip <> ''").groupBy("ip").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def metadata(graph: Graph, *, scan_time: str | None = None, network_scan_time: str | None = None, seed: str | None = None, timing: dict | None = None) -> dict:
-    """What the document says about itself. The lists hold what needs attention: places not found, ends of the scan."""
-    shown = counts(graph).first().asDict()
-    lost = unparented(graph).orderBy("order").select("node_id", "hostname", "reason").toLocalIterator()
-    status = F.col("status") if "status" in graph.placement.devices.columns else F.lit(None).cast("string")
-    ends = unreachable(graph.placement.devices.withColumn("status", status)).orderBy("pos").select(S.device_id(F.col("chassis_id")).alias("node_id"), "chassis_id", "ip", "status").toLocalIterator()
-    return {
+def described(graph: Graph, shown: dict, *, scan_time: str | None = None, network_scan_time: str | None = None, seed: str | None = None, timing: dict | None = None) -> tuple[dict, dict]:
+    """What the document says about itself, from the counts of its rows, and its lists of what needs attention (places
+    not found, ends of the scan): rows with node_id, their order, and the names of their columns."""
+    confidence = {k.removeprefix("by_"): n for k, n in shown.items() if k.startswith("by_") and n}
+    known = {
         "scan_time": scan_time,
         "network_scan_time": network_scan_time,
         "seed": seed,
-        "counts": shown,
-        "confidence": {r[0]: r[1] for r in confidence_histogram(graph.placement.placed).collect()},
+        "counts": {k: n for k, n in shown.items() if not k.startswith("by_")},
+        "confidence": confidence,
         "merged_lldp_endpoints": graph.placement.phantoms.count(),
         "fdb_discovered_hosts": shown["fdb_discovered_hosts"],
         "fdb_enriched_nodes": graph.placement.placed.filter("enriched").count(),
-        "unparented_endpoints": [r.asDict() for r in lost],
-        "unreachable_boundaries": [r.asDict() for r in ends],
         "timing": timing,
     }
+    status = F.col("status") if "status" in graph.placement.devices.columns else F.lit(None).cast("string")
+    ends = unreachable(graph.placement.devices.withColumn("status", status)).withColumn("node_id", S.device_id(F.col("chassis_id")))
+    lists = {
+        "unparented_endpoints": (unparented(graph), F.col("order"), "node_id", "hostname", "reason"),
+        "unreachable_boundaries": (ends, F.col("pos"), "node_id", "chassis_id", "ip", "status"),
+    }
+    return known, lists
+
+
+def metadata(graph: Graph, **about) -> dict:
+    """The same for small graphs, with the lists' rows."""
+    seen = graph.edges.agg(*evidence_counts(F.col("type"), F.col("confidence"))).first().asDict()
+    known, lists = described(graph, counts(graph).first().asDict() | seen, **about)
+    rows = {name: [r.asDict() for r in df.orderBy(order, "node_id").select(*names).toLocalIterator()] for name, (df, order, *names) in lists.items()}
+    return known | rows

@@ -118,6 +118,11 @@ _CRAWLED = {
 _CRAWL_NEEDS = {"sc_link": ["all_link", "reached"], "sc_dev": ["all_dev", "reached", "sc_link"], "all_dev": ["sc_ep"], "all_link": ["sc_ep"], "all_fdb": ["sc_ep"], "bridge": ["all_fdb"], "said": ["all_link"], "nb": ["said", "all_dev"], "fdbk": ["switched", "sc_dev"]}
 
 
+_SIX = "CASE WHEN pos%20=1 THEN '::' WHEN pos%20=2 THEN '::1' WHEN pos%20=4 THEN printf('ff02::%x',pos) WHEN pos%20=5 THEN '2001:db8::1::2' WHEN pos%3=1 THEN printf('2001:DB8:%X::%x',nk,pos) ELSE printf('fd00:0:0:%x:0:0:0:%x',nk,pos) END"
+#: Endpoints with an address of one of both families, and its digits after those of the groups around a gap are spread.
+_KEYED = f"""SELECT pos, agent_id, ip, CASE WHEN len(h)>2 THEN NULL WHEN ip LIKE '%:%' THEN concat('6', array_to_string(list_transform(list_concat(l, list_transform(range(8-len(l)-len(r)), lambda i: '0'), r), lambda x: lpad(x,4,'0')), ''))
+ ELSE concat('4', array_to_string(list_transform(string_split(ip,'.'), lambda x: printf('%02x', CAST(x AS INT))), '')) END AS key FROM (SELECT *, list_filter(string_split(h[1],':'), lambda x: x<>'') l, CASE WHEN len(h)=2 THEN list_filter(string_split(h[2],':'), lambda x: x<>'') ELSE [] END r FROM
+ (SELECT pos, agent_id, ip, string_split(lower(ip),'::') h FROM (SELECT pos, agent_id, CASE WHEN pos%3=0 THEN concat('10.0.',nk,'.',pos%250+1) ELSE {_SIX} END ip FROM sc_ep)))"""
 _IP = "concat('10.0.',nk,'.254')"
 _BARE = "replace(true_mac,':','')"
 
@@ -158,6 +163,14 @@ ORACLES: dict[str, str] = {
     "vlan_names": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, CAST(n*10 AS INT) vlan, CASE WHEN n<>4 THEN concat('vlan',n) ELSE '' END AS name FROM nation, range(1,11) t(n)",
     "own_macs": "SELECT concat('10.0.',n_nationkey,'.254') device_ip, printf('0023ace501%02x', n_nationkey) own_macs FROM nation",
     "build_fdb": _with("switched", body=f"SELECT {_IP} device_ip, seq, mac, port, vlan FROM switched"),
+    "build_fdb_stored": _with("switched", body=f"SELECT {_IP} device_ip, seq, mac, port, vlan FROM switched"),
+    # an arc of up to 8 bits has two hex digits, one of up to 16 bits four
+    "walk_key_range": _with("sc_fdb", body=f"""SELECT *, array_to_string(list_transform(string_split(oid,'.'), lambda a: CASE WHEN a='0' THEN '00' WHEN CAST(a AS INT)<256 THEN printf('01%02x', CAST(a AS INT)) ELSE printf('02%04x', CAST(a AS INT)) END), '') AS key FROM
+ (SELECT {_IP} device_ip, concat('1.3.6.1.2.1.17.7.1.2.2.1.2.', vlan, '.', array_to_string(list_transform(string_split(mac,':'), lambda x: CAST(CAST(concat('0x',x) AS INT) AS VARCHAR)), '.')) oid, seq FROM sc_fdb WHERE nk%2=0)"""),
+    "mixed_addresses": _with("sc_ep", body=f"""SELECT pos, ip, key, key[1:7] net24, CASE WHEN key[1]='6' THEN concat(key[1:12], printf('%x', CAST(concat('0x',key[13]) AS INT) & 12)) END net46, coalesce(key[1:13]='620010db80003', false) near,
+ key IS NOT NULL AND key NOT IN (concat('6',repeat('0',32)), concat('6',repeat('0',31),'1')) AND key NOT LIKE '6ff%' routable FROM ({_KEYED}) k"""),
+    "subnet_parent_mixed": _with("sc_ep", "sc_dev", body=f"""SELECT agent_id, d.chassis_id gateway FROM ({_KEYED}) k LEFT JOIN (SELECT chassis_id, CASE WHEN pos%2=0 THEN printf('6fd0000000000%04x', pos) ELSE printf('40a00%02x', pos) END net FROM sc_dev WHERE pos<1000) d ON net=CASE key[1] WHEN '6' THEN key[1:17] ELSE key[1:7] END"""),
+    "listed_items": """SELECT row_number() OVER (ORDER BY c_custkey)-1 "at", CAST(c_custkey AS BIGINT) id, concat(c_name, ' "}],[{\\') name, CAST(c_nationkey AS BIGINT) nation FROM customer""",
     "lldp_rem_pivot": _with("nb", body="SELECT device_ip, num local_num, CASE WHEN seq%3=0 THEN '' ELSE remote_port END port_id, concat('port ',remote_port) port_descr, coalesce(hostname,'') sys_name, cap cap_enabled FROM nb"),
     "build_neighbors": _with("nb", body="SELECT device_ip, local_port, target chassis_id, target chassis_mac, CASE WHEN seq%3=0 THEN concat('port ',remote_port) ELSE remote_port END remote_port, hostname sys_name, 'Cisco IOS Software, C2960S Software' sys_descr, target_ip mgmt_ip, cap cap_enabled FROM nb"),
     "uplink_split": _with("nb", body="SELECT device_ip, array_to_string(list_sort(list(DISTINCT local_port)), ',') neighbor_ports, coalesce(array_to_string(list_sort(list(DISTINCT local_port) FILTER (target_ip IS NOT NULL)), ','), '') uplink_ports FROM nb GROUP BY device_ip"),

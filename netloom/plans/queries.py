@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import mac as M
@@ -25,7 +26,7 @@ from netloom.plans import landed as A
 from netloom.sources import landing as IO
 from netloom.sources import seeds as Z
 from netloom.sources.scenario import Scenario, build_scenario
-from netloom.sources.session import checkpoint
+from netloom.sources.session import checkpoint, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,6 +259,26 @@ def build_fdb(s):
     return P.build_fdb(_walks(s, A.forwarding_walks))
 
 
+def _stored(spark: SparkSession, walks: DataFrame) -> DataFrame:
+    """The walks as a crawl lands them for many readers."""
+    folder = f"{shared_folder(spark)}/walks-{uuid4().hex}"
+    IO.store_walks(walks, folder)
+    return IO.read_stored_walks(spark, folder)
+
+
+@query
+def build_fdb_stored(spark, sf_dir):
+    """The same from stored walks: ranges of the identifier's key, partitions of the contexts that are read."""
+    return P.build_fdb(_stored(spark, A.forwarding_walks(build_scenario(spark, sf_dir))))
+
+
+@query
+def walk_key_range(spark, sf_dir):
+    """The rows of a table of stored walks, found by a range of the key, which orders them as the tree does."""
+    rows = IO.walk_range(_stored(spark, A.forwarding_walks(build_scenario(spark, sf_dir))), O.DOT1Q_FDB_PORT)
+    return rows.select("device_ip", "oid", "seq", F.lower(F.hex("oid_key")).alias("key"))
+
+
 @on_scenario
 def lldp_rem_pivot(s):
     return P.remote_cells(A.neighbor_walks(s)).select("device_ip", "local_num", "port_id", "port_descr", "sys_name", "cap_enabled")
@@ -314,6 +335,32 @@ def subnet_parent(s):
     return s.endpoints.withColumn("net", N.subnet_key(F.col("ip"))).join(nets, "net", "left").select("agent_id", "gateway")
 
 
+def _mixed(pos, nk) -> Column:
+    """An address of one of the two families, or something that is none."""
+    low = F.lower(F.hex(pos))
+    six = F.when(pos % 20 == 1, F.lit("::")).when(pos % 20 == 2, F.lit("::1")).when(pos % 20 == 4, F.concat(F.lit("ff02::"), low)).when(pos % 20 == 5, F.lit("2001:db8::1::2"))
+    return F.coalesce(F.when(pos % 3 == 0, F.concat_ws(".", F.lit("10.0"), nk, pos % 250 + 1)), six, F.when(pos % 3 == 1, F.concat(F.lit("2001:DB8:"), F.hex(nk), F.lit("::"), low)), F.concat(F.lit("fd00:0:0:"), F.lower(F.hex(nk)), F.lit(":0:0:0:"), low))
+
+
+@on_scenario
+def mixed_addresses(s):
+    """Addresses of both families: key, networks, and whether they may be gateways."""
+    ip = _mixed(F.col("pos"), F.col("nk").cast("long"))
+    shown = s.endpoints.select("pos", ip.alias("ip"))
+    return shown.select("pos", "ip", N.address_key(F.col("ip")).alias("key"), N.subnet_key(F.col("ip")).alias("net24"), N.subnet_key(F.col("ip"), 46).alias("net46"), N.same_subnet(F.col("ip"), F.lit("2001:db8:3:0:1::"), 48).alias("near"), N.is_routable_gateway(F.col("ip")).alias("routable"))
+
+
+@on_scenario
+def subnet_parent_mixed(s):
+    """Endpoints of both families under the device that stands for their network of 64 bits, or 24."""
+    n = F.col("pos").cast("long")
+    devices = s.devices.filter("pos < 1000").select("pos", "chassis_id", "pollable", F.when(n % 2 == 0, F.concat(F.lit("FD00:0:0:"), F.hex(n), F.lit("::FE"))).otherwise(F.col("ip")).alias("ip"))
+    hosts = s.endpoints.select("agent_id", _mixed(F.col("pos"), F.col("nk").cast("long")).alias("ip"))
+    parents = L.subnet_parents(devices.filter(F.contains("ip", F.lit(":"))), 64).unionByName(L.subnet_parents(devices.filter(~F.contains("ip", F.lit(":")))))
+    net = F.when(F.contains("ip", F.lit(":")), N.subnet_key(F.col("ip"), 64)).otherwise(N.subnet_key(F.col("ip")))
+    return hosts.withColumn("net", net).join(parents, "net", "left").select("agent_id", "gateway")
+
+
 @on_scenario
 def ip_enrichment(s):
     return _placed(s).placed.filter("enriched").select("agent_id", "mac")
@@ -535,6 +582,20 @@ def payload_items(spark, sf_dir):
     return IO.unwrap_items(parsed).select(F.col("pos").cast("long").alias("pos"), "id", "name")
 
 
+@query
+def listed_items(spark, sf_dir):
+    """The objects of one JSON list, read in ranges of its file."""
+    folder = f"{shared_folder(spark)}/list-{uuid4().hex}"
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.concat_ws("", F.col("c_name"), F.lit(' "}],[{\\')).alias("name"), F.struct(F.array(F.struct("c_nationkey")).alias("in")).alias("deep")))
+    rows = G.numbered(customer.select("c_custkey", text.alias("value")), "at", F.col("c_custkey"))
+    lines = rows.select("at", F.concat(F.when(F.col("at") > 0, ",").otherwise("["), "value").alias("value")).unionByName(spark.sql("SELECT bigint(1e18) AS at, ']' AS value"))
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(f"{folder}/parts")
+    IO.join_texts(spark, [f"{folder}/parts"], f"{folder}/list.json")
+    item = F.from_json("value", "id long, name string, deep struct<in: array<struct<c_nationkey: long>>>")
+    return IO.list_items(spark, f"{folder}/list.json").select("at", item.alias("x")).select("at", "x.id", "x.name", F.get("x.deep.in", F.lit(0))["c_nationkey"].alias("nation"))
+
+
 @query
 def collected_endpoints(spark, sf_dir):
     rows = A.inventory(spark, sf_dir)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 
 from netloom.__main__ import main
 from netloom.plans import landed
+from netloom.sources import landing
 from netloom.sources.scenario import build_scenario
 
 
@@ -34,7 +35,7 @@ def test_graph_tables_of_landed_inventory_and_walks(spark, tiny, tmp_path):
     (tmp_path / "routes.txt").write_text("default via 10.0.1.254 dev eth0\n")
     asked = ["--inventory", f"{tmp_path}/inventory", "--findings", f"{tmp_path}/hits", "--walks", f"{tmp_path}/walks", "--seed", "10.0.0.254", "--routes", f"{tmp_path}/routes.txt", "--pollable-only", "--tables", f"{tmp_path}/graph", "--scored-out", f"{tmp_path}/scored"]
     assert main(asked) == 0
-    nodes = spark.read.parquet(f"{tmp_path}/graph/nodes").collect()
+    nodes = landing.read_published(spark, f"{tmp_path}/graph", "nodes").collect()
     devices = [n for n in nodes if n.kind == "device"]
     assert {n.ip for n in devices} >= {"10.0.0.254", "10.0.1.254"} and all(n.pollable for n in devices) and all(n.port_status for n in devices)
     scored = spark.read.json(f"{tmp_path}/scored").collect()

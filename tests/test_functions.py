@@ -1,3 +1,5 @@
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,46 @@ def test_vendors(spark):
 @pytest.mark.parametrize(("score", "name"), [(None, "unknown"), (0.0, "clean"), (3.0, "low"), (7.0, "high"), (9.0, "critical")])
 def test_risk(spark, score, name):
     assert column(spark, [score], risk.risk_bucket, "double") == [name]
+
+
+ADDRESSES = ["10.0.3.7", "10.0.3.250", "10.0.4.7", "0.0.0.0", "127.0.0.1", "224.0.0.5", "239.1.1.1", "240.0.0.1", "223.255.255.255", "300.1.1.1", "1.2.3", "::", "::1", "1::", "fe80::1", "fe80::1%eth0", "FE80:0:0:0:0:0:0:1", "ff02::5", "2001:db8:3::1", "2001:DB8:3:0:1::", "2001:db8:3:ffff::9", "::ffff:10.0.3.7", "::ffff:127.0.0.1", "::ffff:300.1.1.1", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", "1::2::3", ":1::2", "1:2", "12345::", "g::1", "", None, ":", ":::", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.4.5"]
+
+
+def _parsed(text):
+    try:
+        return ipaddress.ip_address(text)
+    except ValueError:
+        return None
+
+
+def test_addresses_of_both_families(spark):
+    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string").select("ip", net.address_key(F.col("ip")).alias("key"), net.is_routable_gateway(F.col("ip")).alias("routable")).collect()
+    for r in rows:
+        address = _parsed(r.ip) if r.ip is not None else None
+        assert r.key == (f"{address.version}{int(address):0{address.max_prefixlen // 4}x}" if address else None), r
+        judged = getattr(address, "ipv4_mapped", None) or address
+        assert r.routable == bool(address and not (judged.is_unspecified or judged.is_loopback or judged.is_multicast)), r
+
+
+def test_subnets_of_both_families(spark):
+    known = [a for a in ADDRESSES if a and _parsed(a) and "%" not in a]
+    pairs = [(a, b) for a in known for b in known] + [("10.0.3.7", None), (None, "::1"), ("x", "::1")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    for prefix in (0, 3, 24, 46, 64, 128):
+        for a, b, same in frame.select("a", "b", net.same_subnet(F.col("a"), F.col("b"), prefix).alias("same")).collect():
+            try:
+                want = ipaddress.ip_address(b) in ipaddress.ip_network(f"{a}/{prefix}", strict=False)
+            except ValueError:
+                want = False
+            assert same == want, (a, b, prefix)
+
+
+def test_identifier_keys_sort_like_the_tree(spark):
+    oids = ["1.3.6.1", "1.3.6.1.0", "1.3.6.1.2", "1.3.6.1.2.255", "1.3.6.1.2.256", "1.3.6.1.2.256.1", "1.3.6.1.2.65535", "1.3.6.1.2.65536", "1.3.6.1.2.4294967295", "1.3.6.1.10", "1.3.6.2", "1.3.60", "1.30"]
+    bad = ["", ".1.3", "1.3.", "1.a", "1.4294967296", "1..3", None]
+    rows = spark.createDataFrame([(o,) for o in oids + bad], "oid string").select("oid", oid.oid_key(F.col("oid")).alias("key")).collect()
+    key = {r.oid: bytes(r.key) if r.key is not None else None for r in rows}
+    assert all(key[b] is None for b in bad) and all(key[o] == oid.key_of(o) for o in oids)
+    assert sorted(oids, key=key.get) == sorted(oids, key=lambda o: [int(x) for x in o.split(".")])
+    for base in oids:
+        assert {o for o in oids if key[base] < key[o] < key[base] + b"\xff"} == {o for o in oids if o.startswith(base + ".")}
