@@ -39,7 +39,7 @@ TERMS, CHANCE = 1024, 0.05
 #: Examples with a toxic label that a term must occur in.
 AT_LEAST = 3
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 THRESHOLD = 0.3
 _BEGINNINGS = range(4, 8)
 _KEPT_WORDS, _LONG_WORD = 200_000, 64
@@ -232,8 +232,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, most: int = EXAMPLES,
     rows = term_vectors(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").toArrow().to_pylist()  # at most ``most`` rows of TERMS numbers
     index = Examples([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [(r["terms"], r["counts"]) for r in rows], idf, block)
     held = spark.sparkContext.broadcast(index)
-    # each example's votes of the others, made where its vector lies
-    tried = term_vectors(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").mapInArrow(_votes(held, k), "toxic int, vote double").toArrow().to_pylist()
+    # each example's votes of the others; a small table, but much work for each row, so it is dealt out
+    tried = term_vectors(examples, terms).join(examples.select("doc_id", "toxic"), "doc_id").repartition(1 + len(rows) // 256).mapInArrow(_votes(held, k), "toxic int, vote double").toArrow().to_pylist()
     voted = [r for r in tried if r["vote"] is not None]
     fit = calibrated([r["vote"] for r in voted], [r["toxic"] for r in voted])
     silent = [r["toxic"] for r in tried if r["vote"] is None]
