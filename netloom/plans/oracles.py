@@ -118,6 +118,12 @@ _CRAWLED = {
 _CRAWL_NEEDS = {"sc_link": ["all_link", "reached"], "sc_dev": ["all_dev", "reached", "sc_link"], "all_dev": ["sc_ep"], "all_link": ["sc_ep"], "all_fdb": ["sc_ep"], "bridge": ["all_fdb"], "said": ["all_link"], "nb": ["said", "all_dev"], "fdbk": ["switched", "sc_dev"]}
 
 
+#: Links lead from the smaller place to the larger, each device has one that leads to it at most: a walk down from the others.
+_FOREST = """SELECT chassis_id, root FROM (WITH RECURSIVE dev AS (SELECT * FROM sc_dev WHERE {}), lnk AS (SELECT src, dst FROM sc_link WHERE src IN (SELECT chassis_id FROM dev) AND dst IN (SELECT chassis_id FROM dev)),
+ walk AS (SELECT pos root, chassis_id FROM dev WHERE chassis_id NOT IN (SELECT dst FROM lnk) UNION ALL SELECT root, dst FROM walk JOIN lnk ON src=chassis_id) SELECT chassis_id, root FROM walk)"""
+#: Depth by depth, in each the devices by the one they are reached from, then by the link.
+_QUEUE = """SELECT chassis_id, depth, parent, row_number() OVER (ORDER BY depth, above, seq)-1 rank FROM (SELECT chassis_id, parent, depth, CASE WHEN pos=0 THEN -1 ELSE floor((pos-1)/2.0) END above, pos seq FROM tree
+ UNION ALL SELECT d.chassis_id, l.src, t.depth+1, t.pos, l.seq FROM sc_dev d JOIN sc_link l ON l.dst=d.chassis_id JOIN tree t ON t.chassis_id=l.src WHERE d.pos>=1000)"""
 _SIX = "CASE WHEN pos%20=1 THEN '::' WHEN pos%20=2 THEN '::1' WHEN pos%20=4 THEN printf('ff02::%x',pos) WHEN pos%20=5 THEN '2001:db8::1::2' WHEN pos%3=1 THEN printf('2001:DB8:%X::%x',nk,pos) ELSE printf('fd00:0:0:%x:0:0:0:%x',nk,pos) END"
 #: Endpoints with an address of one of both families, and its digits after those of the groups around a gap are spread.
 _KEYED = f"""SELECT pos, agent_id, ip, CASE WHEN len(h)>2 THEN NULL WHEN ip LIKE '%:%' THEN concat('6', array_to_string(list_transform(list_concat(l, list_transform(range(8-len(l)-len(r)), lambda i: '0'), r), lambda x: lpad(x,4,'0')), ''))
@@ -191,8 +197,10 @@ ORACLES: dict[str, str] = {
     "unreachable": _with("sc_dev", body="SELECT chassis_id, ip FROM sc_dev WHERE NOT pollable"),
     "dedupe_links": _with("sc_link", body="""SELECT min(seq) seq, least(src,dst) source_chassis_id, greatest(src,dst) target_chassis_id, CASE WHEN src<=dst THEN a ELSE b END local_port, CASE WHEN src<=dst THEN b ELSE a END remote_port
  FROM (SELECT seq, src, dst, CASE WHEN seq%3=0 THEN 'late' ELSE local_port END a, remote_port b FROM sc_link) GROUP BY ALL"""),
-    "components": "SELECT chassis_id, CASE WHEN n=1 THEN NULL WHEN under THEN CAST(first AS BIGINT) ELSE CAST(0 AS BIGINT) END root FROM (WITH RECURSIVE up AS (SELECT CAST(n_nationkey AS INT) n, CAST(n_nationkey AS INT) a FROM nation WHERE n_nationkey<>1 UNION ALL SELECT n, CAST(floor((a-1)/2.0) AS INT) FROM up WHERE a>0 AND floor((a-1)/2.0)<>1) SELECT n, printf('00:23:ac:e5:00:%02x', n) chassis_id, min(a)<>0 under, min(a) first FROM up GROUP BY n)",
-    "bfs_order": _with("tree", body="SELECT chassis_id, depth, parent, pos rank FROM tree"),
+    "components": _with("sc_dev", "sc_link", body=_FOREST.format("pos<>1")),
+    "components_all": _with("sc_dev", "sc_link", body=_FOREST.format("true")),
+    "bfs_order": _with("tree", "sc_dev", "sc_link", body=_QUEUE),
+    "bfs_order_all": _with("tree", "sc_dev", "sc_link", body=_QUEUE),
     "discovery_order": _with("discovered", body="SELECT node_id, parent_id, discovery_order FROM discovered"),
     "node_document": _with("node", "discovered", body="SELECT n.*, d.parent_id FROM node n JOIN discovered d USING (node_id)"),
     "node_json": _with("node", "discovered", body="SELECT node_id, parent_id, true nulls_written, kind='device' is_device_form FROM node JOIN discovered USING (node_id)"),

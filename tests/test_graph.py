@@ -70,7 +70,6 @@ def test_queries_order_every_device_of_the_scenario(spark, tiny):
     for at in order:
         root[at] = devices[at] if parent[at] is None else root[parent[at]]
     assert {r.chassis_id: r.root for r in QUERIES["components_all"](spark, tiny).collect()} == root
-    print(len(rows), "devices;", QUERIES["bfs_order"](spark, tiny).count(), "in bfs_order")
 
 
 def test_undirected_links_keep_the_first_label_of_each_side(spark):
