@@ -21,8 +21,9 @@ def compare_blocks(rows: DataFrame, key: str, spread: str, limit: int) -> DataFr
 
     ``spread`` is the column whose hash picks the block; it should differ between rows.
     """
-    sizes = rows.groupBy(key).count().filter("count > 1").select(key, F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
-    cut = rows.join(sizes, key).withColumn("block", F.pmod(F.hash(spread, F.lit(17)), F.col("blocks")))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("rows_")).filter("rows_ > 1").withColumn("blocks", F.ceil(F.col("rows_") / limit).cast("int"))
+    # rows of a hot bucket stay in the tasks they are in: the number of its blocks goes to them
+    cut = join_unevenly(rows, sizes, [key], "rows_", least_hot(rows.count())).drop("rows_").withColumn("block", F.pmod(F.hash(spread, F.lit(17)), F.col("blocks")))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
 
