@@ -23,7 +23,11 @@ them, a telling 2-gram of the family among these, and no other family has more.
 window that suits two versions of a licence alike divides its probability and does
 not pass; one that shows the version does. Of the windows around one place the
 longest that is confirmed counts, so a licence whose name is part of another's is not
-taken for it. A paragraph lists every family
+taken for it. Two things that n-grams do not say are read from the words around: a window
+that states versions (in it or shortly after it), none of them one that its family's
+templates have, is not confirmed ("Apache License, Version 1.1"); nor is one whose every telling
+2-gram stands in a denial of the same sentence ("we do not use the MIT License").
+A paragraph lists every family
 with at least half the evidence (summed probabilities of confirmed places) of its
 first family.
 
@@ -48,6 +52,8 @@ MIN_SIMILARITY = 0.5
 #: Words of the windows, and how many of them lie before the place they are laid around.
 WINDOWS = ((5, 2), (24, 14))
 TELLING = 3
+#: A denial is sought this many words before and after a telling 2-gram, a version after a window.
+DENIED_BEFORE, DENIED_AFTER, VERSION_AFTER = 12, 4, 5
 
 # Public licence notices, by family.
 _GPL_REST = (
@@ -84,6 +90,18 @@ NOTICES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
+    "bsl-1.0": [
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    ],
+    "epl-2.0": [
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "eupl-1.2": [
+        "European Union Public Licence v. 1.2",
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL",
+    ],
     "gpl-2.0": [
         "Released under GPLv2.",
         "Covered by the GNU GPL, version 2 or later.",
@@ -120,15 +138,22 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain.",
         "The author has dedicated the work to the public domain by waiving all rights under copyright law; see the CC0 1.0 Universal public domain dedication license.",
     ],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
 }
 # What licences are called in notices, and their SPDX identifiers.
 NAMES = {
     "agpl-3.0": ("AGPLv3", "AGPL 3", "GNU Affero General Public License, version 3"),
-    "apache-2.0": ("Apache License 2.0", "Apache 2.0 license", "Apache-2.0"),
+    "apache-2.0": ("Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache-Lizenz 2.0", "licence Apache 2.0", "licencia Apache 2.0"),
     "bsd": ("BSD license", "BSD 3-Clause License", "BSD 2-Clause License"),
     "cc-by": ("CC BY 4.0", "CC-BY 4.0", "Creative Commons Attribution 4.0 International License"),
     "cc-by-nc": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "bsl-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"),
+    "epl-2.0": ("EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "eupl-1.2": ("EUPL 1.2", "EUPL v1.2", "European Union Public Licence 1.2"),
     "gpl-2.0": ("GPLv2", "GPL 2", "GPL version 2", "GNU GPL v2", "GNU General Public License, version 2"),
     "gpl-3.0": ("GPLv3", "GPL 3", "GPL version 3", "GNU GPL v3", "GNU General Public License, version 3"),
     "isc": ("ISC license",),
@@ -137,6 +162,7 @@ NAMES = {
     "mit-or-apache-2.0": ("MIT/Apache-2.0", "MIT or Apache-2.0"),
     "mpl-2.0": ("MPL 2.0", "Mozilla Public License 2.0"),
     "public-domain": ("CC0 1.0", "Unlicense"),
+    "zlib": ("zlib license", "zlib/libpng license"),
 }
 SPDX = {
     "agpl-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
@@ -145,6 +171,9 @@ SPDX = {
     "cc-by": ("CC-BY-4.0",),
     "cc-by-nc": ("CC-BY-NC-4.0",),
     "cc-by-sa": ("CC-BY-SA-4.0",),
+    "bsl-1.0": ("BSL-1.0",),
+    "epl-2.0": ("EPL-2.0",),
+    "eupl-1.2": ("EUPL-1.2",),
     "gpl-2.0": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"),
     "gpl-3.0": ("GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"),
     "isc": ("ISC",),
@@ -153,6 +182,7 @@ SPDX = {
     "mit-or-apache-2.0": ("MIT OR Apache-2.0", "Apache-2.0 OR MIT"),
     "mpl-2.0": ("MPL-2.0",),
     "public-domain": ("CC0-1.0", "Unlicense"),
+    "zlib": ("Zlib",),
 }
 # What stands before a licence's name. The second half is held out.
 LEADS = (
@@ -193,10 +223,21 @@ COUNTER_EXAMPLES = [
     "The public library asks for the permission of a parent.",
 ]
 #: A word that makes a row even where no family is met.
-CUE = r"^(?:licen[sc]|lizen|copyright|permission|warrant|redistribut|l?a?gplv?[0-9]?$|gnu$|apache|bsd$|cc0|mpl$|mozilla$|spdx)"
+CUE = r"^(?:licen[sc]|lizen|copyright|permission|warrant|redistribut|l?a?gplv?[0-9]?$|gnu$|apache|bsd$|cc0|mpl$|mozilla$|epl$|eupl$|zlib|spdx)"
 #: The same as a test of a whole text, and the names that are words elsewhere.
-CUES = r"(?i)licen[sc]|lizen|copyright|permission|warrant|redistribut|public\x20domain|creative\x20commons|\bl?a?gplv?[0-9]?\b|\bgnu\b|\bcc[\x20-]by\b|\bcc0\b|\bapache\b|\bbsd\b|\bmpl\b|mozilla|spdx|(?-i:\bMIT\b)"
+CUES = r"(?i)licen[sc]|lizen|copyright|permission|warrant|redistribut|public\x20domain|creative\x20commons|\bl?a?gplv?[0-9]?\b|\bgnu\b|\bcc[\x20-]by\b|\bcc0\b|\bapache\b|\bbsd\b|\bmpl\b|mozilla|\be(?:u)?pl\b|\bzlib\b|spdx|(?-i:\bMIT\b)"
 #: 2-grams with such a word tell nothing.
+# Pairs of words that deny what follows, or what stands before them.
+DENIALS_BEFORE = (
+    "do not", "does not", "did not", "is not", "are not", "was not", "were not", "will not", "can not", "cannot be", "must not", "should not", "don t", "doesn t", "didn t", "isn t", "aren t", "wasn t", "weren t", "won t",
+    "no longer", "never under", "never used", "not under", "not licensed", "not released", "not the", "not available", "not covered", "rather than", "instead of", "nicht unter", "nicht mehr", "ist nicht", "sind nicht", "n est", "ne sont", "no es",
+)
+DENIALS_AFTER = ("not apply", "no longer", "not used", "not cover", "not chosen", "not permitted", "gilt nicht")
+#: A version behind the word before it, and one inside a word.
+VERSION = r"^(?:version|versión|v|licen[sc]e|lizenz|licencia|[al]?gpl|apache|apache-lizenz|mpl|epl|eupl|bsl|by(?:-nc|-sa|-nd)*|attribution(?:-[a-z]+)*)\x20v?([0-9]+(?:\.[0-9]+)*)$"
+NAMED_VERSION = r"^(?:[al]?gpl|apache|mpl|epl|eupl|bsl|cc-by(?:-nc|-sa|-nd)*)-?v?([0-9]+(?:\.[0-9]+)*)(?:-only|-or-later)?$"
+#: Sentences end here; "v. 2" goes on.
+_SENTENCE_END = r"(?<!\b[vV])[.!?;:][\x20\t]+"
 COMMON = set("a an and at der for from in is la of on or that the this to was with".split())
 
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -242,6 +283,17 @@ def telling_pairs() -> list[str]:
     return sorted(g for g, families in families_of_grams().items() if " " in g and len(families) <= TELLING and not COMMON & set(g.split()))
 
 
+def stated_versions(words: list[str]) -> list[str]:
+    """The versions that words state, "2.0" as "2"."""
+    found = [m for a, b in zip(words, [*words[1:], ""]) if (m := re.search(VERSION, f"{a} {b}") or re.search(NAMED_VERSION, a))]
+    return [re.sub(r"(?:\.0)+$", "", m[1]) for m in found]
+
+
+def versions_of_families() -> dict[str, list[str]]:
+    """The versions in each family's templates; a family without any has every version."""
+    return {family: sorted({v for text in texts for v in stated_versions(words_of(text))}) for family, texts in templates().items()}
+
+
 def pieces(text: str) -> list[str]:
     """A notice whole, and in overlapping pieces as windows show it."""
     words, (size, _) = text.split(), WINDOWS[-1]
@@ -280,29 +332,56 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def windows(paragraph: Column) -> Column:
-    """Array of struct(place, size, line, words): the windows around telling 2-grams and cue words, each with its
-    place among the paragraph's words and that place's line."""
+    """Array of struct(place, size, line, words, versions, denied): the windows around telling 2-grams and cue words,
+    each with its place among the paragraph's words, that place's line, the versions stated in it or shortly after
+    it (joined by commas), and whether it has telling 2-grams that are all denied."""
     telling = telling_pairs()
-    lines = F.split(paragraph, "\n")
-    placed = F.flatten(F.transform(lines, lambda line, k: F.transform(tokens(line), lambda w: F.struct(w.alias("w"), k.alias("line")))))
 
-    def around(words: Column) -> Column:
-        def hit(k: Column) -> Column:
-            here, after = F.get(words, k)["w"], F.get(words, k + 1)["w"]
-            return F.coalesce(F.concat(here, F.lit(" "), after).isin(telling), F.lit(False)) | here.rlike(CUE)
+    def sentences(line: Column, k: Column) -> Column:
+        """A line's words; all but its first sentence begin anew."""
+        return F.flatten(F.transform(F.split(line, _SENTENCE_END), lambda part, j: F.transform(tokens(part), lambda w, at: F.struct(w.alias("w"), k.alias("line"), ((j > 0) & (at == 0)).alias("starts")))))
+
+    placed = F.flatten(F.transform(F.split(paragraph, "\n"), sentences))
+
+    def pair(words: Column, k: Column) -> Column:
+        return F.concat(F.get(words, k)["w"], F.lit(" "), F.get(words, k + 1)["w"])
+
+    def read(words: Column) -> Column:
+        """The words with what is known at each: whether a telling 2-gram begins, is denied, and the version stated."""
+
+        def of_word(x: Column, k: Column) -> Column:
+            here = pair(words, k)
+            name = F.coalesce(here.isin(telling), F.lit(False))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), hit)
+            def denies(d: Column, first: Column, last: Column, pairs: tuple[str, ...]) -> Column:
+                cut = F.exists(F.slice(words, first + 2, F.greatest(last - first, F.lit(0))), lambda y: y["starts"])
+                return F.coalesce(pair(words, d).isin(*pairs), F.lit(False)) & ~cut
+
+            before = F.exists(F.sequence(F.greatest(k - DENIED_BEFORE, F.lit(0)), k), lambda d: denies(d, d, k, DENIALS_BEFORE))
+            after = F.exists(F.sequence(k + 1, k + DENIED_AFTER), lambda d: denies(d, k, d, DENIALS_AFTER))
+            said = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(here, F.lit("")), VERSION, 1), F.lit("")), F.regexp_extract(x["w"], NAMED_VERSION, 1))
+            return F.struct(x["w"].alias("w"), x["line"].alias("line"), name.alias("name"), F.when(name, before | after).otherwise(False).alias("denied"), F.regexp_replace(said, r"(?:\.0)+$", "").alias("version"))
+
+        return F.transform(words, of_word)
+
+    def around(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.get(words, k)["name"] | F.get(words, k)["w"].rlike(CUE))
 
         def laid(size: int, before: int) -> Column:
             def window(k: Column) -> Column:
                 start = F.greatest(k - before, F.lit(0))
-                return F.struct(k.alias("place"), F.lit(size).alias("size"), F.get(words, k)["line"].alias("line"), F.transform(F.slice(words, start + 1, F.lit(size)), lambda x: x["w"]).alias("words"))
+                shown = F.slice(words, start + 1, F.lit(size))
+                names = F.filter(shown, lambda x: x["name"])
+                versions = F.filter(F.transform(F.slice(words, start + 1, F.lit(size + VERSION_AFTER)), lambda x: x["version"]), lambda v: v != "")
+                denied = (F.size(names) > 0) & F.forall(names, lambda x: x["denied"])
+                return F.struct(k.alias("place"), F.lit(size).alias("size"), F.get(words, k)["line"].alias("line"), F.transform(shown, lambda x: x["w"]).alias("words"), F.array_join(versions, ",").alias("versions"), denied.alias("denied"))
 
             return F.transform(places, window)
 
         return F.concat(*(laid(*shape) for shape in WINDOWS))
 
-    return let(placed, lambda words: F.when(F.size(words) > 0, around(words)).otherwise(F.array().cast("array<struct<place:int,size:int,line:int,words:array<string>>>")))
+    none = F.array().cast("array<struct<place:int,size:int,line:int,words:array<string>,versions:string,denied:boolean>>")
+    return let(placed, lambda words: F.when(F.size(words) > 0, let(read(words), around)).otherwise(none))
 
 
 class Families:
@@ -344,7 +423,8 @@ def _total(arrays: Column, n: int, kind: str) -> Column:
 
 def judged_windows(seen: DataFrame, keys: list[str], model: Families) -> DataFrame:
     """keys, family (the likeliest that is not unknown), probability, similarity (the share of the distinct
-    n-grams that the family's templates have) and confirmed, of every window (keys, words)."""
+    n-grams that the family's templates have) and confirmed, of every window (keys, words, versions, denied);
+    versions and denied are among the keys."""
     n = len(model.classes)
     grams = seen.select(*keys, F.explode(ngrams(F.col("words"))).alias("gram"))
     met = grams.join(F.broadcast(model.weights), "gram", "left")  # as many rows as the training texts have n-grams
@@ -354,7 +434,12 @@ def judged_windows(seen: DataFrame, keys: list[str], model: Families) -> DataFra
     picked = top.withColumn("best", F.array_max(F.array(*(F.struct(F.get("s", F.lit(k)).alias("s"), F.lit(name).alias("family"), F.get("shared", F.lit(k)).alias("shared"), F.get("telling", F.lit(k)).alias("telling"), (F.get("e", F.lit(k)) / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("probability")) for k, name in enumerate(model.classes) if k))))
     closest = F.array_max("shared") == F.col("best.shared")
     similarity = F.col("best.shared") / F.col("n")
-    confirmed = (F.col("best.probability") > model.cut) & (similarity >= MIN_SIMILARITY) & closest & (F.col("best.telling") > 0)
+    stated = F.split("versions", ",")
+    other = F.lit(False)
+    for family, versions in versions_of_families().items():
+        if versions:
+            other = other | ((F.col("best.family") == family) & (F.col("versions") != "") & ~F.arrays_overlap(stated, F.array(*map(F.lit, versions))))
+    confirmed = ~F.col("denied") & ~other & (F.col("best.probability") > model.cut) & (similarity >= MIN_SIMILARITY) & closest & (F.col("best.telling") > 0)
     return picked.select(*keys, "best.family", "best.probability", similarity.alias("similarity"), confirmed.alias("confirmed"))
 
 
@@ -369,7 +454,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     model = Families(docs.sparkSession)
     paragraph = ["row", "doc_id", "par", "first_line"]
-    keys = [*paragraph, "place", "size", "line"]
+    keys = [*paragraph, "place", "size", "line", "versions", "denied"]
     # outer, as Spark else computes the windows once more to leave out rows without any
     seen = paragraphs(docs).select(*paragraph, F.explode_outer(windows(F.col("paragraph"))).alias("x")).select(*paragraph, "x.*").filter("words IS NOT NULL")
     judged = judged_windows(seen, keys, model)

@@ -13,24 +13,37 @@ def test_every_counter_example_has_a_cue():
 def slow_scan(text, model, weights, known):
     """Rows of one text: (line, family, probability, similarity, confirmed), window by window."""
     rows, first_line = [], 0
-    telling = set(L.telling_pairs())
+    telling, versions = set(L.telling_pairs()), L.versions_of_families()
     for part in re.split(r"\n[ \t\x0b\f\r]*(?=\n)", text or ""):
-        placed = [(w, k) for k, line in enumerate(part.split("\n")) for w in L.words_of(line)]
-        words = [w for w, _ in placed]
+        placed = [(w, k, j > 0 and at == 0) for k, line in enumerate(part.split("\n")) for j, s in enumerate(re.split(r"(?<!\b[vV])[.!?;:][ \t]+", line)) for at, w in enumerate(L.words_of(s))]
+        words = [w for w, *_ in placed]
+        pairs = [" ".join(words[k : k + 2]) for k in range(len(words))]
+
+        def denied(k):
+            before = any(pairs[d] in L.DENIALS_BEFORE and not any(x[2] for x in placed[d + 1 : k + 1]) for d in range(max(0, k - L.DENIED_BEFORE), k + 1))
+            return before or any(pairs[d] in L.DENIALS_AFTER and not any(x[2] for x in placed[k + 1 : d + 1]) for d in range(k + 1, min(len(words), k + L.DENIED_AFTER + 1)))
+
         found = {}
         if re.search(CUES, part) or any(f"{a} {b}" in telling for a, b in zip(L.words_of(part), L.words_of(part)[1:])):
-            for place, (word, line) in enumerate(placed):
+            for place, (word, line) in enumerate((w, k) for w, k, _ in placed):
                 if " ".join(words[place : place + 2]) not in telling and not re.search(L.CUE, word):
                     continue
                 judged = []
                 for size, before in WINDOWS:
-                    grams = L.grams_of(words[max(0, place - before) :][:size])
+                    start = max(0, place - before)
+                    grams = L.grams_of(words[start:][:size])
+                    names = [k for k in range(start, min(start + size, len(words))) if pairs[k] in telling]
+                    hidden = bool(names) and all(map(denied, names))
+                    # a window's last word is read with the word behind it
+                    more = start + size + L.VERSION_AFTER
+                    stated = [v for k in range(start, min(more, len(words))) for v in L.stated_versions(words[k : k + 2])[: 1 if re.search(L.VERSION, pairs[k]) or re.search(L.NAMED_VERSION, words[k]) else 0]]
                     sums = [b + sum(weights.get(g, (0,) * 99)[k] for g in grams) for k, b in enumerate(model.intercepts)]
                     chances = L._softmax(sums, model.temperature)
                     shared = [sum(c in known.get(g, ()) for g in grams) for c in model.classes]
                     best = max(range(1, len(sums)), key=lambda k: (sums[k], model.classes[k]))
                     own = any(g in telling and model.classes[best] in known[g] for g in grams)
-                    sure = chances[best] > model.cut and 2 * shared[best] >= len(grams) and shared[best] == max(shared) and own
+                    fits = not stated or not versions[model.classes[best]] or bool(set(stated) & set(versions[model.classes[best]]))
+                    sure = fits and not hidden and chances[best] > model.cut and 2 * shared[best] >= len(grams) and shared[best] == max(shared) and own
                     judged.append((sure, size, model.classes[best], chances[best], shared[best] / len(grams)))
                 sure, _, family, chance, share = max(judged)
                 found.setdefault(family if sure else UNKNOWN, []).append((chance, share, -place, line, sure))
@@ -122,6 +135,36 @@ def test_names_versions_and_identifiers(spark):
     assert families(spark, list(named)) == dict(enumerate({x} for x in named.values()))
 
 
+def test_other_versions_and_denials_are_unknown(spark):
+    named = {
+        "Licensed under the Apache License, Version 1.1.": UNKNOWN,
+        "Apache License Version 1.0": UNKNOWN,
+        "This work is licensed under the GNU General Public License, version 1.": UNKNOWN,
+        "Licensed under CC BY 3.0.": UNKNOWN,
+        "Mozilla Public License Version 1.1": UNKNOWN,
+        "Licensed under the Apache License, Version 2.": "apache-2.0",
+        "Licensed under the Apache License, v. 2.0": "apache-2.0",
+        "Version 1.1 of the tool. Released under the MIT License.": "mit",
+        "We do not use the MIT License here.": UNKNOWN,
+        "This is not the\nMIT License, whatever the page says.": UNKNOWN,
+        "The MIT License does not apply to the pictures.": UNKNOWN,
+        "The code is no longer available under the GNU General Public License, version 3.": UNKNOWN,
+        "It is not finished. Released under the MIT License.": "mit",
+        "Unter der Apache-Lizenz 2.0 veröffentlicht": "apache-2.0",
+        "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+        "Made available under the Eclipse Public License 2.0": "epl-2.0",
+        "Licensed under the EUPL, Version 1.2": "eupl-1.2",
+        "Released under the zlib license.": "zlib",
+    }
+    got = families(spark, list(named))
+    assert {t: got[k] for k, t in enumerate(named)} == {t: {x} for t, x in named.items()}
+
+
+def test_every_family_knows_its_own_versions():
+    versions = L.versions_of_families()
+    assert versions["apache-2.0"] == ["2"] and versions["lgpl"] == ["2.1", "3"] and versions["cc-by"] == ["4"] and versions["mit"] == [] and versions["gpl-3.0"] == ["3"]
+
+
 def test_wrapped_notices_and_paragraphs(spark):
     wrapped = "to any person obtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the Software without\nrestriction, including without limitation the rights to use, copy, modify,"
     apache = "you may not use this file\nexcept in compliance with the License.\nYou may obtain a copy"
