@@ -10,11 +10,16 @@ Either may be left out (--no-endpoints, --no-network).
 and edges as Parquet in a version of their own, which readers (landing.read_published)
 see when both are written. The document goes to -o FILE, in parts that are joined, or,
 unless --tables is given, through the driver to standard output.
+
+What the command line leaves out is taken from variables NETLOOM_<OPTION> (NETLOOM_WALKS,
+NETLOOM_MAX_NODES, ..), then from the JSON object in the file --settings (or NETLOOM_SETTINGS);
+seeds are taken from all three, each once, in this order.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 from datetime import UTC, datetime
@@ -32,12 +37,13 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--routes", help="text of a routing table with further seeds")
     parser.add_argument("--neighbors", help="text of the host's neighbours with further seeds")
     parser.add_argument("--max-nodes", type=int, default=5000)
+    parser.add_argument("--settings", help="JSON file of options")
     parser.add_argument("--pollable-only", action="store_true")
     parser.add_argument("--no-endpoints", action="store_true")
     parser.add_argument("--no-network", action="store_true")
     parser.add_argument("--tables", help="folder for nodes and edges as Parquet")
     parser.add_argument("-o", "--output", help="file for the document")
-    options = parser.parse_args(arguments)
+    options = _with_settings(parser, arguments)
     if not (options.scored or options.inventory or options.no_endpoints) or not (options.network or options.walks or options.no_network):
         parser.error("name an input or leave it out with --no-endpoints or --no-network")
     if options.walks and not (options.seed or options.routes or options.neighbors):
@@ -74,6 +80,22 @@ def main(arguments: list[str] | None = None) -> int:
     return 0
 
 
+def _with_settings(parser: argparse.ArgumentParser, arguments: list[str] | None) -> argparse.Namespace:
+    """The options of the command line, with the rest from the environment and a file."""
+    from netloom.sources.settings import PREFIX, read_settings
+
+    asked = parser.parse_args(arguments)
+    kinds = {name: type(value) if isinstance(value, (bool, int, list)) else str for name, value in vars(asked).items() if name != "settings"}
+    try:
+        known = read_settings(kinds, asked.settings or os.environ.get(f"{PREFIX}SETTINGS"), os.environ)
+    except (OSError, ValueError) as problem:
+        parser.error(str(problem))
+    parser.set_defaults(**{name: value for name, value in known.items() if name != "seed"})
+    options = parser.parse_args(arguments)
+    options.seed = list(dict.fromkeys([*options.seed, *known.get("seed", [])]))
+    return options
+
+
 def _endpoints(spark, options):
     from pyspark.sql import functions as F
 

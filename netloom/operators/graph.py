@@ -72,14 +72,14 @@ def bfs_order(devices: DataFrame, links: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("next"), "seq", F.lit(0).alias("side")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), "seq", F.lit(1).alias("side")))
     roots = components(place, edges)
     level = checkpoint(roots.filter("node = root").select("node", "root", F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(None).cast("long").alias("parent")))
-    before, levels = level.limit(0), [level]
+    before, levels, depth = level.limit(0), [level], 0
     while True:
+        depth += 1
         steps = level.join(both, "node").select("root", F.col("next").alias("node"), F.col("node").alias("parent"), F.struct("at", "seq", "side").alias("key"))
         fresh = steps.join(level.select("node").unionByName(before.select("node")), "node", "left_anti").groupBy("root", "node").agg(F.min("key").alias("key"), F.min_by("parent", "key").alias("parent"))
-        depth = F.lit(1) + level.select("depth").limit(1).first()[0]
         # places follow the roots, so ranges share the sort of a component of any size
         placed = numbered(fresh, "at", F.col("root"), F.col("key"), F.col("node"))
-        before, level = level, checkpoint(placed.select("node", "root", depth.alias("depth"), F.col("at").cast("int"), "parent"))
+        before, level = level, checkpoint(placed.select("node", "root", F.lit(depth).alias("depth"), F.col("at").cast("int"), "parent"))
         if level.isEmpty():
             break
         levels.append(level)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netloom.functions.mac import canonical_mac
-from netloom.functions.risk import label
+from netloom.functions.risk import is_offline, label, or_dash, risk_bucket
 from netloom.functions.roles import derive_role
 from netloom.operators.graph import bfs_order, discovery_order, numbered
 from netloom.operators.ladder import Placement, place
@@ -110,6 +110,41 @@ def edge_styles(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("e"), F.col("seq")).alias("id"), "source", "target", F.nullif("local_port", F.lit("")).alias("label"), (F.col("type") == S.ENDPOINT_EDGE).alias("dashed"))
 
 
+#: The fields of a node that a detail view lists, in its order.
+IDENTITY = ("hostname", "ip", "mac", "vendor", "model", "firmware", "serial", "role", "discovery_method", "status")
+
+
+def detail_rows(nodes: DataFrame) -> DataFrame:
+    """What a detail view shows of every node, a row for each line: node_id, section, at (its place there, from 0), label
+    and value. Sections: head, identity; for endpoints findings, in their order; for devices ports, by name, and topology.
+    Null and empty text is shown as a dash; a node without findings or ports has no rows there."""
+
+    def row(section: str, at: Column, label_: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), at.cast("long").alias("at"), label_.alias("label"), value.alias("value"))
+
+    def lines(section: str, *shown: tuple[str, Column]) -> Column:
+        return F.array(*(row(section, F.lit(k), F.lit(name), value) for k, (name, value) in enumerate(shown)))
+
+    def some(value: Column) -> Column:
+        return F.nullif(value.cast("string"), F.lit(""))
+
+    under = F.concat_ws(" · ", F.coalesce(some(F.col("role")), F.col("kind")), some(F.col("discovery_method")))
+    head = lines("head", ("title", label(F.col("hostname"), F.col("ip"), F.col("node_id"))), ("under", under), ("risk", risk_bucket(F.col("risk_score"))), ("offline", F.when(is_offline(F.col("status")), "yes").otherwise("no")))
+    identity = lines("identity", *((name, or_dash(F.col(name))) for name in IDENTITY))
+
+    def finding(x: Column, k: Column) -> Column:
+        version = F.concat(F.lit(" (v"), some(x["cvss_version"]), F.lit(")"))
+        score = F.concat(x["cvss"].cast("string"), F.coalesce(version, F.lit("")))
+        return row("findings", k, x["cve"], F.concat_ws(" · ", some(x["severity"]), score, some(x["package"]), some(x["version"]), some(x["description"])))
+
+    findings = F.transform("top_cves", finding)
+    ports = F.transform(F.array_sort(F.map_entries("port_status")), lambda x, k: row("ports", k, x["key"], x["value"]))
+    topology = lines("topology", *((name, or_dash(F.array_join(name, ", "))) for name in ("neighbor_ports", "uplink_ports")))
+    none = F.array().cast("array<struct<section:string,at:bigint,label:string,value:string>>")
+    own = F.when(F.col("kind") == S.DEVICE, F.concat(F.coalesce(ports, none), topology)).otherwise(F.coalesce(findings, none))
+    return nodes.select("node_id", F.explode(F.concat(head, identity, own)).alias("x")).select("node_id", "x.*")
+
+
 def toolbar_counts(graph: Graph) -> DataFrame:
     """One row: devices that answer, and edges of both kinds together."""
     shown = counts(graph).select((F.col("lldp_edges") + F.col("endpoint_edges")).alias("edges"), F.lit(1).alias("k"))

@@ -221,6 +221,14 @@ ORACLES: dict[str, str] = {
  FROM sc_dev d LEFT JOIN (SELECT device_ip, array_to_string(list_sort(list(DISTINCT local_port)), ',') neighbor_ports, array_to_string(list_sort(list(DISTINCT local_port) FILTER (target_ip IS NOT NULL)), ',') uplink_ports FROM nb GROUP BY device_ip) p ON p.device_ip=d.ip AND d.pollable""", **(_CRAWLED | {"said": _VIEWS["said"].replace("sc_link", "all_link"), "nb": _VIEWS["nb"].replace("sc_dev", "all_dev")})),
     "walks_to_graph": _with("node", "att", body="SELECT n.node_id, kind, n.ip, hostname, role, pollable, a.parent, a.port, a.confidence, a.reason FROM node n LEFT JOIN att a USING (node_id)", **_CRAWLED),
     "edge_styles": _with("edge", body="SELECT source, target, nullif(local_port,'') AS label, type='endpoint_link' dashed FROM edge"),
+    "detail_rows": _with("node", "stay", "top", body="""SELECT node_id, 'head' section, CAST(k AS BIGINT) "at", ['title','under','risk','offline'][k+1] label,
+ [coalesce(nullif(hostname,''), nullif(ip,''), node_id), concat(role, ' · ', discovery_method), CASE WHEN risk_score>=9 THEN 'critical' WHEN risk_score>=7 THEN 'high' WHEN risk_score>0 THEN 'low' ELSE 'clean' END, CASE WHEN status IN ('disconnected','discovered') THEN 'yes' ELSE 'no' END][k+1] "value" FROM node, range(4) r(k) WHERE node_id NOT LIKE 'host:%'
+ UNION ALL SELECT node_id, 'identity', k, ['hostname','ip','mac','vendor','model','firmware','serial','role','discovery_method','status'][k+1], coalesce([hostname,ip,mac,NULL,NULL,NULL,NULL,role,discovery_method,status][k+1], '—') FROM node, range(10) r(k) WHERE node_id NOT LIKE 'host:%'
+ UNION ALL SELECT concat('endpoint:',agent_id), 'findings', rank-1, cve, concat(CASE WHEN cvss>=7 THEN 'High · ' WHEN cvss>=4 THEN '' ELSE 'Low · ' END, cvss, CASE WHEN cvss>=5 THEN ' (v3.1)' ELSE '' END) FROM top SEMI JOIN sc_ep USING (agent_id)
+ UNION ALL SELECT concat('device:',chassis_id), 'ports', 0, 'Gi0/0', 'up' FROM stay WHERE pos%4<>3
+ UNION ALL SELECT concat('device:',chassis_id), 'ports', 1, concat('Gi0/',pos%6+1), CASE WHEN pos%2=0 THEN 'up' ELSE 'down' END FROM stay WHERE pos%4<>3
+ UNION ALL SELECT concat('device:',chassis_id), 'topology', 0, 'neighbor_ports', CASE WHEN pos%3=0 THEN 'Te1/1, Te1/2' ELSE '—' END FROM stay
+ UNION ALL SELECT concat('device:',chassis_id), 'topology', 1, 'uplink_ports', 'Gi0/0' FROM stay"""),
     "toolbar_counts": _with("stay", "edge", body="SELECT (SELECT count(*) FROM stay WHERE pollable) pollable, (SELECT count(*) FROM edge) edges"),
     "tree_depth": _with("discovered", body="SELECT node_id, depth FROM (WITH RECURSIVE r AS (SELECT node_id, CAST(0 AS BIGINT) depth FROM discovered WHERE parent_id IS NULL OR parent_id NOT IN (SELECT node_id FROM discovered) UNION ALL SELECT d.node_id, r.depth+1 FROM discovered d JOIN r ON d.parent_id=r.node_id) SELECT * FROM r)"),
     "route_gateways": """SELECT ip, min(metric) metric, arg_min(seq, metric*1000000+seq) seq FROM (SELECT CASE WHEN s_suppkey%11=0 THEN '127.0.0.1' ELSE concat('10.0.',s_nationkey,'.',s_suppkey%250+1) END ip, CAST(s_suppkey%5*10 AS INT) metric, CAST(s_suppkey AS BIGINT) seq

@@ -542,6 +542,17 @@ def edge_styles(s):
     return D.edge_styles(_graph(s).edges).select("source", "target", "label", "dashed")
 
 
+@on_scenario
+def detail_rows(s):
+    """The lines of every device's and endpoint's detail view."""
+    placement = _placed(s)
+    graded = s.findings.select("*", F.when(F.col("cvss") >= 7, "High").when(F.col("cvss") >= 4, "").otherwise("Low").alias("severity"), F.when(F.col("cvss") >= 5, "3.1").alias("cvss_version"), *(F.lit(None).cast("string").alias(c) for c in ("package", "version", "description")))
+    scored = E.score_endpoints(s.endpoints, graded).select("pos", "agent_id", "hostname", "ip", "mac", "status", "risk_score", "top_cves")
+    states = F.create_map(F.lit("Gi0/0"), F.lit("up"), F.concat(F.lit("Gi0/"), F.col("pos") % 6 + 1), F.when(F.col("pos") % 2 == 0, "up").otherwise("down"))
+    devices = placement.devices.withColumns({"port_status": F.when(F.col("pos") % 4 != 3, states), "neighbor_ports": F.when(F.col("pos") % 3 == 0, F.array(F.lit("Te1/1"), F.lit("Te1/2")))})
+    return D.detail_rows(D.device_nodes(devices).unionByName(D.endpoint_nodes(scored, s.devices, placement.placed)))
+
+
 @on_scenario
 def toolbar_counts(s):
     return D.toolbar_counts(_graph(s))

@@ -3,10 +3,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+import pytest
+
 from netloom.__main__ import main
 from netloom.plans import landed
 from netloom.sources import landing
 from netloom.sources.scenario import build_scenario
+from netloom.sources.settings import listed, read_settings
 
 
 def test_document_of_cached_inputs(spark, tmp_path):
@@ -40,3 +43,27 @@ def test_graph_tables_of_landed_inventory_and_walks(spark, tiny, tmp_path):
     assert {n.ip for n in devices} >= {"10.0.0.254", "10.0.1.254"} and all(n.pollable for n in devices) and all(n.port_status for n in devices)
     scored = spark.read.json(f"{tmp_path}/scored").collect()
     assert scored and {n.agent_id for n in nodes if n.agent_id} == {r.agent_id for r in scored} and "000" not in {r.agent_id for r in scored}
+
+
+def test_settings_of_environment_and_file(tmp_path):
+    file = tmp_path / "settings.json"
+    file.write_text(json.dumps({"seed": ["10.0.0.3", "10.0.0.1"], "max_nodes": 7, "walks": "of_file", "pollable_only": True}))
+    kinds = {"seed": list, "max_nodes": int, "walks": str, "pollable_only": bool, "tables": str}
+    given = {"NETLOOM_SEED": "10.0.0.1, 10.0.0.2 10.0.0.1", "NETLOOM_WALKS": "of_environment", "NETLOOM_POLLABLE_ONLY": "no", "NETLOOM_OTHER": "x", "NETLOOM_TABLES": " "}
+    assert read_settings(kinds, str(file), given) == {"seed": ["10.0.0.1", "10.0.0.2", "10.0.0.3"], "max_nodes": 7, "walks": "of_environment", "pollable_only": False}
+    assert read_settings(kinds, None, {}) == {} and listed('a,"b c"  d,,a') == ["a", "b c", "d"] and listed(None) == []
+    file.write_text('{"unknown": 1}')
+    with pytest.raises(ValueError):
+        read_settings(kinds, str(file), {})
+
+
+def test_inputs_may_come_from_settings(spark, tmp_path, monkeypatch):
+    (tmp_path / "scored.json").write_text(json.dumps([{"agent_id": "001", "ip": "10.0.1.9", "status": "active"}]))
+    (tmp_path / "settings.json").write_text(json.dumps({"scored": str(tmp_path / "scored.json"), "output": str(tmp_path / "never.json")}))
+    monkeypatch.setenv("NETLOOM_NO_NETWORK", "true")
+    monkeypatch.setenv("NETLOOM_SETTINGS", str(tmp_path / "settings.json"))
+    assert main(["-o", str(tmp_path / "graph.json")]) == 0
+    assert [n["node_id"] for n in json.loads((tmp_path / "graph.json").read_text())["nodes"]] == ["endpoint:001"] and not (tmp_path / "never.json").exists()
+    (tmp_path / "settings.json").write_text("[]")
+    with pytest.raises(SystemExit):
+        main([])
