@@ -10,8 +10,8 @@ tables with the planes, so a pair at cosine 0.9 is found with probability 0.988
 Equal vectors are one node with a number of copies. Only nodes that share a
 bucket travel with their vectors. A bucket emits, for each node, the rows it is
 linked to and a spanning forest of its links, never its pairs; a pair counts in
-the first table in which it meets. Large buckets are compared block by block in
-several tasks.
+the first table in which it meets. Small buckets are compared many at a time, large
+ones block by block in several tasks.
 """
 
 from __future__ import annotations
@@ -109,51 +109,111 @@ def _bucket_keys(signed: DataFrame, tables: int) -> DataFrame:
     return signed.select("node", "marks", F.length("unit").alias("dim")).mapInArrow(run, "node long, key long")
 
 
+def met_before(marks: np.ndarray, i: np.ndarray, j: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether rows i and j agree in one of their first ``at`` columns. Near rows agree early, so few pairs are looked at to the end."""
+    met = np.zeros(len(i), bool)
+    for some in range(0, len(i), 65536):
+        left, start, width = np.arange(some, min(some + 65536, len(i))), 0, 4
+        while len(left := left[at[left] > start]):
+            end = min(start + width, marks.shape[1])
+            same = marks[i[left], start:end] == marks[j[left], start:end]
+            met[left] = (same & (np.arange(start, end) < at[left][:, None])).any(axis=1)
+            left, start, width = left[~met[left]], end, 2 * width
+    return met
+
+
+def forest_of_few(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of pairs."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    edges = []
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            edges.append((x, y))
+    return edges
+
+
+def forest_of_many(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The same for the pairs of one group: a row's neighbours are found together."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    near = np.zeros((len(rows), len(rows)), bool)
+    near[at[: len(i)], at[len(i) :]] = near[at[len(i) :], at[: len(i)]] = True
+    apart, edges = np.ones(len(rows), bool), []
+    for first in range(len(rows)):
+        todo = [first] if apart[first] else []
+        apart[first] = False
+        while todo:
+            x = todo.pop()
+            new = (near[x] & apart).nonzero()[0]
+            apart[new] = False
+            edges += zip([x] * len(new), new.tolist())
+            todo += new.tolist()
+    return [(int(rows[x]), int(rows[y])) for x, y in edges]
+
+
+#: Groups of no more rows are compared together.
+FEW_ROWS = 32
+
+
+def _near_pairs(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs (i, j) of rows of the same group at the wanted cosine, and whether all are of one large group. Rows of
+    side 0 meet those of side 1, rows of side -1 each other."""
+    sizes = ends - starts
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= FEW_ROWS)]):
+        a, b = np.triu_indices(size, 1)
+        of_size = starts[sizes == size]
+        for some in np.array_split(of_size, len(of_size) * len(a) // 16384 + 1):
+            i, j = (some[:, None] + a).ravel(), (some[:, None] + b).ravel()
+            meet = (side[i] < 0) | (side[i] != side[j])
+            i, j = i[meet], j[meet]
+            near = np.einsum("ij,ij->i", units[i], units[j]) >= min_cosine
+            yield i[near], j[near], False
+    for start, end in zip(starts[sizes > FEW_ROWS], ends[sizes > FEW_ROWS]):
+        if side[start] < 0:
+            part = units[start:end]
+            i, j = np.triu(part @ part.T >= min_cosine, 1).nonzero()
+            yield i + start, j + start, True
+        else:
+            x, y = ((side[start:end] == k).nonzero()[0] + start for k in (0, 1))
+            i, j = (units[x] @ units[y].T >= min_cosine).nonzero()
+            yield x[i], y[j], True
+
+
 def _links(met: DataFrame, tables: int, min_cosine: float) -> DataFrame:
     """Rows (a, b, n): n >= 0 vectors linked to node a, or, where n is null, an edge a, b of a spanning forest."""
     keys = ["key", "low", "high"]
 
-    def compare(frame: pd.DataFrame, start: int, end: int) -> tuple[list, list]:
-        part = frame.iloc[start:end]
-        units = np.frombuffer(b"".join(part["unit"]), "<f8").reshape(end - start, -1)
-        marks = np.frombuffer(b"".join(part["marks"]), "<i4").reshape(end - start, tables)
-        node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
-        at = int(part["key"].iloc[0]) >> 32 & 0xFFF
-        wanted = np.triu(units @ units.T >= min_cosine, 1)
-        if part["low"].iloc[0] != part["high"].iloc[0]:
-            wanted &= block[:, None] != block[None, :]
-        i, j = wanted.nonzero()
-        first = np.ones(len(i), bool)
-        for some in range(0, len(i), 65536):
-            s = slice(some, some + 65536)
-            first[s] = ~(marks[i[s], :at] == marks[j[s], :at]).any(axis=1)
-        i, j = i[first], j[first]
-        n = np.bincount(i, copies[j], end - start) + np.bincount(j, copies[i], end - start)
-        counts = [(int(node[k]), None, int(n[k])) for k in n.nonzero()[0]]
-        root = list(range(end - start))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        edges = []
-        for x, y in zip(i.tolist(), j.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                edges.append((int(node[x]), int(node[y]), None))
-        return counts, edges
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        units = np.frombuffer(b"".join(frame["unit"]), "<f8").reshape(len(frame), -1)
+        marks = np.frombuffer(b"".join(frame["marks"]), "<i4").reshape(len(frame), tables)
+        node, copies, block, low, high = (frame[c].to_numpy() for c in ("node", "copies", "block", "low", "high"))
+        at = frame["key"].to_numpy() >> 32 & 0xFFF
+        starts, ends = np.array(group_bounds(frame, keys)).T
+        side = np.where(low == high, -1, (block == high).astype(int))
+        n, edges = np.zeros(len(frame)), []
+        for i, j, many in _near_pairs(units, starts, ends, side, min_cosine):
+            first = ~met_before(marks, i, j, at[i])
+            i, j = i[first], j[first]
+            if len(i):
+                n += np.bincount(i, copies[j], len(frame)) + np.bincount(j, copies[i], len(frame))
+                edges += forest_of_many(i, j) if many else forest_of_few(i, j)
+        linked = n.nonzero()[0]
+        ends_of = np.array(edges, int).reshape(-1, 2)
+        counts = pd.DataFrame({"a": node[linked], "b": pd.array([None] * len(linked), "Int64"), "n": pd.array(n[linked].astype(int), "Int64")})
+        forest = pd.DataFrame({"a": node[ends_of[:, 0]], "b": pd.array(node[ends_of[:, 1]], "Int64"), "n": pd.array([None] * len(ends_of), "Int64")})
+        return pd.concat([counts, forest], ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in complete_groups(frames, keys, 5_000):
-            rows: list = []
-            for start, end in group_bounds(frame, keys):
-                if end - start > 1:
-                    counts, edges = compare(frame, start, end)
-                    rows += counts + edges
-            yield pd.DataFrame({c: pd.array([r[k] for r in rows], "Int64") for k, c in enumerate("abn")})
+            for _, part in frame.groupby(frame["unit"].map(len)):
+                yield compare(part.reset_index(drop=True))
 
     return met.mapInPandas(run, "a long, b long, n long")
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from netloom.llm.embeddings import embedding_components, op7_embedding_dedup, shape
+from netloom.llm.embeddings import embedding_components, forest_of_few, forest_of_many, met_before, op7_embedding_dedup, shape
 
 
 def brute(rows, low=0.9):
@@ -56,6 +56,32 @@ def test_planes_follow_the_number_of_vectors():
     assert planes == 26 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** 26) ** tables >= 0.988
 
 
+def test_met_before_looks_at_each_pair_s_own_columns():
+    r = np.random.default_rng(8)
+    marks = r.integers(0, 40, (200, 96), dtype=np.int32)
+    i, j, at = r.integers(0, 200, 3000), r.integers(0, 200, 3000), r.integers(0, 97, 3000)
+    want = [bool((marks[x, :n] == marks[y, :n]).any()) for x, y, n in zip(i, j, at)]
+    assert met_before(marks, i, j, at).tolist() == want
+
+
+def test_forests_span():
+    r = np.random.default_rng(9)
+    for n in (2, 30, 200):
+        i, j = r.integers(0, n, 90), r.integers(0, n, 90)
+        i, j = i[i != j], j[i != j]
+
+        def parts(edges):
+            label = list(range(n))
+            for _ in range(n):
+                for x, y in edges:
+                    label[x] = label[y] = min(label[x], label[y])
+            return label
+
+        want = parts(list(zip(i.tolist(), j.tolist())))
+        for forest in (forest_of_few(i, j), forest_of_many(i, j)):
+            assert parts(forest) == want and len(forest) == n - len(set(want))
+
+
 def test_many_null_and_equal_vectors(spark):
     rows = [(k, None) for k in range(1500)] + [(2000 + k, [1.0, 2.0, 3.0]) for k in range(1500)] + [(4000, [1.0, -2.0, 3.0])]
     got = {r.vec_id: r for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
