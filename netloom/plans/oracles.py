@@ -155,6 +155,8 @@ ORACLES: dict[str, str] = {
     "physical_iface": _with("card", body="SELECT agent_id, CAST(pos AS BIGINT) pos, (k+pos)%6<>0 AND name<>'vEthernet 0' physical FROM card"),
     "select_mac": _with("held", body="SELECT agent_id, mac FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY CASE WHEN k%7<>0 AND address=ip THEN 0 ELSE 1 END, CASE WHEN state='up' THEN 0 ELSE 1 END, pos) rn FROM held WHERE (k+pos)%6<>0 AND name<>'vEthernet 0') WHERE rn=1"),
     "topk_cves": _with("top", body="SELECT agent_id, cve, cvss, rank FROM top"),
+    "answers_topk": _with("top", body="SELECT agent_id, cve, cvss, rank FROM top"),
+    "answers_term": _with("finding", body="SELECT agent_id, cve, cvss FROM finding WHERE cvss>=7"),
     "risk_score": _with("top", body="SELECT agent_id, cvss risk_score FROM top WHERE rank=1"),
     "parse_hit": _with("finding", body="SELECT agent_id, cve, cvss, '3.1' cvss_version, CASE WHEN cvss>=7 THEN 'High' ELSE 'Low' END severity, concat('pkg-', right(cve,1)) package, '1.0' AS version, CAST(NULL AS VARCHAR) description FROM finding"),
     "agent_scored": _with("sc_ep", "top", body="SELECT e.agent_id, coalesce(f.cvss, 0) risk_score, t.rank-1 k, t.cve, CASE WHEN t.cvss>=7 THEN 'High' WHEN t.cve IS NOT NULL THEN 'Low' END severity FROM sc_ep e LEFT JOIN top t USING (agent_id) LEFT JOIN top f ON f.agent_id=e.agent_id AND f.rank=1"),

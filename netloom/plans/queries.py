@@ -24,7 +24,9 @@ from netloom.operators import walks as P
 from netloom.plans import document as D
 from netloom.plans import landed as A
 from netloom.sources import landing as IO
+from netloom.sources import schema as S
 from netloom.sources import seeds as Z
+from netloom.sources.answers import read_answers
 from netloom.sources.scenario import Scenario, build_scenario
 from netloom.sources.session import checkpoint, shared_folder
 
@@ -178,6 +180,27 @@ def select_mac(spark, sf_dir):
     return E.select_mac(rows["netiface"], rows["netaddr"], rows["asked"])
 
 
+def _searched(spark: SparkSession, sf_dir: str, **terms: list) -> DataFrame:
+    """Hits of search answers, one answer an agent, landed as they came and read by the data source."""
+    folder = f"{shared_folder(spark)}/answers-{uuid4().hex}"
+    hits = A.search_hits(build_scenario(spark, sf_dir))
+    listed = hits.groupBy("agent_id").agg(F.collect_list(F.struct("agent_id", "_source")).alias("hits"))
+    listed.select(F.to_json(F.struct(F.struct("hits").alias("hits")))).write.text(folder)
+    return read_answers(spark, folder, S.VULNERABILITY, "hits.hits", {f"_source.vulnerability.{name}": values for name, values in terms.items()})
+
+
+@query
+def answers_topk(spark, sf_dir):
+    """The findings with the highest scores of each agent, of landed search answers."""
+    return E.top_findings(E.parse_findings(_searched(spark, sf_dir))).select("agent_id", "cve", "cvss", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def answers_term(spark, sf_dir):
+    """Findings of one severity: the term reaches the answers."""
+    return E.parse_findings(_searched(spark, sf_dir, severity=["High"])).select("agent_id", "cve", "cvss")
+
+
 @on_scenario
 def topk_cves(s):
     return E.top_findings(s.findings).select("agent_id", "cve", "cvss", F.col("rank").cast("long").alias("rank"))
