@@ -19,6 +19,10 @@ FORTINET_VERSION = "1.3.6.1.4.1.12356.101.4.1.1.0"
 FORTINET_SERIAL = "1.3.6.1.4.1.12356.100.1.1.1.0"
 # Words of a description, in the order in which they are looked for.
 DESCRIPTION_WORDS = (("cisco", "Cisco"), ("fortigate", "Fortinet"), ("fortinet", "Fortinet"), ("juniper", "Juniper"), ("arista", "Arista"), ("mikrotik", "MikroTik"))
+# What models and versions look like in the texts that devices give.
+CISCO_MODEL = r"\b([A-Z0-9][A-Z0-9\-]+)\s+Software\b"
+CISCO_VERSION = r"\bVersion\s+([0-9][0-9A-Za-z.()\-]*)"
+FORTINET_RELEASE = r"v?(\d+\.\d+(?:\.\d+)?)"
 
 
 def enterprise_number(object_id: Column) -> Column:
@@ -35,12 +39,12 @@ def vendor_of_description(description: Column) -> Column:
 
 def cisco_model(description: Column) -> Column:
     """The first word before "Software" other than IOS."""
-    words = F.regexp_extract_all(description, F.lit(r"\b([A-Z0-9][A-Z0-9\-]+)\s+Software\b"), F.lit(1))
+    words = F.regexp_extract_all(description, F.lit(CISCO_MODEL), F.lit(1))
     return F.get(F.filter(words, lambda w: F.upper(w) != "IOS"), F.lit(0))
 
 
 def cisco_version(description: Column) -> Column:
-    found = F.regexp_extract(description, r"\bVersion\s+([0-9][0-9A-Za-z.()\-]*)", 1)
+    found = F.regexp_extract(description, CISCO_VERSION, 1)
     return F.nullif(F.regexp_replace(found, r"[,.]+$", ""), F.lit(""))
 
 
@@ -51,7 +55,7 @@ def fortinet_model(object_id: Column) -> Column:
 
 
 def fortinet_version(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(raw, r"v?(\d+\.\d+(?:\.\d+)?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(raw, FORTINET_RELEASE, 1), F.lit(""))
 
 
 def _identified(model: Column, firmware: Column, serial: Column) -> Column:

@@ -9,7 +9,7 @@ from netloom.functions.net import is_routable_gateway
 
 # Words that mark an adapter as virtual.
 VIRTUAL_ADAPTER = r"(?i)vmware|vmnet|virtualbox|vbox|host-only|hyper-v|vethernet|virtual ethernet|loopback|bluetooth|npcap"
-_IPV4 = r"(\d{1,3}(?:\.\d{1,3}){3})"
+_IPV4 = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
 DEFAULT_ROUTE = "0.0.0.0/0"
 
 

@@ -10,6 +10,7 @@ from netloom.plans import document as D
 from netloom.plans import landed
 from netloom.sources import landing
 from netloom.sources.scenario import build_scenario
+from netloom.sources.seeds import text_gateways
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,9 @@ def test_a_failed_run_leaves_the_published_tables(spark, graph, tmp_path):
     assert landing.read_published(spark, folder, "nodes").count() == before == shown["nodes"]
     landing.publish_tables({"nodes": graph.nodes.limit(1), "edges": graph.edges.limit(2)}, folder)
     assert landing.read_published(spark, folder, "nodes").count() == 1 and landing.read_published(spark, folder, "edges").count() == 2
+
+
+def test_addresses_of_default_routes_are_whole_words(spark):
+    lines = ["default via 192.168.7.1 dev eth0", "default via 1192.5.6.7 dev eth0", "default via gw10.0.0.1", "default 10.0.0.2 UGSc", "default 10.0.0.2555 UGSc", "10.0.0.3 via nothing"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "line long, value string")
+    assert [(r.line, r.ip) for r in text_gateways(rows).orderBy("line").collect()] == [(0, "192.168.7.1"), (3, "10.0.0.2")]
