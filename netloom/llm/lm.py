@@ -21,7 +21,9 @@ contexts of up to two bytes are one table of at most 2**24 counts, which a first
 pass gathers and which is broadcast. The shard answers every block with the code
 lengths in the order in which the block asked, and the block sums them up for its
 documents. Words and their training counts take the same way. Blocks are dealt
-once: asking and summing up read the same shuffle.
+once: asking and summing up read the same shuffle, each in an order of rows of its
+own, as fetches from other executors and spills leave it. So a block asks in the
+order of its n-grams and words, which doesn't depend on that of its rows.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def log10_probabilities(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 
 class Texts:
-    """Texts as the model reads them: their words, numbered, and their bytes with end marks."""
+    """Texts as the model reads them: their words, numbered bytewise, and their bytes with end marks."""
 
     def __init__(self, texts: pa.Array, order: int):
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(unsliced(texts).cast(pa.large_string()), "")))
@@ -154,8 +156,10 @@ class Texts:
         self.n_words = np.diff(upto)
         flat = flat.filter(full)
         coded = flat.dictionary_encode()
-        self.words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        self.of_word = coded.indices.to_numpy()
+        distinct = coded.dictionary.cast(pa.large_binary())
+        order_of = pc.array_sort_indices(distinct)  # a dictionary is in order of appearance, which another order of rows changes
+        self.words = distinct.take(order_of).to_pylist()
+        self.of_word = np.argsort(order_of.to_numpy())[coded.indices.to_numpy()]
         self.of_doc = np.repeat(np.arange(len(counts)), self.n_words)
         spans = pc.binary_length(flat).to_numpy().astype(np.int64) + 1  # each word and the mark after it
         ends = np.concatenate([[0], np.cumsum(spans)])

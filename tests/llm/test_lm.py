@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm.lm import Lookup, Texts, held_out, levels_of, log10_probabilities, op1_ppm, ppm_scores
+from netloom.llm.lm import Lookup, Texts, _answer, _ask, _first_pass, _sum_up, held_out, levels_of, log10_probabilities, op1_ppm, ppm_scores
 
 
 def lower(text):
@@ -96,6 +97,24 @@ def test_slices_of_a_batch_are_read_like_the_batch():
     assert [n for x in apart for n in x.n_words] == list(Texts(docs, 3).n_words)
 
 
+def test_a_block_may_be_summed_up_in_another_order_of_rows_than_it_asked_in():
+    r = random.Random(7)
+    docs = [(k, " ".join(r.choice(["the", "The", "q\u00e9", "then", f"w{k}", f"w{r.randint(0, 40)}"]) for _ in range(r.randint(0, 20)))) for k in range(40)]
+    ids, texts = [k for k, _ in docs], [t for _, t in docs]
+    held = [is_held(k) for k in ids]
+    (first,) = _first_pass(3)(iter([pa.record_batch([pa.array(texts), pa.array(held)], names=["text", "held_out"])]))
+    sums = dict(sorted(zip(first.column(0).to_pylist(), first.column(1).to_pylist())))
+    low = np.array([k for k in sums if k >= 0], "<u8").tobytes(), np.array([n for k, n in sums.items() if k >= 0], "<i8").tobytes()
+    block = pa.table({"doc_id": ids, "text": texts, "held_out": held, "block": pa.array([0] * len(ids), pa.int32())})
+    asked = _ask(3, 2)(block)
+    replies = pa.concat_tables([_answer(3, low)(asked.filter(pc.equal(asked["shard"], s))) for s in range(2)])
+    n_tokens, n_docs = sums[-1], sums[-2]
+    for order in (range(40), range(39, -1, -1), r.sample(range(40), 40)):
+        scored = _sum_up(3, 2, n_tokens, n_docs)(block.take(list(order)), replies).to_pylist()
+        rows = [(x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], n_tokens + n_docs, x["base_score"], x["score"]) for x in scored]
+        compare(rows, brute(docs, 3))
+
+
 def test_lookup_finds_every_key():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64))
     assert (Lookup(keys, np.arange(len(keys)) % 7)(keys[::-1]) == np.arange(len(keys))[::-1]).all()
