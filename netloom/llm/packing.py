@@ -9,7 +9,8 @@ one bucket.
 The tokenizer drops white space and merges only within a word's letters or marks,
 so the ids of a text are the ids of such parts one after another. A batch's
 parts are told apart by Arrow, Python sees each distinct part once, and a worker
-keeps the ids of parts it has met (a plain cache, emptied when it is full). Texts
+keeps the ids of parts it has met (a plain cache, emptied when it is full). A worker
+lives on through later stages with what it keeps, so the cache is bounded in bytes. Texts
 that hold one of the tokenizer's special tokens, which it reads as such, go to
 it whole.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,8 +38,11 @@ from netloom.llm.session import table
 
 END_ID = 2
 MAX_LEN = 4096
-#: Parts of texts whose ids one Python worker keeps: about 110 MB.
+#: Parts of texts whose ids one Python worker keeps, as long as they fit in so many bytes.
 CACHED_PARTS = 500_000
+CACHED_BYTES = 48 << 20
+#: What a dict takes for an entry, besides its key and value.
+_ENTRY_BYTES = 100
 #: Text whose parts are told apart at once.
 SLICE_BYTES = 4 << 20
 
@@ -54,27 +59,37 @@ _EDGES = r"('(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9])"
 class WordTokenizer:
     """Ids of whole texts from a tokenizers file, by way of the parts that it never merges across."""
 
-    def __init__(self, path: str, cached_parts: int = CACHED_PARTS):
+    def __init__(self, path: str, cached_parts: int = CACHED_PARTS, cached_bytes: int = CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already keep all cores busy
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = "|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())
         self._limit = cached_parts
+        self._limit_bytes = cached_bytes
         self._ids: dict[str, bytes] = {}
+        self._bytes = 0
 
     def _of_parts(self, parts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of distinct parts."""
         found = list(map(self._ids.get, parts))
         new = [k for k, ids in enumerate(found) if ids is None]
-        if len(self._ids) + len(new) > self._limit:
-            self._ids.clear()
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for k, e in zip(some, self._tokenizer.encode_batch_fast([parts[k] for k in some], add_special_tokens=False)):
-                found[k] = self._ids[parts[k]] = array("I", e.ids).tobytes()
+                found[k] = array("I", e.ids).tobytes()
+                self._keep(parts[k], found[k])
         return found
 
+    def _keep(self, part: str, ids: bytes) -> None:
+        more = sys.getsizeof(part) + sys.getsizeof(ids) + _ENTRY_BYTES
+        if len(self._ids) >= self._limit or self._bytes + more > self._limit_bytes:
+            self._ids = {}
+            self._bytes = 0
+        if more <= self._limit_bytes:
+            self._ids[part] = ids
+            self._bytes += more
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         texts = pc.fill_null(unsliced(texts).cast(pa.large_string()), "")
@@ -104,7 +119,7 @@ class WordTokenizer:
         return whole, np.diff(upto)
 
 
-_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int, int], WordTokenizer] = {}
 
 
 def unsliced(texts: pa.Array) -> pa.Array:
@@ -128,7 +143,7 @@ def power_of_two_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True, cached_parts: int = CACHED_PARTS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = True, cached_parts: int = CACHED_PARTS, cached_bytes: int = CACHED_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket
     (log2 of the length) and, with_ids, token_ids.
 
@@ -140,7 +155,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MA
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tokenizer_path, cached_parts
+        key = tokenizer_path, cached_parts, cached_bytes
         tokenizer = _tokenizers.get(key) or _tokenizers.setdefault(key, WordTokenizer(*key))
         for batch in batches:
             for some in slices(batch, 1, slice_bytes):
@@ -166,6 +181,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, *, max_len: int = MA
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            pa.default_memory_pool().release_unused()  # else Arrow keeps what a batch took, into later stages too
 
     schema = _SCHEMA + (", token_ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
@@ -179,7 +195,7 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cached_parts=1_000_000, slice_bytes=32 << 20)
+    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cached_parts=1_000_000, cached_bytes=256 << 20, slice_bytes=32 << 20)
 
 
 QUERIES = {"op3_packing": op3_packing}

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from functools import cache
 
@@ -34,6 +35,17 @@ def test_slices_of_a_batch_are_read_like_the_batch():
     assert (apart == own.encode(docs)[0]).all()
 
 
+def test_the_cache_is_bounded_in_bytes_and_never_changes_ids():
+    letters = ["".join(chr(97 + k // 26**j % 26) for j in range(5)) * 8 for k in range(280_000)]
+    texts = pa.array([" ".join(letters[at : at + 1000]) for at in range(0, len(letters), 1000)])
+    own = WordTokenizer(PATH)
+    ids = own.encode(texts)[0]
+    assert sum(sys.getsizeof(x) for entry in own._ids.items() for x in entry) < 48 << 20
+    small = WordTokenizer(PATH, cached_bytes=1000)
+    assert (small.encode(texts.slice(0, 9))[0] == ids[: len(small.encode(texts.slice(0, 9))[0])]).all()
+    assert len(small._ids) < 10
+
+
 def test_lengths_are_powers_of_two():
     assert power_of_two_lengths(4096 * 2 + 13, 4096) == [4096, 4096, 8, 4, 1]
     assert power_of_two_lengths(4096, 4096) == [4096]

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from netloom.llm.quality import METRICS, RULES, cascade_order, estimate_rules, op8_quality_rules, quality_cascade
+from netloom.llm.quality import METRICS, RULES, cascade_order, estimate_rules, keep_quality, op8_quality_rules, quality_cascade
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -52,3 +52,14 @@ def test_query_against_brute_force(spark, tiny):
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.kept and r.base_failed)
         if not r.base_failed and r.doc_id in labels:
             assert r.kept == bool(labels[r.doc_id])
+
+
+def test_rows_go_to_the_rules_with_one_copy_of_their_text(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, good, "a"), (2, None, "b"), (None, good, None)], "doc_id long, text string, kept string")
+    kept = keep_quality(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("text IS NOT NULL").collect()))
+    node = kept._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert node.children().head().output().size() == 1
