@@ -8,11 +8,12 @@ one bucket.
 
 The tokenizer drops white space and merges only within a word's letters or marks,
 so the ids of a text are the ids of such parts one after another. A batch's
-parts are told apart by Arrow, Python sees each distinct part once, and a worker
-keeps the ids of parts it has met (a plain cache, emptied when it is full). A worker
-lives on through later stages with what it keeps, so the cache is bounded in bytes. Texts
-that hold one of the tokenizer's special tokens, which it reads as such, go to
-it whole.
+parts are told apart by Arrow, and a worker keeps the ids of parts it has met (a plain
+cache, emptied when it is full). Parts that the tokenizer takes as they are, nearly all,
+go to its model many at a time as one text and are kept as Arrow arrays; the tokenizer
+gets each other part by itself. A worker lives on through later stages with what it keeps,
+so the cache is bounded in bytes. Texts that hold one of the tokenizer's special tokens,
+which it reads as such, go to it whole.
 
 Defined results: null and empty texts hold only the end id and give one piece
 of length 1; repeated rows give the same pieces each; an empty table gives no
@@ -38,7 +39,8 @@ from netloom.llm.session import table
 
 END_ID = 2
 MAX_LEN = 4096
-#: Parts of texts whose ids one Python worker keeps, as long as they fit in so many bytes.
+#: Parts of texts whose ids one Python worker keeps, as long as they fit in so many bytes:
+#: half of them for plain parts, half for others, each up to that number.
 CACHED_PARTS = 500_000
 CACHED_BYTES = 48 << 20
 #: What a dict takes for an entry, besides its key and value.
@@ -54,6 +56,13 @@ _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 #: Words of other texts go to the tokenizer whole.
 _OTHER = r"[^\t\n\x0B\f\r -~ªµºÀ-ÖØ-öø-ÿ]"
 _EDGES = r"('(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9])"
+#: Parts that the tokenizer neither changes nor splits any further.
+_PLAIN = r"^(?:'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[!-/:-@\[-`{-~]+|[0-9])$"
+#: Plain parts that the model gets as one text, and such texts at a time.
+_JOINED_PARTS = 256
+_JOINED_TEXTS = 16
+_NO_PARTS = pa.array([], pa.large_string())
+_NO_IDS = pa.array([], pa.large_list(pa.uint32()))
 
 
 class WordTokenizer:
@@ -61,12 +70,19 @@ class WordTokenizer:
 
     def __init__(self, path: str, cached_parts: int = CACHED_PARTS, cached_bytes: int = CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already keep all cores busy
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = Tokenizer(self._tokenizer.model)
+        self._model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = getattr(self._tokenizer.model, "end_of_word_suffix", None), self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self._ends_word[i] = suffix and token.endswith(suffix)
         self._special = "|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())
         self._limit = cached_parts
-        self._limit_bytes = cached_bytes
+        self._limit_bytes = cached_bytes // 2  # for plain parts, and for others
+        self._plain, self._plain_ids = _NO_PARTS, _NO_IDS
         self._ids: dict[str, bytes] = {}
         self._bytes = 0
 
@@ -81,6 +97,49 @@ class WordTokenizer:
                 self._keep(parts[k], found[k])
         return found
 
+    def _of_plain(self, parts: pa.Array) -> pa.LargeListArray:
+        """Ids of plain parts. Many make one text, as an id tells whether it ends a word."""
+        ids, counts = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        step = _JOINED_PARTS * _JOINED_TEXTS
+        for at in range(0, len(parts), step):
+            some = parts.slice(at, step).to_pylist()
+            joined = [some[k : k + _JOINED_PARTS] for k in range(0, len(some), _JOINED_PARTS)]
+            for own, e in zip(joined, self._model.encode_batch_fast(list(map(" ".join, joined)), add_special_tokens=False)):
+                of_text = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self._ends_word[of_text]) + 1
+                if len(ends) != len(own):  # a file whose words have no ends
+                    blobs = self._of_parts(own)
+                    of_text = np.frombuffer(b"".join(blobs), np.uint32)
+                    ends = np.cumsum([len(b) // 4 for b in blobs])
+                ids.append(of_text)
+                counts.append(np.diff(ends, prepend=0))
+        return pa.LargeListArray.from_arrays(np.cumsum(np.concatenate(counts)), np.concatenate(ids))
+
+    def _of_distinct(self, parts: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct parts: those of known plain ones, new plain ones and others, put in order."""
+        place = pc.index_in(parts, value_set=self._plain)
+        new = place.is_null()
+        some = parts.filter(new)
+        is_plain = pc.match_substring_regex(some, _PLAIN)
+        plain = some.filter(is_plain)
+        plain_ids = self._of_plain(plain)
+        blobs = self._of_parts(some.filter(pc.invert(is_plain)).to_pylist())
+        upto = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+        other_ids = pa.LargeListArray.from_arrays(upto, np.frombuffer(b"".join(blobs), np.uint32))
+        ids = pa.concat_arrays([self._plain_ids, plain_ids, other_ids])
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        of_new, is_plain = np.flatnonzero(new), is_plain.to_numpy(zero_copy_only=False)
+        place[np.concatenate([of_new[is_plain], of_new[~is_plain]])] = np.arange(len(self._plain), len(ids))
+        self._keep_plain(plain, plain_ids)
+        return ids.take(pa.array(place))
+
+    def _keep_plain(self, parts: pa.Array, ids: pa.Array) -> None:
+        for known, known_ids in (self._plain, self._plain_ids), (self._plain[:0], self._plain_ids[:0]):
+            if len(known) + len(parts) <= self._limit and known.nbytes + known_ids.nbytes + parts.nbytes + ids.nbytes <= self._limit_bytes:
+                self._plain, self._plain_ids = pa.concat_arrays([known, parts]), pa.concat_arrays([known_ids, ids])
+                return
+        self._plain, self._plain_ids = _NO_PARTS, _NO_IDS
+
     def _keep(self, part: str, ids: bytes) -> None:
         more = sys.getsizeof(part) + sys.getsizeof(ids) + _ENTRY_BYTES
         if len(self._ids) >= self._limit or self._bytes + more > self._limit_bytes:
@@ -107,16 +166,9 @@ class WordTokenizer:
         texts = pc.if_else(pc.match_substring_regex(texts, _OTHER), texts, split)
         words = pc.ascii_split_whitespace(texts)
         distinct = words.flatten().dictionary_encode()
-        blobs = self._of_parts(distinct.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        ids = np.frombuffer(b"".join(blobs), np.uint32)
-        of_word = distinct.indices.to_numpy()
-        counts = lengths[of_word]
-        ends = np.cumsum(counts)
-        shift = (np.cumsum(lengths) - lengths)[of_word] - (ends - counts)
-        whole = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, counts)]
-        upto = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return whole, np.diff(upto)
+        ids = self._of_distinct(distinct.dictionary).take(distinct.indices)
+        upto = ids.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return ids.flatten().to_numpy(), np.diff(upto)
 
 
 _tokenizers: dict[tuple[str, int, int], WordTokenizer] = {}

@@ -1,3 +1,4 @@
+import json
 import sys
 import zlib
 from functools import cache
@@ -46,6 +47,56 @@ def test_the_cache_is_bounded_in_bytes_and_never_changes_ids():
     assert len(small._ids) < 10
 
 
+class Seen:
+    """A tokenizer that notes the texts it gets."""
+
+    def __init__(self, own):
+        self._own, self.texts = own, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self._own.encode_batch_fast(texts, **how)
+
+
+def test_plain_parts_share_texts_and_are_kept():
+    """One text for each part took most of the packing's time."""
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) + "éß"[: k % 3] for k in range(9000)]
+    plain, other = " ".join(words) + " It's 12,5 x... don't 'Sé ªº µ", "漢字 x漢 İI abc don't"
+    texts = pa.array([plain, other, None, ""])
+    own = WordTokenizer(PATH)
+    own._tokenizer, own._model = each, joined = Seen(own._tokenizer), Seen(own._model)
+    for _ in range(2):
+        ids, counts = own.encode(texts)
+        for text, some in zip(texts.to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert some.tolist() == whole().encode(text or "", add_special_tokens=False).ids
+        assert len(each.texts) < 10 and len(joined.texts) < 50
+    assert len(own._plain) == len(own._plain_ids) > 9000
+
+
+def test_plain_parts_are_kept_within_bounds():
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(20_000)]
+    for cached, most, how_many in ((5000, 48 << 20, 5000), (500_000, 200_000, 20_000), (500_000, 1000, 100)):
+        own = WordTokenizer(PATH, cached, most)
+        kept = set()
+        for at in [*range(0, 20_000, 1000), 0, 500, 19_000]:
+            some = words[at : at + 1000]
+            ids = own.encode(pa.array([" ".join(some)]))[0]
+            assert ids.tolist() == whole().encode(" ".join(some), add_special_tokens=False).ids
+            assert len(own._plain) == len(own._plain_ids) <= how_many and own._plain.nbytes + own._plain_ids.nbytes <= most // 2
+            kept.add(len(own._plain))
+        assert (len(kept) > 2) == (most > 1000)
+
+
+def test_models_whose_words_have_no_ends(tmp_path):
+    """Boundaries of parts that share a text are then asked for one by one."""
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    file["model"] |= {"end_of_word_suffix": None, "merges": []}
+    path = tmp_path / "no_ends.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    ids = WordTokenizer(str(path)).encode(pa.array(["It's été 12 abc abc", "漢"]))[0]
+    assert ids.tolist() == [i for text in ("It's été 12 abc abc", "漢") for i in Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids]
+
+
 def test_lengths_are_powers_of_two():
     assert power_of_two_lengths(4096 * 2 + 13, 4096) == [4096, 4096, 8, 4, 1]
     assert power_of_two_lengths(4096, 4096) == [4096]
